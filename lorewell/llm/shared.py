@@ -59,8 +59,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Bounds the rows of an Arrow batch, as texts may be long: workers hold a batch or two at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def documents_text(df: DataFrame) -> DataFrame:
     """doc_id and text alone, with a null text as the empty one."""
+    small_batches(df.sparkSession)
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

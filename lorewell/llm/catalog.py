@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorewell.llm.near_dedup import near_duplicates
 from lorewell.llm.shared import table
+from lorewell.llm.suffix_dedup import remove_repeats
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +18,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_near_dedup,)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op8_near_dedup)}
 
 
 def oracle_sql() -> dict:

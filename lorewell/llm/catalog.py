@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lorewell.llm.near_dedup import near_duplicates
 from lorewell.llm.shared import table
 from lorewell.llm.suffix_dedup import remove_repeats
+from lorewell.llm.toxicity import fit, held_out, toxic_passages
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +18,14 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxic_passages(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op8_near_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op8_near_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict:

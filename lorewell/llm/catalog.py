@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorewell.llm.near_dedup import near_duplicates
+from lorewell.llm.pii import digest, personal_data
 from lorewell.llm.shared import table
 from lorewell.llm.suffix_dedup import remove_repeats
 from lorewell.llm.toxicity import fit, held_out, toxic_passages
@@ -14,6 +15,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,7 +30,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op8_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op7_pii, op8_near_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict:

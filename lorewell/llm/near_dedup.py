@@ -9,8 +9,9 @@ collection. At the threshold of 0.75 a pair is missed with probability
 2 * (1 - 0.75 ** ROWS) ** SLOTS = 5e-4 at most; at 0.8 with 7e-5.
 
 No table emits the pairs of a bucket. Documents of one shingle set are one
-node; equal buckets count once; then, in rounds, each bucket tests a few of its members
-(one at first) against the rest, on the full sets, and a bucket ends once what it holds is one
+node; equal buckets count once; then, in rounds, each bucket tests some of its members
+(one at first, GROWTH times more in each later round, those of its smallest components first) against
+the rest, on the full sets, and a bucket ends once what it holds is one
 component or all its members have had their turn. So every candidate pair is
 either confirmed, refuted or already in one component: no link between components is
 lost, and a bucket of n copies costs n tests, not n * n.
@@ -30,8 +31,8 @@ from lorewell.llm.shared import U64, documents_text, lower_ascii, materialize, m
 SHINGLE = 5
 SLOTS = 10
 ROWS = 2
-#: Members of a bucket tested at once against all others, after the first round.
-TESTERS = 16
+#: Members of a bucket that are tested in a round against all others: one at first, then so many times more each round.
+GROWTH = 16
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -119,7 +120,7 @@ def _verifier(percent: int):
                         held, known = centers[i], own.pop(i)
                     assert held == centers[i]
                     ok[i] = _same(known, h[offs[i - row] : offs[i - row + 1]], percent)
-            yield pa.RecordBatch.from_arrays([batch["center"], batch["member"], pa.array(ok)], ["center", "member", "linked"])
+            yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(ok)) for c in ("u", "v")], ["u", "v"])
 
     return verify
 
@@ -183,39 +184,43 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
+def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """members: (key, rep, n_shingles); texts of their reps. Returns (node, comp)."""
-    spark = members.sparkSession
-    schema = "center long, member long, linked boolean"
-    tested, label = None, None
+    tested = None
+    label = materialize(members.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).distinct())
     left = members.select("key", "rep", "n_shingles", F.col("rep").alias("comp"), F.lit(False).alias("done"))
-    first = True
+    testers = 1
     while True:
-        if first:
-            turn = left.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("c")).select("key", F.array("c").alias("centers"))
+        me = F.struct("rep", "comp", "n_shingles")
+        if testers == 1:
+            turn = left.groupBy("key").agg(F.min(me).alias("c")).select("key", F.array("c").alias("centers"))
         else:
             size = left.groupBy("key", "comp").agg(F.count("*").alias("size"))
-            by_size = left.where("not done").join(size, ["key", "comp"])
             rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "comp", "rep"))
-            turn = by_size.withColumn("rank", rank).where(F.col("rank") <= TESTERS).groupBy("key").agg(F.collect_list(F.struct("rep", "n_shingles", "comp")).alias("centers"))
-        pairs = left.join(turn, "key").select("rep", "n_shingles", "comp", F.explode("centers").alias("c"))
-        if not first:
-            pairs = pairs.where("comp <> c.comp")
-        pairs = pairs.where("rep <> c.rep").where(f"100 * least(n_shingles, c.n_shingles) >= {percent} * greatest(n_shingles, c.n_shingles)")
-        pairs = pairs.select(F.least("rep", "c.rep").alias("center"), F.greatest("rep", "c.rep").alias("member")).distinct()
+            turn = left.where("not done").join(size, ["key", "comp"]).withColumn("rank", rank).where(F.col("rank") <= testers)
+            turn = turn.groupBy("key").agg(F.collect_list(me).alias("centers"))
+        turn = materialize(turn)
+        pairs = left.join(turn, "key").select(me.alias("m"), F.explode("centers").alias("c")).where("m.comp <> c.comp")
+        pairs = pairs.where(f"100 * least(m.n_shingles, c.n_shingles) >= {percent} * greatest(m.n_shingles, c.n_shingles)")
+        pairs = pairs.select(F.least("m", "c").alias("x"), F.greatest("m", "c").alias("y"))
+        pairs = pairs.select(F.col("x.rep").alias("center"), F.col("y.rep").alias("member"), F.col("x.comp").alias("u"), F.col("y.comp").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["center", "member"], "left_anti")
+        pairs = materialize(pairs)
         with_member = pairs.join(texts.toDF("member", "member_text"), "member")
         whole = with_member.join(texts.toDF("center", "center_text"), "center").sortWithinPartitions("center")
-        result = materialize(whole.select("center", "member", "center_text", "member_text").mapInArrow(_verifier(percent), schema))
-        tested = result if tested is None else tested.union(result)
-        edges = tested.where("linked").select(F.col("center").alias("u"), F.col("member").alias("v"))
-        label = components(edges)
-        took = turn.select("key", F.explode("centers").alias("c")).select("key", F.col("c.rep").alias("rep"), F.lit(True).alias("took"))
-        left = left.drop("comp").join(took, ["key", "rep"], "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        left = left.select("key", "rep", "n_shingles", F.coalesce("comp", "rep").alias("comp"), F.coalesce("took", "done").alias("done"))
+        links = materialize(whole.select("center", "member", "u", "v", "center_text", "member_text").mapInArrow(_verifier(percent), "u long, v long"))
+        done = pairs.select("center", "member")
+        tested = done if tested is None else tested.union(done)
+        took = turn.select("key", F.explode("centers.rep").alias("rep"), F.lit(True).alias("took"))
+        left = left.join(took, ["key", "rep"], "left").withColumn("done", F.coalesce("took", "done")).drop("took")
+        if not links.isEmpty():
+            joined = components(links).withColumnRenamed("comp", "new").withColumnRenamed("node", "comp")
+            renamed = lambda df: df.join(joined, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
+            left, label = renamed(left), materialize(renamed(label).select("node", "comp"))
+        left = left.select("key", "rep", "n_shingles", "comp", "done")
         open_ = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count_if(~F.col("done")).alias("n")).where("x < y and n > 0").select("key")
         left = materialize(left.join(open_, "key", "left_semi"))
         if left.isEmpty():
             return label
-        first = False
+        testers *= GROWTH

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorewell.llm.media import image_features, with_images
 from lorewell.llm.near_dedup import near_duplicates
+from lorewell.llm.packing import pack
 from lorewell.llm.pii import digest, personal_data
 from lorewell.llm.shared import table
 from lorewell.llm.suffix_dedup import remove_repeats
@@ -15,6 +17,21 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_features(with_images(table(spark, sf_dir, "documents"))).drop("error")
+
+
+def tokenizer_path() -> str:
+    """Where the public tokenizer files are installed; they are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("ids")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(personal_data(table(spark, sf_dir, "documents")))
 
@@ -30,7 +47,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op7_pii, op8_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_media, op5_packing, op7_pii, op8_near_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict:

@@ -10,6 +10,7 @@ from lorewell.llm.packing import pack
 from lorewell.llm.pii import digest, personal_data
 from lorewell.llm.shared import table
 from lorewell.llm.suffix_dedup import remove_repeats
+from lorewell.llm.topk_search import quantised, top_k
 from lorewell.llm.toxicity import fit, held_out, toxic_passages
 
 
@@ -32,6 +33,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("ids")
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(personal_data(table(spark, sf_dir, "documents")))
 
@@ -47,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_media, op5_packing, op7_pii, op8_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_media, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorewell.llm.html_extract import extract
 from lorewell.llm.media import image_features, with_images
 from lorewell.llm.near_dedup import near_duplicates
 from lorewell.llm.packing import pack
@@ -52,8 +53,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_media, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_media, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract)}
 
 
 def oracle_sql() -> dict:

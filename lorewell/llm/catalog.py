@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorewell.llm.html_extract import extract
 from lorewell.llm.media import image_features, with_images
+from lorewell.llm.mixing import mix
 from lorewell.llm.near_dedup import near_duplicates
 from lorewell.llm.packing import pack
 from lorewell.llm.pii import digest, personal_data
@@ -19,6 +20,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_features(with_images(table(spark, sf_dir, "documents"))).drop("error")
 
@@ -58,7 +63,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_media, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_media, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract)}
 
 
 def oracle_sql() -> dict:

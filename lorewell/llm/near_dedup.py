@@ -8,13 +8,14 @@ documents are candidates if they share a key, that is, one hash of either
 collection. At the threshold of 0.75 a pair is missed with probability
 2 * (1 - 0.75 ** ROWS) ** SLOTS = 5e-4 at most; at 0.8 with 7e-5.
 
-No table emits the pairs of a bucket. Documents of one shingle set are one
-node; equal buckets count once; then, in rounds, each bucket tests some of its members
-(one at first, GROWTH times more in each later round, those of its smallest components first) against
-the rest, on the full sets, and a bucket ends once what it holds is one
-component or all its members have had their turn. So every candidate pair is
-either confirmed, refuted or already in one component: no link between components is
-lost, and a bucket of n copies costs n tests, not n * n.
+No table emits the pairs of a bucket. Documents of one shingle set are one node; equal buckets count once. Then
+
+1. each bucket tests its smallest node against its others, on the full sets, which joins
+   a group of n near copies by n tests;
+2. candidates that are still in different components are joined exactly: of all nodes that any bucket held, pairs that
+   share a shingle of their prefixes (rarest shingles first) are tested, but never two of one component.
+
+So no bucket has a cap, and no link between candidates of different components is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm.shared import U64, documents_text, lower_ascii, materialize, mix, prefix_hash, span_hash, text_buffers, words
@@ -31,8 +32,6 @@ from lorewell.llm.shared import U64, documents_text, lower_ascii, materialize, m
 SHINGLE = 5
 SLOTS = 10
 ROWS = 2
-#: Members of a bucket that are tested in a round against all others: one at first, then so many times more each round.
-GROWTH = 16
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -107,13 +106,13 @@ def _verifier(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known = None, None
         for batch in batches:
-            centers, members = batch["center"].to_numpy(zero_copy_only=False), batch["member"].to_numpy(zero_copy_only=False)
+            centers = batch["center"].to_numpy(zero_copy_only=False)
             new = np.flatnonzero(np.concatenate(([True], centers[1:] != centers[:-1]))) if len(centers) else []
             own: dict[int, np.ndarray] = {}
             for row, last, h, offs in shingle_sets(batch["center_text"].take(pa.array(new, pa.int64()))):
                 for i in range(row, last):
                     own[int(new[i])] = h[offs[i - row] : offs[i - row + 1]]
-            ok = np.zeros(len(members), dtype=bool)
+            ok = np.zeros(len(centers), dtype=bool)
             for row, last, h, offs in shingle_sets(batch["member_text"]):
                 for i in range(row, last):
                     if i in own:
@@ -184,43 +183,59 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, last, h, offs in shingle_sets(batch["text"]):
+            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"][row:last], lists], ["node", "tokens"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The components (u, v) of those pairs (center, member, u, v) whose full sets are similar enough."""
+    with_member = pairs.join(texts.toDF("member", "member_text"), "member")
+    whole = with_member.join(texts.toDF("center", "center_text"), "center").sortWithinPartitions("center")
+    return materialize(whole.select("center", "u", "v", "center_text", "member_text").mapInArrow(_verifier(percent), "u long, v long"))
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, comp) after the components that links (u, v) connect have become one."""
+    if links.isEmpty():
+        return label
+    new = components(links).toDF("comp", "new")
+    return materialize(label.join(new, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")))
+
+
+def _crossing(label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (center, member, u, v) of nodes in different components that can be similar enough.
+
+    Sets of n and m shingles with 100 * intersection >= percent * union share one of the first n - ceil(n * percent / 100) + 1 shingles of either, in
+    any common order. The order here is from rare to frequent, so what sets a document apart fills its prefix, and
+    shingles that a whole group of copies shares hardly ever make a pair."""
+    sets = texts.mapInArrow(_token_sets, "node long, tokens array<long>").join(label, "node").select("node", "comp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    sets = materialize(sets)
+    seen = sets.groupBy("token").agg(F.count("*").alias("seen"), (F.min("comp") < F.max("comp")).alias("mixed")).where("seen > 1")
+    shared = sets.join(materialize(seen), "token").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "token", "mixed"))).alias("shared"))
+    # Shingles that no other node has come first of all and make no pair.
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
+    first = F.filter(F.slice("shared", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda t: t["mixed"])
+    rows = materialize(shared.select("node", "comp", "n", F.explode(first["token"]).alias("token")))
+    largest = rows.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("largest"), F.count("*").alias("comps"))
+    largest = largest.where("comps > 1").select("token", "largest")
+    y = rows.join(largest, "token").alias("y")
+    x = y.where("comp <> largest").alias("x")
+    # Within the largest component of a shingle no pair is formed.
+    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    found = x.join(y, F.expr(f"x.token = y.token and x.comp <> y.comp and (y.comp = y.largest or x.node < y.node) and {alike}"))
+    found = found.select(F.least(F.struct("x.node", "x.comp"), F.struct("y.node", "y.comp")).alias("a"), F.greatest(F.struct("x.node", "x.comp"), F.struct("y.node", "y.comp")).alias("b"))
+    return found.select(F.col("a.node").alias("center"), F.col("b.node").alias("member"), F.col("a.comp").alias("u"), F.col("b.comp").alias("v")).distinct()
+
+
 def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """members: (key, rep, n_shingles); texts of their reps. Returns (node, comp)."""
-    tested = None
     label = materialize(members.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).distinct())
-    left = members.select("key", "rep", "n_shingles", F.col("rep").alias("comp"), F.lit(False).alias("done"))
-    testers = 1
-    while True:
-        me = F.struct("rep", "comp", "n_shingles")
-        if testers == 1:
-            turn = left.groupBy("key").agg(F.min(me).alias("c")).select("key", F.array("c").alias("centers"))
-        else:
-            size = left.groupBy("key", "comp").agg(F.count("*").alias("size"))
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "comp", "rep"))
-            turn = left.where("not done").join(size, ["key", "comp"]).withColumn("rank", rank).where(F.col("rank") <= testers)
-            turn = turn.groupBy("key").agg(F.collect_list(me).alias("centers"))
-        turn = materialize(turn)
-        pairs = left.join(turn, "key").select(me.alias("m"), F.explode("centers").alias("c")).where("m.comp <> c.comp")
-        pairs = pairs.where(f"100 * least(m.n_shingles, c.n_shingles) >= {percent} * greatest(m.n_shingles, c.n_shingles)")
-        pairs = pairs.select(F.least("m", "c").alias("x"), F.greatest("m", "c").alias("y"))
-        pairs = pairs.select(F.col("x.rep").alias("center"), F.col("y.rep").alias("member"), F.col("x.comp").alias("u"), F.col("y.comp").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["center", "member"], "left_anti")
-        pairs = materialize(pairs)
-        with_member = pairs.join(texts.toDF("member", "member_text"), "member")
-        whole = with_member.join(texts.toDF("center", "center_text"), "center").sortWithinPartitions("center")
-        links = materialize(whole.select("center", "member", "u", "v", "center_text", "member_text").mapInArrow(_verifier(percent), "u long, v long"))
-        done = pairs.select("center", "member")
-        tested = done if tested is None else tested.union(done)
-        took = turn.select("key", F.explode("centers.rep").alias("rep"), F.lit(True).alias("took"))
-        left = left.join(took, ["key", "rep"], "left").withColumn("done", F.coalesce("took", "done")).drop("took")
-        if not links.isEmpty():
-            joined = components(links).withColumnRenamed("comp", "new").withColumnRenamed("node", "comp")
-            renamed = lambda df: df.join(joined, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
-            left, label = renamed(left), materialize(renamed(label).select("node", "comp"))
-        left = left.select("key", "rep", "n_shingles", "comp", "done")
-        open_ = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count_if(~F.col("done")).alias("n")).where("x < y and n > 0").select("key")
-        left = materialize(left.join(open_, "key", "left_semi"))
-        if left.isEmpty():
-            return label
-        testers *= GROWTH
+    center = members.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("c"))
+    stars = members.join(materialize(center), "key").where("rep <> c.rep").where(f"100 * least(n_shingles, c.n_shingles) >= {percent} * greatest(n_shingles, c.n_shingles)")
+    stars = materialize(stars.select(F.col("c.rep").alias("center"), F.col("rep").alias("member"), F.col("c.rep").alias("u"), F.col("rep").alias("v")).distinct())
+    label = _joined(label, _verified(stars, texts, percent))
+    rest = materialize(_crossing(label, texts, percent).join(stars, ["center", "member"], "left_anti"))
+    return _joined(label, _verified(rest, texts, percent))

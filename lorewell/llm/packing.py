@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from lorewell.llm.shared import documents_text, text_buffers
 
 WINDOW = 2048
 END = 1
-#: Distinct words whose ids a worker remembers, twice over at most.
-REMEMBERED = 250_000
+#: Distinct words whose ids a worker remembers before it starts anew.
+REMEMBERED = 1_500_000
 #: Bytes of text tokenized at a time; a longer text is handled alone.
-TOKENIZED_BYTES = 4 << 20
+TOKENIZED_BYTES = 8 << 20
 #: Marks that, after a letter, end a piece of a word for the tokenizer whatever they are followed by.
 _MARKS = ".,;:!?*#%&$"
 
@@ -38,32 +39,56 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.direct = self.tokenizer.model, None
         self.known: dict[str, int] = {}  # word -> its place in the arrays below
         self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.ends = np.zeros(1 << 16, dtype=np.int64)
         self.ends[0] = 0
 
-    def _add(self, word: str, ids: list[int]) -> None:
+    def _append(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         k, n = len(self.known) + 1, self.used + len(ids)
         if n > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(n, len(self.ids)), dtype=np.uint32)))
-        if k >= len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros(len(self.ends), dtype=np.int64)))
+        if k + len(words) > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros(max(len(words), len(self.ends)), dtype=np.int64)))
         self.ids[self.used : n] = ids
-        self.used, self.ends[k], self.known[word] = n, n, k
+        self.ends[k : k + len(words)] = self.used + np.cumsum(lens)
+        self.used = n
+        self.known.update(zip(words, range(k, k + len(words)), strict=True))
+
+    def _encode(self, words: list[str]) -> None:
+        # A word of lower-case ASCII letters alone is a piece as it stands: only the model is needed.
+        plain, other = [], []
+        for w in words:
+            (plain if w.isascii() and w.isalpha() and w.islower() else other).append(w)
+        if self.direct is None and plain:  # only if the two agree
+            self.direct = all([t.id for t in self.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in plain[:200])
+        for direct, some in ((part is plain and self.direct, part[i : i + 20_000]) for part in (plain, other) for i in range(0, len(part), 20_000)):
+            if direct:
+                ids = [[t.id for t in self.model.tokenize(w)] for w in some]
+            else:
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            self._append(some, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lens.sum())), lens)
+
+    def _ids_of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered words, one after the other, and how many each has."""
+        first = self.ends[place - 1]
+        n = self.ends[place] - first
+        return self.ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
     def _learn(self, words: list[str]) -> None:
-        parts = [(w, s if (s := w.rstrip(_MARKS)) and s[-1].isalpha() else w) for w in words]
-        stems = [s for s in dict.fromkeys(s for _, s in parts) if s not in self.known]
-        for i in range(0, len(stems), 10_000):
-            some = stems[i : i + 10_000]
-            for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self._add(s, e.ids)
-        for w, s in parts:
-            if w != s:
-                if (mark := w[len(s) :]) not in self.known:
-                    self._add(mark, self.tokenizer.encode(mark, add_special_tokens=False).ids)
-                self._add(w, [x for k in (self.known[s], self.known[mark]) for x in self.ids[self.ends[k - 1] : self.ends[k]].tolist()])
+        known = self.known
+        stems = [w.rstrip(_MARKS) for w in words]
+        stems = [s if s and s[-1].isalpha() else w for s, w in zip(stems, words, strict=True)]
+        cut = [i for i, (s, w) in enumerate(zip(stems, words, strict=True)) if len(s) < len(w)]
+        marks = [words[i][len(stems[i]) :] for i in cut]
+        self._encode([s for s in dict.fromkeys(chain(stems, marks)) if s not in known])
+        if cut:
+            place = np.empty(2 * len(cut), dtype=np.int64)
+            place[::2], place[1::2] = [known[stems[i]] for i in cut], [known[m] for m in marks]
+            ids, n = self._ids_of(place)
+            self._append([words[i] for i in cut], ids, n[::2] + n[1::2])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's offsets in them."""
@@ -74,19 +99,15 @@ class WordTokenizer:
         counts = np.diff(split.offsets.to_numpy())
         flat = split.flatten().dictionary_encode()
         words = flat.dictionary.to_pylist()
-        if len(self.known) > 2 * REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.known, self.used = {}, 0
         get = self.known.get
         place = np.array([get(w, 0) for w in words], dtype=np.int64)
         if len(new := np.flatnonzero(place == 0)):
             self._learn([words[i] for i in new.tolist()])
             place[new] = [self.known[words[i]] for i in new.tolist()]
-        at = place[flat.indices.to_numpy()]
-        first = self.ends[at - 1]
-        n = self.ends[at] - first
-        ends = np.cumsum(n)
-        out = self.ids[np.repeat(first - (ends - n), n) + np.arange(int(n.sum()))]
-        return out, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        out, n = self._ids_of(place[flat.indices.to_numpy()])
+        return out, np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:

@@ -12,6 +12,7 @@ from lorewell.llm.packing import pack
 from lorewell.llm.pii import digest, personal_data
 from lorewell.llm.shared import table
 from lorewell.llm.suffix_dedup import remove_repeats
+from lorewell.llm.tool_chat import link_tool_calls
 from lorewell.llm.topk_search import quantised, top_k
 from lorewell.llm.toxicity import fit, held_out, toxic_passages
 
@@ -28,6 +29,18 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_features(with_images(table(spark, sf_dir, "documents"))).drop("error")
 
 
+def op4_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(table(spark, sf_dir, "conversations"))
+
+
+#: The messages of the table make no calls, so here a line is its message alone; calls are tested against a brute-force version.
+OP4_SQL = """
+SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid, 0::BIGINT AS n_cyclic, NULL::BOOLEAN AS linked,
+       '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' AS line
+FROM conversations
+"""
+
+
 def tokenizer_path() -> str:
     """Where the public tokenizer files are installed; they are not part of this repository."""
     import public_tokenizers
@@ -63,8 +76,8 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_media, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_media, op4_tool_chat, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_tool_chat": OP4_SQL}

@@ -124,3 +124,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     joined = joined.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long"))
     out = joined.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     return out.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "d.copies", (F.col("d.copies") * F.col("d.size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The mix itself: the rows of docs, with all their columns, each as often as mix() takes it. Of rows that are equal in id, source and
+    size, all are taken as often as the one that is taken least."""
+    taken = mix(docs, weights, share, cap).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("copies"))
+    taken = materialize(taken.where("copies > 0"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.size") == F.col("t.size"))
+    out = rows.alias("r").join(taken.alias("t"), same)
+    return out.select("r.row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

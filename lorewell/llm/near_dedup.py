@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.llm.shared import U64, documents_text, lower_ascii, materialize, mix, prefix_hash, span_hash, text_buffers, words
@@ -239,3 +239,18 @@ def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     label = _joined(label, _verified(stars, texts, percent))
     rest = materialize(_crossing(label, texts, percent).join(stars, ["center", "member"], "left_anti"))
     return _joined(label, _verified(rest, texts, percent))
+
+
+def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs, with all their columns, without the near copies: of each component the smallest doc_id stays.
+    Of rows that share an id one stays, with the smallest text; rows with a null id all stay."""
+    found = materialize(near_duplicates(docs, percent))
+    out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return out
+    alone = out.where("doc_id is null")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    # The rank travels in a struct, so no column of docs can clash with it.
+    ranked = out.where("doc_id is not null").select(F.struct("*").alias("row"), rank.alias("rank")).where("rank = 1").select("row.*")
+    return ranked.unionByName(alone)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import U64, documents_text, lower_ascii, mix, prefix_hash, span_hash, text_buffers
+from lorewell.llm.shared import U64, documents_text, lower_ascii, mix, prefix_hash, small_batches, span_hash, text_buffers
 
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 Z = 2.8
@@ -267,3 +267,19 @@ def toxic_passages(docs: DataFrame, model: Model, threshold: float = 0.3) -> Dat
             yield pa.RecordBatch.from_arrays([ids, pa.array(p), pa.array((p >= threshold).astype(np.int32)), spans], ["doc_id", "score", "predicted", "passages"])
 
     return documents_text(docs).mapInArrow(score, "doc_id long, score double, predicted int, passages array<struct<first: long, end: long, score: double, chance: double>>")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, whole and with all their columns, whose score is below the threshold. A null text is scored as the empty one."""
+    small_batches(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            text = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))] * 2, ["text", "doc_id"])
+            for _, row_scores in _scored(model, [text], "doc_id"):
+                marks += [model.evidence(model.passages(s)) for s in row_scores]
+            if marks:
+                yield batch.filter(pa.array(model.probability(np.array(marks)) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -205,27 +205,27 @@ def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(label.join(new, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")))
 
 
-def _crossing(label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (center, member, u, v) of nodes in different components that can be similar enough.
-
-    Sets of n and m shingles with 100 * intersection >= percent * union share one of the first n - ceil(n * percent / 100) + 1 shingles of either, in
-    any common order. The order here is from rare to frequent, so what sets a document apart fills its prefix, and
-    shingles that a whole group of copies shares hardly ever make a pair."""
-    sets = texts.mapInArrow(_token_sets, "node long, tokens array<long>").join(label, "node").select("node", "comp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    sets = materialize(sets)
-    seen = sets.groupBy("token").agg(F.count("*").alias("seen"), (F.min("comp") < F.max("comp")).alias("mixed")).where("seen > 1")
-    shared = sets.join(materialize(seen), "token").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "token", "mixed"))).alias("shared"))
-    # Shingles that no other node has come first of all and make no pair.
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
-    first = F.filter(F.slice("shared", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda t: t["mixed"])
-    rows = materialize(shared.select("node", "comp", "n", F.explode(first["token"]).alias("token")))
+def _crossing(label: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (center, member, u, v) of nodes in different components that can be similar enough. sizes: (node, n), the sizes of the sets.
+
+    Order all shingles from rare to frequent. Two sets of n and m shingles that are similar have k = ceil(percent * (n + m) / (100 + percent)) in common; the
+    first of them stands before place n - k of the one and m - k of the other. So prefixes meet, by that place. What sets a document
+    apart fills its prefix, and shingles that a whole group of copies shares hardly ever make a pair."""
+    tokens = materialize(texts.mapInArrow(_token_sets, "node long, tokens array<long>").select("node", F.explode("tokens").alias("token")))
+    seen = materialize(tokens.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1"))
+    shared = tokens.join(seen, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("shared")).join(sizes, "node")
+    # Shingles that no other node has come first of all; of the others, those stay that can be the first in common.
+    alone = F.col("n") - F.size("shared")
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    first = F.slice("shared", F.lit(1), F.greatest(most, F.lit(0)).cast("int"))
+    rows = shared.select("node", "n", alone.alias("alone"), F.posexplode(first).alias("at", "t")).select("node", "n", (F.col("alone") + F.col("at")).alias("at"), "t.token")
+    rows = materialize(rows.join(label, "node"))
     largest = rows.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("largest"), F.count("*").alias("comps"))
-    largest = largest.where("comps > 1").select("token", "largest")
-    y = rows.join(largest, "token").alias("y")
+    y = rows.join(materialize(largest.where("comps > 1").select("token", "largest")), "token").alias("y")
     x = y.where("comp <> largest").alias("x")
     # Within the largest component of a shingle no pair is formed.
-    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    found = x.join(y, F.expr(f"x.token = y.token and x.comp <> y.comp and (y.comp = y.largest or x.node < y.node) and {alike}"))
+    place = f"(x.n - x.at) * {100 + percent} >= {percent} * (x.n + y.n) and (y.n - y.at) * {100 + percent} >= {percent} * (x.n + y.n)"
+    found = x.join(y, F.expr(f"x.token = y.token and x.comp <> y.comp and (y.comp = y.largest or x.node < y.node) and {place}"))
     found = found.select(F.least(F.struct("x.node", "x.comp"), F.struct("y.node", "y.comp")).alias("a"), F.greatest(F.struct("x.node", "x.comp"), F.struct("y.node", "y.comp")).alias("b"))
     return found.select(F.col("a.node").alias("center"), F.col("b.node").alias("member"), F.col("a.comp").alias("u"), F.col("b.comp").alias("v")).distinct()
 
@@ -237,7 +237,8 @@ def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     stars = members.join(materialize(center), "key").where("rep <> c.rep").where(f"100 * least(n_shingles, c.n_shingles) >= {percent} * greatest(n_shingles, c.n_shingles)")
     stars = materialize(stars.select(F.col("c.rep").alias("center"), F.col("rep").alias("member"), F.col("c.rep").alias("u"), F.col("rep").alias("v")).distinct())
     label = _joined(label, _verified(stars, texts, percent))
-    rest = materialize(_crossing(label, texts, percent).join(stars, ["center", "member"], "left_anti"))
+    sizes = members.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n")).distinct()
+    rest = materialize(_crossing(label, sizes, texts, percent).join(stars, ["center", "member"], "left_anti"))
     return _joined(label, _verified(rest, texts, percent))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,9 +25,9 @@ from lorewell.llm.shared import documents_text, text_buffers
 WINDOW = 2048
 END = 1
 #: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Bytes of text tokenized at a time; a longer text is handled alone.
-TOKENIZED_BYTES = 8 << 20
+TOKENIZED_BYTES = 4 << 20
 #: Marks that, after a letter, end a piece of a word for the tokenizer whatever they are followed by.
 _MARKS = ".,;:!?*#%&$"
 
@@ -110,6 +111,12 @@ class WordTokenizer:
         return out, np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
 
 
+@lru_cache(1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process: later tasks find the words of earlier ones."""
+    return WordTokenizer(path)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
     """The texts and ids of several batches, TOKENIZED_BYTES or so."""
     held, size = [], 0
@@ -169,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     filled windows. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordTokenizer(tokenizer), SumOfSquares(window)
+        words, packer = _tokenizer(tokenizer), SumOfSquares(window)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
         rows: list[tuple] = []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import small_batches
+from lorewell.llm.shared import lean, small_batches
 
 #: Weights of a run's neighbours at distance 0, 1, 2.
 KERNEL = (0.5, 0.2, 0.05)
@@ -237,4 +237,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import documents_text, small_batches
+from lorewell.llm.shared import documents_text, lean, small_batches
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -136,7 +136,7 @@ def with_images(docs: DataFrame, level: int = 6) -> DataFrame:
             media = [encode_png(b + bytes(-len(b) % WIDTH if b else WIDTH), level) for b in raw]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return documents_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return documents_text(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def image_features(media: DataFrame) -> DataFrame:
@@ -162,4 +162,4 @@ def image_features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", *names])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
-    return media.select("doc_id", F.col("n_bytes"), "media").mapInArrow(run, schema)
+    return media.select("doc_id", F.col("n_bytes"), "media").mapInArrow(lean(run), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import U64, documents_text, lower_ascii, materialize, mix, prefix_hash, span_hash, text_buffers, words
+from lorewell.llm.shared import U64, documents_text, lean, lower_ascii, materialize, mix, prefix_hash, span_hash, text_buffers, words
 
 SHINGLE = 5
 SLOTS = 10
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     share a doc_id are one node; a null doc_id links with nothing, has a null component and is kept. Equal sets
     are one node of the search, so exact copies cost nothing. Other columns of docs are not read."""
     texts = documents_text(docs)
-    sigs = materialize(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, set_hi long, set_lo long, slots array<long>"))
+    sigs = materialize(texts.mapInArrow(lean(_signatures), "doc_id long, n_shingles long, set_hi long, set_lo long, slots array<long>"))
     live = sigs.where("n_shingles > 0 and doc_id is not null")
     node = ["n_shingles", "set_hi", "set_lo"]
     reps = live.groupBy(*node).agg(F.min("doc_id").alias("rep"), F.min("slots").alias("slots"))
@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The components (u, v) of those pairs (center, member, u, v) whose full sets are similar enough."""
     with_member = pairs.join(texts.toDF("member", "member_text"), "member")
     whole = with_member.join(texts.toDF("center", "center_text"), "center").sortWithinPartitions("center")
-    return materialize(whole.select("center", "u", "v", "center_text", "member_text").mapInArrow(_verifier(percent), "u long, v long"))
+    return materialize(whole.select("center", "u", "v", "center_text", "member_text").mapInArrow(lean(_verifier(percent)), "u long, v long"))
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _crossing(label: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int
     Order all shingles from rare to frequent. Two sets of n and m shingles that are similar have k = ceil(percent * (n + m) / (100 + percent)) in common; the
     first of them stands before place n - k of the one and m - k of the other. So prefixes meet, by that place. What sets a document
     apart fills its prefix, and shingles that a whole group of copies shares hardly ever make a pair."""
-    tokens = materialize(texts.mapInArrow(_token_sets, "node long, tokens array<long>").select("node", F.explode("tokens").alias("token")))
+    tokens = materialize(texts.mapInArrow(lean(_token_sets), "node long, tokens array<long>").select("node", F.explode("tokens").alias("token")))
     seen = materialize(tokens.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1"))
     shared = tokens.join(seen, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("shared")).join(sizes, "node")
     # Shingles that no other node has come first of all; of the others, those stay that can be the first in common.

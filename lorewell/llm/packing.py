@@ -20,12 +20,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lorewell.llm.shared import documents_text, text_buffers
+from lorewell.llm.shared import documents_text, lean, text_buffers
 
 WINDOW = 2048
 END = 1
-#: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Distinct words whose ids a worker remembers; beyond that it keeps, of those met again, half as many at most.
+REMEMBERED = 600_000
 #: Bytes of text tokenized at a time; a longer text is handled alone.
 TOKENIZED_BYTES = 4 << 20
 #: Marks that, after a letter, end a piece of a word for the tokenizer whatever they are followed by.
@@ -44,7 +44,7 @@ class WordTokenizer:
         self.known: dict[str, int] = {}  # word -> its place in the arrays below
         self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.ends = np.zeros(1 << 16, dtype=np.int64)
-        self.ends[0] = 0
+        self.met = np.zeros(1 << 16, dtype=np.int32)  # in how many pieces of text
 
     def _append(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         k, n = len(self.known) + 1, self.used + len(ids)
@@ -52,6 +52,7 @@ class WordTokenizer:
             self.ids = np.concatenate((self.ids, np.zeros(max(n, len(self.ids)), dtype=np.uint32)))
         if k + len(words) > len(self.ends):
             self.ends = np.concatenate((self.ends, np.zeros(max(len(words), len(self.ends)), dtype=np.int64)))
+            self.met = np.concatenate((self.met, np.zeros(len(self.ends) - len(self.met), dtype=np.int32)))
         self.ids[self.used : n] = ids
         self.ends[k : k + len(words)] = self.used + np.cumsum(lens)
         self.used = n
@@ -78,6 +79,19 @@ class WordTokenizer:
         n = self.ends[place] - first
         return self.ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
+    def _forget(self) -> None:
+        """Keeps the words that were met in most pieces of text."""
+        met = self.met[: len(self.known) + 1]
+        bar = next(b for b in chain(range(2, 64), [1 << 31]) if int((met >= b).sum()) <= REMEMBERED // 2)
+        words = [w for w, k in self.known.items() if met[k] >= bar]
+        place = np.array([self.known[w] for w in words], dtype=np.int64)
+        ids, n = self._ids_of(place)
+        counts = met[place] // 2 + 1
+        self.known, self.used = {}, 0
+        self.met[:] = 0
+        self._append(words, ids, n)
+        self.met[1 : len(words) + 1] = counts
+
     def _learn(self, words: list[str]) -> None:
         known = self.known
         stems = [w.rstrip(_MARKS) for w in words]
@@ -101,12 +115,13 @@ class WordTokenizer:
         flat = split.flatten().dictionary_encode()
         words = flat.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
-            self.known, self.used = {}, 0
+            self._forget()
         get = self.known.get
         place = np.array([get(w, 0) for w in words], dtype=np.int64)
         if len(new := np.flatnonzero(place == 0)):
             self._learn([words[i] for i in new.tolist()])
             place[new] = [self.known[words[i]] for i in new.tolist()]
+        self.met[place] += 1
         out, n = self._ids_of(place[flat.indices.to_numpy()])
         return out, np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
 
@@ -231,4 +246,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         if rows:
             yield flush()
 
-    return documents_text(docs).mapInArrow(run, _SCHEMA)
+    return documents_text(docs).mapInArrow(lean(run), _SCHEMA)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import documents_text, small_batches
+from lorewell.llm.shared import documents_text, lean, small_batches
 
 #: Kinds with a fixed grammar, in the order in which they are listed at one start; then the method's own.
 BASE = ("email", "ip", "card", "phone")
@@ -127,7 +127,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def personal_data(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id and spans (kind, start, end; code points, by start and kind). A null
     text is the empty one and has none. Only doc_id and text are read; rows may repeat."""
-    return documents_text(docs).mapInArrow(_spans, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return documents_text(docs).mapInArrow(lean(_spans), "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -159,4 +159,4 @@ def redact(docs: DataFrame) -> DataFrame:
             new = [None if t is None else redact_text(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

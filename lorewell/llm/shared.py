@@ -4,9 +4,10 @@ intermediates and vectorised hashing of the bytes of Arrow string columns."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,23 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+def lean(run: Callable) -> Callable:
+    """run, a function over Arrow batches, with the worker's free memory going back to the system at its end: workers are
+    used again, and what one operator has freed would stay with the process."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return tidy
+
+
 def documents_text(df: DataFrame) -> DataFrame:
     """doc_id and text alone, with a null text as the empty one."""
     small_batches(df.sparkSession)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import U64, documents_text, materialize, mix, prefix_hash, span_hash, text_buffers
+from lorewell.llm.shared import U64, documents_text, lean, materialize, mix, prefix_hash, span_hash, text_buffers
 
 LENGTH = 200
 GRAM = 32
@@ -257,15 +257,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.select("a", "b", "text").mapInArrow(_emit_anchors, "gram long, a long, b long, at long")
+    found = texts.select("a", "b", "text").mapInArrow(lean(_emit_anchors), "gram long, a long, b long, at long")
     # Written, so that the join below meets plain exchanges and Spark can split a frequent gram.
     often = materialize(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     spots = found.join(often, "gram").groupBy("a", "b").agg(F.collect_set("at").alias("spots"))
     # All columns of texts go along, so that the exchange of the texts serves the last join too.
     flagged = texts.join(spots, ["a", "b"]).select("doc_id", "a", "b", "text", "spots")
-    contexts = flagged.mapInArrow(_emit_contexts, "suffix binary, before binary, a array<long>, b array<long>, p array<long>")
+    contexts = flagged.mapInArrow(lean(_emit_contexts), "suffix binary, before binary, a array<long>, b array<long>, p array<long>")
     buckets = contexts.repartitionByRange(parts, F.substring("suffix", 1, GRAM))
-    spans = buckets.mapInArrow(_emit_spans, "a long, b long, span long")
+    spans = buckets.mapInArrow(lean(_emit_spans), "a long, b long, span long")
     spans = spans.groupBy("a", "b").agg(F.collect_set("span").alias("spans"))
     out = texts.join(spans, ["a", "b"], "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import U64, documents_text, lower_ascii, mix, prefix_hash, small_batches, span_hash, text_buffers
+from lorewell.llm.shared import U64, documents_text, lean, lower_ascii, mix, prefix_hash, small_batches, span_hash, text_buffers
 
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 Z = 2.8
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     known = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    counts = known.mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = known.mapInArrow(lean(_count), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     total = sample.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     n1, n0 = float(total["t"] or 0), float((total["n"] or 0) - (total["t"] or 0))
     empty = np.zeros(0)
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             high = [s[s > 0] for s in row_scores]
             yield pa.RecordBatch.from_arrays([toxic, pa.array([len(s) for s in row_scores], pa.int64()), pa.array([h.tolist() for h in high], pa.list_(pa.float64()))], ["toxic", "n", "high"])
 
-    clean = known.mapInArrow(profile, "toxic int, n long, high array<double>").where("toxic = 0")
+    clean = known.mapInArrow(lean(profile), "toxic int, n long, high array<double>").where("toxic = 0")
     words = clean.agg(F.sum("n")).first()[0] or 1
     by_score = clean.select(F.explode("high").alias("s")).groupBy(F.round("s", 2).alias("s")).count().collect()
     s, n = np.array([r["s"] for r in by_score] or [1.0]), np.array([r["count"] for r in by_score] or [0.5], dtype=float)
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for toxic, row_scores in _scored(model, batches, "toxic"):
             yield pa.RecordBatch.from_arrays([toxic, pa.array([model.evidence(model.passages(s)) for s in row_scores], pa.float64())], ["toxic", "evidence"])
 
-    seen = known.mapInArrow(evidence, "toxic int, evidence double").toPandas()
+    seen = known.mapInArrow(lean(evidence), "toxic int, evidence double").toPandas()
     model.intercept, model.slope = _logistic(seen["evidence"].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
@@ -266,7 +266,7 @@ def toxic_passages(docs: DataFrame, model: Model, threshold: float = 0.3) -> Dat
             spans = pa.array([[dict(zip(("first", "end", "score", "chance"), x, strict=True)) for x in f] for f in found], kind)
             yield pa.RecordBatch.from_arrays([ids, pa.array(p), pa.array((p >= threshold).astype(np.int32)), spans], ["doc_id", "score", "predicted", "passages"])
 
-    return documents_text(docs).mapInArrow(score, "doc_id long, score double, predicted int, passages array<struct<first: long, end: long, score: double, chance: double>>")
+    return documents_text(docs).mapInArrow(lean(score), "doc_id long, score double, predicted int, passages array<struct<first: long, end: long, score: double, chance: double>>")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -282,4 +282,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
             if marks:
                 yield batch.filter(pa.array(model.probability(np.array(marks)) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -60,7 +60,10 @@ def synonym_pairs(vectors: DataFrame, k: int, threshold: float, mode: str = "all
     similar enough. vectors: (id, v).
 
     mode "leader": an entity that an earlier leader hits leads no more, in the order of ids."""
-    hits = top_k(vectors.select(F.col("id").alias("qid"), "v"), vectors, k)
+    return _synonyms(top_k(vectors.select(F.col("id").alias("qid"), "v"), vectors, k), threshold, mode)
+
+
+def _synonyms(hits: DataFrame, threshold: float, mode: str) -> DataFrame:
     hits = hits.where((F.col("qid") != F.col("id")) & (F.col("score") >= threshold)).select(F.col("qid").alias("a"), F.col("id").alias("b"), "score")
     if mode == "leader":
         hits = leader_hits(durable(hits))
@@ -68,6 +71,12 @@ def synonym_pairs(vectors: DataFrame, k: int, threshold: float, mode: str = "all
     return both.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.max("score").alias("weight"))
 
 
+def synonym_pairs_of(own: DataFrame, vectors: DataFrame, k: int, threshold: float, mode: str = "all_pairs") -> DataFrame:
+    """As synonym_pairs, with the entities of a batch alone as queries. own: (id)."""
+    queries = vectors.join(own, "id", "left_semi").select(F.col("id").alias("qid"), "v")
+    return _synonyms(top_k(queries, vectors, k), threshold, mode)
+
+
 def leader_hits(hits: DataFrame) -> DataFrame:
     """The hits (a, b, score) of leaders: in the order of ids, an entity leads unless a leader before it hits it.
 

@@ -1,11 +1,544 @@
-"""The registered queries of the retrieval engine and their SQL counterparts."""
+"""The registered queries of the retrieval engine and their SQL counterparts.
+
+Triples come from lineitem and orders (a customer bought a part, in an order: the passage), or from events (a user and another, on a day), vectors from
+embeddings, passages from documents. Search queries are the vectors whose id is divisible by 100, against all others."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorewell.config import Qa
+from lorewell.functions.json_repair import repaired
+from lorewell.functions.prompts import answer_messages
+from lorewell.functions.text import content_hash, key, label, split_reasoning, triple_text, word_count
+from lorewell.functions.vectors import as_doubles
+from lorewell.operators import dedup, kg, openie, search, selection
+from lorewell.operators.graph import DiGraph
+from lorewell.operators.knn import top_k
+from lorewell.operators.pagerank import pagerank
+from lorewell.sources.readers import split_paragraphs
+
+ROUNDS = 10
+GATE = 0.3
+SYNONYMS = 0.3
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Inputs.
+
+def order_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linenumber")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return lines.join(orders, "l_orderkey").select(
+        F.col("l_orderkey").cast("string").alias("idx"), F.concat(F.lit("customer-"), F.col("o_custkey")).alias("subj"),
+        F.col("l_returnflag").alias("pred"), F.concat(F.lit("part-"), F.col("l_partkey")).alias("obj"), "l_linenumber",
+    )
+
+
+ORDER_TRIPLES = """SELECT l_orderkey::VARCHAR AS idx, 'customer-' || o_custkey AS subj, l_returnflag AS pred, 'part-' || l_partkey AS obj, l_linenumber
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+def event_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.date_format("ts", "yyyy-MM-dd").alias("idx"), F.concat(F.lit("user-"), F.col("user_id")).alias("subj"), F.col("event_type").alias("pred"), F.concat(F.lit("user-"), F.col("user_id") * 7 % 150).alias("obj"))
+
+
+EVENT_TRIPLES = "SELECT strftime(ts, '%Y-%m-%d') AS idx, 'user-' || user_id AS subj, event_type AS pred, 'user-' || (user_id * 7 % 150) AS obj FROM events"
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), as_doubles("embedding").alias("v"), "vec_id")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("id").alias("qid"), "v")
+
+
+def _hits_sql(k: int, queries: str = "WHERE vec_id % 100 = 0", among: str = "") -> str:
+    return f"""SELECT qid, id, score, rank FROM (
+      SELECT q.id AS qid, c.id, round(list_inner_product(q.v, c.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(c.v, c.v)), 9) AS score,
+             row_number() OVER (PARTITION BY q.id ORDER BY round(list_inner_product(q.v, c.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(c.v, c.v)), 9) DESC, c.id) AS rank
+      FROM (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v FROM embeddings {queries}) q
+      JOIN (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v FROM embeddings {among}) c ON q.id <> c.id) WHERE rank <= {k}"""
+
+
+def _dynamic_sql(hits: str) -> str:
+    return f"""SELECT qid, id, score, norm FROM (
+      SELECT *, 0.5 + 0.5 * (avg(norm) OVER (PARTITION BY qid) + var_pop(norm) OVER (PARTITION BY qid)) AS bar, min(norm) OVER (PARTITION BY qid) AS least FROM (
+        SELECT qid, id, score, CASE WHEN max(score) OVER (PARTITION BY qid) = min(score) OVER (PARTITION BY qid) THEN 1.0
+               ELSE (score - min(score) OVER (PARTITION BY qid)) / (max(score) OVER (PARTITION BY qid) - min(score) OVER (PARTITION BY qid)) END AS norm
+        FROM ({hits}))) WHERE norm > bar OR least = 1.0"""
+
+
+def _gated_sql(hits: str) -> str:
+    return f"SELECT qid, id, score, norm FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM ({hits})) WHERE best >= {GATE}"
+
+
+# Extraction results.
+
+def _word_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), " ", -1).alias("w"))
+
+
+def dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.keep_first(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+def blank_entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _word_docs(spark, sf_dir).select("doc_id", openie.valid_entities("w").alias("e"))
+    return kept.select("doc_id", F.size("e").cast("long").alias("n_entities"), F.sha2(F.array_join(F.sort_array("e"), "|"), 256).alias("entities_hash"))
+
+
+def triple_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    triples = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(3)), lambda i: F.slice("w", i, F.lit(3)))
+    return _word_docs(spark, sf_dir).select("doc_id", F.size(openie.valid_triples(triples)).cast("long").alias("n_triples"))
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return openie.corpus_stats(_word_docs(spark, sf_dir).withColumnRenamed("w", "extracted_entities"))
+
+
+def document_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _word_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("idx"), openie.valid_entities("w").alias("extracted_entities"), F.filter(F.array("w"), lambda t: F.size(t) == 3).alias("extracted_triples"))
+    return openie.incomplete(docs).select("idx", F.col("n_entities").cast("long").alias("n_entities"), F.col("n_triples").cast("long").alias("n_triples"))
+
+
+def node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", label(t).alias("label"), key("paragraph", t).alias("id"), word_count(t).cast("long").alias("n_words"))
+
+
+def relation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.relations(order_triples(spark, sf_dir)).select("str", "hash")
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as texts of lines, blank ones between messages, split again."""
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return lines.select("conv_id", "turn", F.posexplode(split_paragraphs(F.concat(F.lit("\n"), F.col("text"), F.lit("\n\n"), F.col("text")))).alias("pos", "passage")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "passage")
+
+
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+# The graph.
+
+def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.entity_edges(order_triples(spark, sf_dir))
+
+
+def entity_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.entity_counts(order_triples(spark, sf_dir))
+
+
+def entity_passage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.passage_edges(order_triples(spark, sf_dir))
+
+
+def loop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.entity_edges(event_triples(spark, sf_dir))
+
+
+def loop_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.entity_counts(event_triples(spark, sf_dir))
+
+
+def loop_passage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.passage_edges(event_triples(spark, sf_dir), link_objects=True)
+
+
+def _edges_sql(triples: str) -> str:
+    return f"""SELECT 'entity-' || sha256(a) AS src, 'entity-' || sha256(b) AS dst, count(*)::DOUBLE AS weight FROM (
+      SELECT subj AS a, obj AS b FROM ({triples}) WHERE subj <> obj UNION ALL SELECT obj, subj FROM ({triples}) WHERE subj <> obj) GROUP BY a, b"""
+
+
+def _df_sql(triples: str) -> str:
+    return f"""SELECT 'entity-' || sha256(e) AS hash_key, count(DISTINCT idx)::DOUBLE AS appear_cnt FROM (
+      SELECT idx, subj AS e FROM ({triples}) WHERE subj <> obj UNION ALL SELECT idx, obj FROM ({triples}) WHERE subj <> obj) GROUP BY e"""
+
+
+def _passage_edges_sql(triples: str, objects: bool = False) -> str:
+    more = f" UNION ALL SELECT obj, idx FROM ({triples})" if objects else ""
+    return f"SELECT 'entity-' || sha256(e) AS src, 'paragraph-' || idx AS dst, count(*)::DOUBLE AS weight FROM (SELECT subj AS e, idx FROM ({triples}){more}) GROUP BY e, idx"
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = order_triples(spark, sf_dir).withColumn("half", F.col("idx").cast("long") % 2)
+    return t.where("half = 0"), t.where("half = 1")
+
+
+def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = (kg.entity_edges(t) for t in _halves(spark, sf_dir))
+    return kg.upserted(kg.upserted(old.withColumn("create_time", F.lit(1.0)).withColumn("update_time", F.lit(1.0)).limit(0), old, 1.0), new, 2.0)
+
+
+def new_node_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _halves(spark, sf_dir)
+    nodes = kg.endpoints(kg.entity_edges(old))
+    batch = kg.entity_edges(new).unionByName(kg.passage_edges(new))
+    texts = kg.entity_names(new).select(key("entity", "entity").alias("id"), F.col("entity").alias("str"))
+    texts = texts.unionByName(new.select(F.concat(F.lit("paragraph-"), F.col("idx")).alias("id"), F.concat(F.lit("order\nnumber "), F.col("idx")).alias("str")).distinct())
+    return kg.new_nodes(batch, nodes, texts, 2.0)
+
+
+def count_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _halves(spark, sf_dir)
+    return kg.merged_counts(kg.entity_counts(old), kg.entity_counts(new))
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", content_hash("text").alias("pg_hash"))
+
+
+def anti_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hashes(spark, sf_dir)
+    return dedup.unseen(h, h.where("doc_id % 2 = 0"), h.where("doc_id % 3 = 0")).select("doc_id", "pg_hash")
+
+
+def consistency_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hashes(spark, sf_dir)
+    return dedup.missing_vectors(h, h.where("doc_id % 2 = 0"))
+
+
+# Vectors.
+
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    hits = top_k(v.select(F.col("id").alias("qid"), "v"), v, 10, drop_self=True)
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def synonym_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.synonym_pairs(vectors(spark, sf_dir), 10, SYNONYMS).withColumn("weight", F.round("weight", 6))
+
+
+_SYNONYMS_SQL = f"""SELECT a AS src, b AS dst, max(score) AS weight FROM (
+  SELECT qid AS a, id AS b, score FROM ({_hits_sql(9, '')}) WHERE score >= {SYNONYMS} UNION ALL SELECT id, qid, score FROM ({_hits_sql(9, '')}) WHERE score >= {SYNONYMS}) GROUP BY a, b"""
+
+
+def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts bought by one customer in one order, by number: ids as those of the vectors."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("p"), F.col("l_suppkey").cast("string").alias("s")).where("p <> s")
+    return t.groupBy(F.col("p").alias("src"), F.col("s").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+
+
+def synonym_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.with_synonyms(_part_edges(spark, sf_dir), kg.synonym_pairs(vectors(spark, sf_dir), 10, SYNONYMS)).withColumn("weight", F.round("weight", 6))
+
+
+def synonym_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.synonym_pairs(vectors(spark, sf_dir), 10, SYNONYMS, "leader").withColumn("weight", F.round("weight", 6))
+
+
+def _search_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return top_k(asked(spark, sf_dir), vectors(spark, sf_dir), k, drop_self=True).select("qid", "id", "score")
+
+
+def dyn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.dynamic_top_k(_search_hits(spark, sf_dir, 1000)).select("qid", "id", F.round("score", 6).alias("score"), F.round("norm", 6).alias("norm"))
+
+
+def activation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = selection.gated(selection.dynamic_top_k(_search_hits(spark, sf_dir, 10)), GATE)
+    return selection.activation(hits, asked(spark, sf_dir)).select("qid", F.round("activation", 6).alias("activation"))
+
+
+def passage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    kept = selection.dynamic_top_k(_search_hits(spark, sf_dir, 1000))
+    return kept.join(docs, "id").select("qid", "id", F.round("score", 6).alias("score"), F.round("norm", 6).alias("norm"), "text")
+
+
+# Graph search. A relation is an order's first line, a passage an order; both have the vector of the order's number.
+
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = order_triples(spark, sf_dir).groupBy("idx").agg(F.min(F.struct("l_linenumber", "subj", "obj")).alias("t"))
+    return first.select(F.col("idx").alias("id"), "t.subj", "t.obj")
+
+
+_RELATIONS_SQL = f"SELECT idx AS id, t.subj AS subj, t.obj AS obj FROM (SELECT idx, min(struct_pack(l := l_linenumber, subj := subj, obj := obj)) AS t FROM ({ORDER_TRIPLES}) GROUP BY idx)"
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    t = order_triples(spark, sf_dir)
+    edges = kg.entity_edges(t).unionByName(kg.passage_edges(t))
+    return kg.endpoints(edges), edges, kg.entity_counts(t)
+
+
+_EDGES_SQL = f"{_edges_sql(ORDER_TRIPLES)} UNION ALL {_passage_edges_sql(ORDER_TRIPLES)}"
+_COUNTS_SQL = _df_sql(ORDER_TRIPLES)
+_ORDERS = "WHERE vec_id::VARCHAR IN (SELECT l_orderkey::VARCHAR FROM lineitem)"
+
+
+def _order_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    orders = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id")).distinct()
+    return top_k(asked(spark, sf_dir), vectors(spark, sf_dir).join(orders, "id", "left_semi"), k, drop_self=True).select("qid", "id", "score")
+
+
+def _relation_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.gated(selection.dynamic_top_k(_order_hits(spark, sf_dir, 10)), GATE)
+
+
+_RELATION_HITS_SQL = _gated_sql(_dynamic_sql(_hits_sql(10, among=_ORDERS)))
+
+
+def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, counts = _graph(spark, sf_dir)
+    found = search.entity_scores(_relation_hits(spark, sf_dir), _relations(spark, sf_dir), nodes, counts)
+    return found.select("qid", "id", *(F.round(c, 6).alias(c) for c in ("total", "mean", "weight")))
+
+
+_SCORES_SQL = f"""SELECT qid, id, total, mean, total / coalesce(appear_cnt, 1.0) AS weight FROM (
+  SELECT qid, 'entity-' || sha256(e) AS id, sum(score) AS total, avg(score) AS mean FROM (
+    SELECT qid, score, subj AS e FROM ({_RELATION_HITS_SQL}) h JOIN ({_RELATIONS_SQL}) r USING (id) UNION ALL SELECT qid, score, obj FROM ({_RELATION_HITS_SQL}) h JOIN ({_RELATIONS_SQL}) r USING (id))
+  GROUP BY qid, e) s LEFT JOIN ({_COUNTS_SQL}) c ON s.id = c.hash_key WHERE s.id IN (SELECT src FROM ({_EDGES_SQL}) UNION SELECT dst FROM ({_EDGES_SQL}))"""
+
+
+def entity_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, counts = _graph(spark, sf_dir)
+    scores = search.entity_scores(_relation_hits(spark, sf_dir), _relations(spark, sf_dir), nodes, counts)
+    return search.scaled_weights(scores, Qa.paragraph_node_weight).select("qid", "id", F.round("weight", 6).alias("weight"))
+
+
+_MINMAX_SQL = f"""SELECT qid, id, mean, CASE WHEN max(weight) OVER w = min(weight) OVER w THEN 1.0
+  ELSE (weight - min(weight) OVER w) * (1 - {Qa.paragraph_node_weight}) / (max(weight) OVER w - min(weight) OVER w) + {Qa.paragraph_node_weight} END AS weight
+  FROM ({_SCORES_SQL}) WINDOW w AS (PARTITION BY qid)"""
+
+
+def entity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, counts = _graph(spark, sf_dir)
+    scores = search.entity_scores(_relation_hits(spark, sf_dir), _relations(spark, sf_dir), nodes, counts)
+    return search.best_entities(scores.withColumn("mean", F.round("mean", 9)), 3).select("qid", "id", F.round("mean", 6).alias("mean"))
+
+
+def passage_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.passage_weights(_search_hits(spark, sf_dir, 1000), Qa.paragraph_node_weight).withColumn("weight", F.round("weight", 6))
+
+
+def _weights_sql(hits: str) -> str:
+    return f"""SELECT qid, id, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END * {Qa.paragraph_node_weight} AS weight FROM (
+      SELECT *, greatest(max(score) OVER (PARTITION BY qid), 0.0) AS hi, least(min(score) OVER (PARTITION BY qid), 1.0) AS lo FROM ({hits}))"""
+
+
+def _one_query(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("all",)], "qid string")
+
+
+def _ppr_sql(edges: str, queries: str, alpha: float, personal: str | None = None, dangling: str | None = None) -> str:
+    """ROUNDS rounds, unrolled. personal, dangling: (qid, id, weight)."""
+    p = "1.0 / n" if personal is None else "coalesce(pw.weight / pt.total, 0.0)"
+    d = "" if dangling is None else "coalesce(dw.weight / dt.total, p)"
+    joins = "" if personal is None else " LEFT JOIN pw ON pw.qid = q.qid AND pw.id = v.id LEFT JOIN pt ON pt.qid = q.qid"
+    ctes = [
+        f"e AS MATERIALIZED ({edges})", "v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)", "n AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM v)",
+        "t AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e)", f"q AS MATERIALIZED ({queries})",
+    ]
+    if personal is not None:
+        ctes += [f"pw AS MATERIALIZED ({personal})", "pt AS MATERIALIZED (SELECT qid, sum(weight) AS total FROM pw GROUP BY qid)"]
+    ctes.append(f"s AS MATERIALIZED (SELECT q.qid, v.id, {p} AS p, v.id NOT IN (SELECT src FROM t) AS sink, 1.0 / n AS r FROM q CROSS JOIN v CROSS JOIN n{joins})")
+    if dangling is None:
+        ctes.append("s0 AS MATERIALIZED (SELECT *, p AS d FROM s)")
+    else:
+        ctes += [f"dw AS MATERIALIZED ({dangling})", "dt AS MATERIALIZED (SELECT qid, sum(weight) AS total FROM dw GROUP BY qid)"]
+        ctes.append(f"s0 AS MATERIALIZED (SELECT s.*, {d} AS d FROM s LEFT JOIN dw ON dw.qid = s.qid AND dw.id = s.id LEFT JOIN dt ON dt.qid = s.qid)")
+    for i in range(ROUNDS):
+        ctes.append(f"m{i} AS MATERIALIZED (SELECT qid, dst AS id, sum(r * share) AS moved FROM s{i} JOIN t ON src = s{i}.id GROUP BY qid, dst)")
+        ctes.append(f"l{i} AS MATERIALIZED (SELECT qid, {alpha} * sum(CASE WHEN sink THEN r ELSE 0.0 END) AS lost FROM s{i} GROUP BY qid)")
+        ctes.append(f"s{i + 1} AS MATERIALIZED (SELECT a.qid, a.id, a.p, a.sink, lost * a.d + (1 - {alpha}) * a.p + {alpha} * coalesce(moved, 0.0) AS r, a.d FROM s{i} a LEFT JOIN m{i} m ON m.qid = a.qid AND m.id = a.id JOIN l{i} l ON l.qid = a.qid)")
+    return f"WITH {', '.join(ctes)} SELECT qid, id, r AS score FROM s{ROUNDS}"
+
+
+def ppr_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = _graph(spark, sf_dir)
+    return pagerank(nodes, edges, _one_query(spark), max_iter=ROUNDS, tol=None).withColumn("score", F.round("score", 9))
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's entity weighs as much as its orders: (qid, id, weight)."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("weight"))
+    return o.select(F.lit("all").alias("qid"), key("entity", F.concat(F.lit("customer-"), F.col("o_custkey"))).alias("id"), "weight")
+
+
+_CUSTOMERS_SQL = "SELECT 'all' AS qid, 'entity-' || sha256('customer-' || o_custkey) AS id, count(*)::DOUBLE AS weight FROM orders GROUP BY o_custkey"
+
+
+def ppr_personalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = _graph(spark, sf_dir)
+    return pagerank(nodes, edges, _one_query(spark), _customers(spark, sf_dir), alpha=0.8, max_iter=ROUNDS, tol=None).withColumn("score", F.round("score", 9))
+
+
+def ppr_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = _graph(spark, sf_dir)
+    return pagerank(nodes, edges, _one_query(spark), dangling=_customers(spark, sf_dir), max_iter=ROUNDS, tol=None).withColumn("score", F.round("score", 9))
+
+
+def kg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, counts = _graph(spark, sf_dir)
+    passages = _order_hits(spark, sf_dir, 1000).withColumn("id", F.concat(F.lit("paragraph-"), F.col("id")))
+    qa = Qa(ent_filter_top_k=10)
+    found = search.graph_search(_relation_hits(spark, sf_dir), passages, _relations(spark, sf_dir), nodes, edges, counts, qa, max_iter=ROUNDS, tol=None)
+    return found.withColumn("score", F.round("score", 9))
+
+
+_TOP_ENTITIES_SQL = f"SELECT qid, id, weight FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY mean DESC, id) AS place FROM ({_MINMAX_SQL})) WHERE place <= 10"
+_ORDER_HITS_SQL = f"SELECT qid, 'paragraph-' || id AS id, score FROM ({_hits_sql(1000, among=_ORDERS)})"
+_KG_SQL = _ppr_sql(
+    _EDGES_SQL, f"SELECT DISTINCT qid FROM ({_RELATION_HITS_SQL})", Qa.ppr_damping,
+    f"SELECT qid, id, weight FROM ({_TOP_ENTITIES_SQL}) UNION ALL SELECT qid, id, weight FROM ({_weights_sql(_ORDER_HITS_SQL)})",
+)
+
+
+# The graph store.
+
+def _store(spark: SparkSession, sf_dir: str) -> DiGraph:
+    nodes, edges, _ = _graph(spark, sf_dir)
+    none = F.create_map().cast("map<string, struct<int: bigint, float: double, str: string>>")
+    return DiGraph(nodes.withColumn("attrs", none), edges.withColumn("attrs", none))
+
+
+def graph_remove_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "part").where("p_size < 10").select(key("entity", F.concat(F.lit("part-"), F.col("p_partkey"))).alias("id"))
+    graph = _store(spark, sf_dir)
+    return graph.remove_nodes(gone.join(graph.nodes, "id", "left_semi").select("id")).edges.select("src", "dst", "weight")
+
+
+def graph_out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).out_degrees()
+
+
+def graph_new_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).absent_ends(kg.entity_edges(event_triples(spark, sf_dir)))
+
+
+# Without a counterpart in SQL.
+
+def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' properties, cut in the middle, made whole again."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('[["a", {"e": "x,]", "p": '), F.col("props"), F.lit("}, [1, 2")).alias("t"))
+    return e.select("event_id", F.to_json(F.parse_json(repaired("t"))).alias("json"))
+
+
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = passage_fallback(spark, sf_dir)
+    known = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id", "score", "text"))).alias("k"))
+    return known.select("qid", F.to_json(answer_messages(F.concat(F.lit("query "), F.col("qid")), "k")).alias("messages"))
+
+
+def chat_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", split_reasoning(F.concat(F.lit("<think>"), F.col("role"), F.lit("</think>"), F.col("text"))).alias("s"))
+    return c.select("conv_id", "turn", "s.reasoning", "s.content")
+
+
+_STOP = "'', '你', '他', '她', '它', '我们', '你们', '他们', '她们', '它们'"
+_BLANKS = "E' \\n\\t\\r'"
+_ROUNDED = "SELECT qid, id, round(score, 9) AS score FROM"
+
+_PAIRS: dict[str, tuple] = {
+    "dedup_passages": (dedup_passages, "SELECT sha256(text) AS pg_hash, arg_min(text, doc_id) AS passage, min(doc_id) AS pos FROM documents GROUP BY 1"),
+    "blank_entity_filter": (
+        blank_entity_filter,
+        f"""SELECT doc_id, len(e)::BIGINT AS n_entities, sha256(array_to_string(list_sort(e), '|')) AS entities_hash FROM (
+          SELECT doc_id, list_distinct(list_filter(string_split(coalesce(text, ''), ' '), lambda x: trim(x, {_BLANKS}) <> '' AND x NOT IN ({_STOP}))) AS e FROM documents)""",
+    ),
+    "triple_filter": (
+        triple_filter,
+        f"""SELECT doc_id, len(list_distinct(list_filter(list_transform(range(1, len(w) + 1, 3), lambda i: w[i:i + 2]), lambda t: len(t) = 3 AND len(list_filter(t, lambda x: trim(x, {_BLANKS}) = '')) = 0)))::BIGINT AS n_triples
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents)""",
+    ),
+    "corpus_stats": (
+        corpus_stats,
+        """SELECT round_even(sum(length(e)) / count(*), 4) AS avg_ent_chars, round_even(sum(len(list_filter(string_split_regex(e, '\\s+'), lambda x: x <> ''))) / count(*), 4) AS avg_ent_words
+          FROM (SELECT unnest(string_split(coalesce(text, ''), ' ')) AS e FROM documents)""",
+    ),
+    "document_completeness": (
+        document_completeness,
+        f"""SELECT idx, n_entities, n_triples FROM (SELECT doc_id::VARCHAR AS idx, len(list_distinct(list_filter(w, lambda x: trim(x, {_BLANKS}) <> '' AND x NOT IN ({_STOP}))))::BIGINT AS n_entities,
+          (len(w) = 3)::BIGINT AS n_triples FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents)) WHERE n_entities = 0 OR n_triples = 0""",
+    ),
+    "node_labels": (
+        node_labels,
+        """SELECT doc_id, CASE WHEN length(t) < 8 THEN l ELSE left(l, 8) || '...' END AS label, 'paragraph-' || sha256(t) AS id, len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> ''))::BIGINT AS n_words
+          FROM (SELECT doc_id, coalesce(text, '') AS t, replace(coalesce(text, ''), chr(10), ' ') AS l FROM documents)""",
+    ),
+    "relation_texts": (relation_texts, f"""SELECT str, 'relation-' || sha256(str) AS hash FROM (SELECT DISTINCT '(''' || subj || ''', ''' || pred || ''', ''' || obj || ''')' AS str FROM ({ORDER_TRIPLES}))"""),
+    "paragraphs": (
+        paragraphs,
+        """SELECT conv_id, turn, pos::BIGINT AS pos, passage FROM (
+          SELECT conv_id, turn, unnest(p) AS passage, generate_subscripts(p, 1) - 1 AS pos FROM (
+            SELECT conv_id, turn, CASE WHEN trim(t, E' \\n\\t\\r') = '' THEN [] ELSE [t || chr(10), t || chr(10)] END AS p FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)))""",
+    ),
+    "event_properties": (event_properties, "SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1"),
+    "entity_edges": (entity_edges, _edges_sql(ORDER_TRIPLES)),
+    "entity_df": (entity_df, _df_sql(ORDER_TRIPLES)),
+    "entity_passage_edges": (entity_passage_edges, _passage_edges_sql(ORDER_TRIPLES)),
+    "loop_edges": (loop_edges, _edges_sql(EVENT_TRIPLES)),
+    "loop_df": (loop_df, _df_sql(EVENT_TRIPLES)),
+    "loop_passage_edges": (loop_passage_edges, _passage_edges_sql(EVENT_TRIPLES, True)),
+    "edge_upsert": (
+        edge_upsert,
+        f"""SELECT src, dst, sum(weight) AS weight, min(made) AS create_time, max(made) AS update_time FROM (
+          SELECT *, 1.0::DOUBLE AS made FROM ({_edges_sql(f'SELECT * FROM ({ORDER_TRIPLES}) WHERE idx::BIGINT % 2 = 0')}) UNION ALL
+          SELECT *, 2.0::DOUBLE FROM ({_edges_sql(f'SELECT * FROM ({ORDER_TRIPLES}) WHERE idx::BIGINT % 2 = 1')})) GROUP BY src, dst""",
+    ),
+    "new_node_attrs": (
+        new_node_attrs,
+        f"""WITH t AS (SELECT * FROM ({ORDER_TRIPLES})), old AS (SELECT subj AS e FROM t WHERE idx::BIGINT % 2 = 0 AND subj <> obj UNION SELECT obj FROM t WHERE idx::BIGINT % 2 = 0 AND subj <> obj)
+          SELECT 'entity-' || sha256(e) AS id, e AS content, 'ent' AS type, 2.0::DOUBLE AS create_time FROM (SELECT subj AS e FROM t WHERE idx::BIGINT % 2 = 1 UNION SELECT obj FROM t WHERE idx::BIGINT % 2 = 1) WHERE e NOT IN (SELECT e FROM old)
+          UNION ALL SELECT DISTINCT 'paragraph-' || idx, left('order number ' || idx, 8) || '...', 'pg', 2.0::DOUBLE FROM t WHERE idx::BIGINT % 2 = 1""",
+    ),
+    "count_merge": (count_merge, _df_sql(ORDER_TRIPLES)),
+    "anti_dedup": (
+        anti_dedup,
+        """WITH h AS (SELECT doc_id, sha256(text) AS pg_hash FROM documents) SELECT doc_id, pg_hash FROM h
+          WHERE pg_hash NOT IN (SELECT pg_hash FROM h WHERE doc_id % 2 = 0 INTERSECT SELECT pg_hash FROM h WHERE doc_id % 3 = 0)""",
+    ),
+    "consistency_check": (consistency_check, "SELECT sha256(text) AS pg_hash FROM documents EXCEPT SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0"),
+    "knn_topk": (knn_topk, f"SELECT qid, id, round(score, 6) AS score, rank FROM ({_hits_sql(10, '')})"),
+    "synonym_pairs": (synonym_pairs, f"SELECT src, dst, round(weight, 6) AS weight FROM ({_SYNONYMS_SQL})"),
+    "synonym_override": (
+        synonym_override,
+        f"""SELECT src, dst, round(coalesce(s.weight, r.weight), 6) AS weight FROM ({_SYNONYMS_SQL}) s FULL JOIN (
+          SELECT l_partkey::VARCHAR AS src, l_suppkey::VARCHAR AS dst, count(*)::DOUBLE AS weight FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2) r USING (src, dst)""",
+    ),
+    "dyn_topk": (dyn_topk, f"SELECT qid, id, round(score, 6) AS score, round(norm, 6) AS norm FROM ({_dynamic_sql(_hits_sql(1000))})"),
+    "activation": (
+        activation,
+        f"""SELECT q.qid, round(coalesce(a, 0.0), 6) AS activation FROM (SELECT vec_id::VARCHAR AS qid FROM embeddings WHERE vec_id % 100 = 0) q
+          LEFT JOIN (SELECT qid, 10 * sum(norm) AS a FROM ({_gated_sql(_dynamic_sql(_hits_sql(10)))}) GROUP BY qid) h ON h.qid = q.qid""",
+    ),
+    "passage_fallback": (passage_fallback, f"SELECT qid, id, round(score, 6) AS score, round(norm, 6) AS norm, text FROM ({_dynamic_sql(_hits_sql(1000))}) h JOIN documents ON doc_id::VARCHAR = id"),
+    "entity_scores": (entity_scores, f"SELECT qid, id, round(total, 6) AS total, round(mean, 6) AS mean, round(weight, 6) AS weight FROM ({_SCORES_SQL})"),
+    "entity_minmax": (entity_minmax, f"SELECT qid, id, round(weight, 6) AS weight FROM ({_MINMAX_SQL})"),
+    "entity_topk": (entity_topk, f"SELECT qid, id, round(mean, 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(mean, 9) DESC, id) AS place FROM ({_SCORES_SQL})) WHERE place <= 3"),
+    "passage_weights": (passage_weights, f"SELECT qid, id, round(weight, 6) AS weight FROM ({_weights_sql(_hits_sql(1000))})"),
+    "ppr_global": (ppr_global, f"{_ROUNDED} ({_ppr_sql(_EDGES_SQL, 'SELECT ' + repr('all') + ' AS qid', 0.85)})"),
+    "ppr_personalized": (ppr_personalized, f"{_ROUNDED} ({_ppr_sql(_EDGES_SQL, 'SELECT ' + repr('all') + ' AS qid', 0.8, _CUSTOMERS_SQL)})"),
+    "ppr_dangling": (ppr_dangling, f"{_ROUNDED} ({_ppr_sql(_EDGES_SQL, 'SELECT ' + repr('all') + ' AS qid', 0.85, dangling=_CUSTOMERS_SQL)})"),
+    "kg_search": (kg_search, f"{_ROUNDED} ({_KG_SQL}) WHERE id LIKE 'paragraph-%'"),
+    "graph_remove_node": (
+        graph_remove_node,
+        f"""WITH gone AS (SELECT 'entity-' || sha256('part-' || p_partkey) AS id FROM part WHERE p_size < 10)
+          SELECT src, dst, weight FROM ({_EDGES_SQL}) WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)""",
+    ),
+    "graph_out_degree": (graph_out_degree, f"SELECT src AS id, count(*) AS degree FROM ({_EDGES_SQL}) GROUP BY src"),
+    "graph_new_nodes": (graph_new_nodes, f"SELECT DISTINCT src AS id FROM ({_edges_sql(EVENT_TRIPLES)}) WHERE src NOT IN (SELECT src FROM ({_EDGES_SQL}) UNION SELECT dst FROM ({_EDGES_SQL}))"),
+    "chat_reasoning": (chat_reasoning, "SELECT conv_id, turn, role AS reasoning, text AS content FROM conversations"),
+    "synonym_leader": (synonym_leader, None),
+    "json_repair": (json_repair, None),
+    "prompt_context": (prompt_context, None),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _PAIRS.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _PAIRS.items() if sql}

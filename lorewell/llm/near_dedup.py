@@ -12,7 +12,7 @@ No table emits the pairs of a bucket. Documents of one shingle set are one node;
 
 1. each bucket tests its smallest node against its others, on the full sets, which joins
    a group of n near copies by n tests;
-2. candidates that are still in different components are joined exactly: of all nodes that any bucket held, pairs that
+2. candidates that are still in different components are joined exactly: of all nodes of buckets with more than one component, pairs that
    share a shingle of their prefixes (rarest shingles first) are tested, but never two of one component.
 
 So no bucket has a cap, and no link between candidates of different components is lost.
@@ -237,8 +237,14 @@ def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     stars = members.join(materialize(center), "key").where("rep <> c.rep").where(f"100 * least(n_shingles, c.n_shingles) >= {percent} * greatest(n_shingles, c.n_shingles)")
     stars = materialize(stars.select(F.col("c.rep").alias("center"), F.col("rep").alias("member"), F.col("c.rep").alias("u"), F.col("rep").alias("v")).distinct())
     label = _joined(label, _verified(stars, texts, percent))
-    sizes = members.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n")).distinct()
-    rest = materialize(_crossing(label, sizes, texts, percent).join(stars, ["center", "member"], "left_anti"))
+    # Buckets of more than two nodes, in more than one component: a bucket of two is done.
+    placed = materialize(members.join(label.withColumnRenamed("node", "rep"), "rep"))
+    open_ = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("m > 2 and x < y").select("key")
+    nodes = materialize(placed.join(open_, "key").select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "comp").distinct())
+    if nodes.isEmpty():
+        return label
+    some = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id")
+    rest = materialize(_crossing(nodes.select("node", "comp"), nodes.select("node", "n"), some, percent).join(stars, ["center", "member"], "left_anti"))
     return _joined(label, _verified(rest, texts, percent))
 
 

@@ -25,9 +25,9 @@ from lorewell.llm.shared import documents_text, lean, text_buffers
 WINDOW = 2048
 END = 1
 #: Distinct words whose ids a worker remembers; beyond that it keeps, of those met again, half as many at most.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of text tokenized at a time; a longer text is handled alone.
-TOKENIZED_BYTES = 4 << 20
+TOKENIZED_BYTES = 3 << 20
 #: Marks that, after a letter, end a piece of a word for the tokenizer whatever they are followed by.
 _MARKS = ".,;:!?*#%&$"
 
@@ -219,9 +219,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
                     total, full = len(own), len(own) // window * window
                     for a in range(0, full, window):
                         close([(names[i], a, own[a : a + window], total)])
-                    if full < total and (pieces := packer.place(total - full, (names[i], full, own[full:], total))):
+                    if full < total and (pieces := packer.place(total - full, (names[i], full, own[full:].copy(), total))):
                         close(pieces)
-                if len(rows) >= 2000:
+                if len(rows) >= 500:
                     yield flush()
         # The windows that stay partly filled, end to end.
         held, size = [], 0

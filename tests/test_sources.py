@@ -1,0 +1,91 @@
+import gzip
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lorewell.config import Config, load_config
+from lorewell.operators.graph import DiGraph
+from lorewell.sources import readers, sinks
+from lorewell.sources.store import TableStore, durable
+
+
+def test_raw_corpus_keeps_first_strings(spark, tmp_path):
+    (tmp_path / "raw.json").write_text(json.dumps(["a", 1, "b", None, ["a"], "a", "é"]), encoding="utf-8")
+    rows = readers.read_raw_corpus(spark, str(tmp_path / "raw.json")).orderBy("pos").collect()
+    assert [(r["passage"], r["pos"]) for r in rows] == [("a", 0), ("b", 2), ("é", 6)]
+
+
+def test_paragraph_file(spark, tmp_path):
+    (tmp_path / "raw.txt").write_text("one\ntwo\n\n \t\nthree\n", encoding="utf-8")
+    assert [tuple(r) for r in readers.read_paragraphs(spark, str(tmp_path / "raw.txt")).collect()] == [(0, "one\ntwo\n"), (1, "three\n")]
+    sinks.write_passages(readers.read_paragraphs(spark, str(tmp_path / "raw.txt")), str(tmp_path / "out"))
+    assert [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()] == [["one\ntwo\n", "three\n"]]
+
+
+def test_jsonl_rows_may_differ(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"id": 1, "name": "n"}\n\n{"id": "q", "paragraphs": [{"idx": 0, "ok": true}]}\n')
+    rows = readers.read_jsonl(spark, "x.jsonl", base=str(tmp_path)).select(F.to_json("value").alias("v")).collect()
+    assert [json.loads(r["v"]) for r in rows] == [{"id": 1, "name": "n"}, {"id": "q", "paragraphs": [{"idx": 0, "ok": True}]}]
+    assert readers.read_jsonl(spark, str(tmp_path / "x.jsonl"), "name string").where("name = 'n'").count() == 1
+    with pytest.raises(FileNotFoundError):
+        readers.read_jsonl(spark, "nothing.jsonl", base=str(tmp_path))
+
+
+def test_openie_and_cache(spark, tmp_path):
+    docs = {"docs": [{"idx": "h", "passage": "p", "extracted_entities": ["a", None], "extracted_triples": [["a", "b", "c"]]}], "avg_ent_chars": 1.0, "avg_ent_words": 1.0}
+    (tmp_path / "o.json").write_text(json.dumps(docs, indent=4))
+    read = readers.read_openie(spark, str(tmp_path / "o.json"))
+    row = read.first()
+    assert (row["idx"], row["extracted_entities"], row["extracted_triples"], row["pos"]) == ("h", ["a", None], [["a", "b", "c"]], 0)
+    sinks.write_openie(read, spark.range(1).select(F.lit(1.0).alias("avg_ent_chars"), F.lit(2.0).alias("avg_ent_words")), str(tmp_path / "again"))
+    assert json.loads(spark.read.text(str(tmp_path / "again")).first()["value"])["avg_ent_words"] == 2.0
+    sinks.append_cache(read.drop("pos"), str(tmp_path / "cache"))
+    (tmp_path / "cache" / "broken.json").write_text('{"idx": "z", "passa\n')
+    assert [r["idx"] for r in readers.read_cache(spark, str(tmp_path / "cache")).collect()] == ["h"]
+
+
+def test_edge_list(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("2 1\na b 0.5\nb c 1\nc 2.5\n")
+    edges, nodes = readers.read_edge_list(spark, str(tmp_path / "e.txt"))
+    assert sorted(map(tuple, edges.collect())) == [("a", "b", 0.5), ("b", "c", 1.0)]
+    assert list(map(tuple, nodes.collect())) == [("c", 2.5)]
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_graphml_round_trip(spark, tmp_path, compressed):
+    graph = DiGraph.empty(spark).add_nodes([("n1", {"content": "a < b & \"c\""}), ("n2", {}), ("n3", {"update_time": 100})])
+    graph = graph.add_edges([("n1", "n2", {"weight": 1.5, "at": 7}), ("n2", "n3", {})])
+    path = str(tmp_path / ("g.graphmlz" if compressed else "g.graphml"))
+    graph.save(path, compressed)
+    if compressed:
+        assert gzip.open(path, "rt").read().startswith("<?xml")
+    read = DiGraph.load(spark, path)
+    assert read["n1"] == {"content": "a < b & \"c\""} and read["n2"] == {} and read["n3"] == {"update_time": 100}
+    assert read["n1", "n2"] == {"weight": 1.5, "at": 7} and read["n2", "n3"] == {"weight": 0.0}
+    with pytest.raises(ValueError):
+        graph.save(path + ".xml")
+    with pytest.raises(FileNotFoundError):
+        DiGraph.load(spark, str(tmp_path / "none.graphml"))
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.toml").write_text('[[llm_providers]]\nname = "a"\nbase_url = "u"\napi_key = "k"\n[rag.params]\nsynonym_threshold = 0.7\n[qa.llm]\nmodel = "m"\n[qa.params]\nppr_damping = 0.9\n[embedding]\ndimension = 8\n')
+    config = load_config(str(tmp_path / "c.toml"), Config(providers={"b": {}}))
+    assert set(config.providers) == {"a", "b"} and config.rag.synonym_threshold == 0.7 and config.qa.ppr_damping == 0.9 and config.dimension == 8
+    assert config.qa.relation_threshold == 0.5 and load_config(str(tmp_path / "none.toml")) == Config()
+
+
+def test_store_keeps_the_last_commit(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"))
+    assert not store.exists() and store.read("counts").count() == 0
+    store.commit({"counts": spark.createDataFrame([("a", 1.0)], "hash_key string, appear_cnt double")})
+    store.commit({"stored": spark.createDataFrame([("p",)], "pg_hash string")})
+    assert store.read("counts").first()["hash_key"] == "a" and store.read("stored").count() == 1
+    (tmp_path / "s" / "v=99999999999999999999").mkdir()  # a commit that broke off
+    assert store.read("counts").count() == 1
+
+
+def test_durable(spark):
+    df = durable(spark.range(5))
+    assert df.count() == 5 and "parquet" in df._jdf.queryExecution().toString().lower()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import U64, documents_text, held, lean, lower_ascii, materialize, mix, prefix_hash, span_hash, text_buffers, words
+from lorewell.llm.shared import U64, documents_text, lean, lower_ascii, materialize, mix, prefix_hash, span_hash, text_buffers, words
 
 SHINGLE = 5
 SLOTS = 10
@@ -150,11 +150,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     share a doc_id are one node; a null doc_id links with nothing, has a null component and is kept. Equal sets
     are one node of the search, so exact copies cost nothing. Other columns of docs are not read."""
     texts = documents_text(docs)
-    sigs = held(texts.mapInArrow(lean(_signatures), "doc_id long, n_shingles long, set_hi long, set_lo long, slots array<long>"))
+    # Read twice, computed twice: that is cheaper than writing it.
+    sigs = texts.mapInArrow(lean(_signatures), "doc_id long, n_shingles long, set_hi long, set_lo long, slots array<long>")
     live = sigs.where("n_shingles > 0 and doc_id is not null")
     node = ["n_shingles", "set_hi", "set_lo"]
     reps = live.groupBy(*node).agg(F.min("doc_id").alias("rep"), F.min("slots").alias("slots"))
-    reps = held(reps)
+    reps = materialize(reps)
 
     # Hashes of the small collections that more than one node has.
     slots = reps.select("rep", "n_shingles", F.posexplode("slots").alias("at", "slot"))
@@ -162,16 +163,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     side = lambda a: F.collect_list(F.when(F.col("at") < SLOTS if a else F.col("at") >= SLOTS, F.col("slot")))
     pair = slots.join(met, "slot").groupBy("rep", "n_shingles").agg(side(True).alias("a"), side(False).alias("b"))
     keys = pair.select("rep", "n_shingles", F.explode("a").alias("a"), "b").select("rep", "n_shingles", "a", F.explode("b").alias("b"))
-    keys = held(keys.select("rep", "n_shingles", F.xxhash64("a", "b").alias("key")).distinct())
+    keys = materialize(keys.select("rep", "n_shingles", F.xxhash64("a", "b").alias("key")).distinct())
     who = F.xxhash64("rep")
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(who).alias("x"), F.sum(F.shiftright(who, 24)).alias("y")).where("n > 1")
     buckets = buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    members = held(keys.join(buckets, "key"))
+    members = materialize(keys.join(buckets, "key"))
     if members.isEmpty():
         linked = None
     else:
         flagged = members.select(F.col("rep").alias("doc_id")).distinct()
-        flagged = held(texts.join(flagged, "doc_id"))
+        flagged = materialize(texts.join(flagged, "doc_id"))
         linked = _link(members, flagged, percent)
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in node]
     out = sigs.alias("s").join(reps.alias("r"), same, "left").select(
@@ -212,17 +213,17 @@ def _crossing(label: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int
     Order all shingles from rare to frequent. Two sets of n and m shingles that are similar have k = ceil(percent * (n + m) / (100 + percent)) in common; the
     first of them stands before place n - k of the one and m - k of the other. So prefixes meet, by that place. What sets a document
     apart fills its prefix, and shingles that a whole group of copies shares hardly ever make a pair."""
-    tokens = held(texts.mapInArrow(lean(_token_sets), "node long, tokens array<long>").select("node", F.explode("tokens").alias("token")))
-    seen = held(tokens.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1"))
+    tokens = materialize(texts.mapInArrow(lean(_token_sets), "node long, tokens array<long>").select("node", F.explode("tokens").alias("token")))
+    seen = materialize(tokens.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1"))
     shared = tokens.join(seen, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("shared")).join(sizes, "node")
     # Shingles that no other node has come first of all; of the others, those stay that can be the first in common.
     alone = F.col("n") - F.size("shared")
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     first = F.slice("shared", F.lit(1), F.greatest(most, F.lit(0)).cast("int"))
     rows = shared.select("node", "n", alone.alias("alone"), F.posexplode(first).alias("at", "t")).select("node", "n", (F.col("alone") + F.col("at")).alias("at"), "t.token")
-    rows = held(rows.join(label, "node"))
+    rows = materialize(rows.join(label, "node"))
     largest = rows.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("largest"), F.count("*").alias("comps"))
-    y = rows.join(held(largest.where("comps > 1").select("token", "largest")), "token").alias("y")
+    y = rows.join(materialize(largest.where("comps > 1").select("token", "largest")), "token").alias("y")
     x = y.where("comp <> largest").alias("x")
     # Within the largest component of a shingle no pair is formed.
     place = f"(x.n - x.at) * {100 + percent} >= {percent} * (x.n + y.n) and (y.n - y.at) * {100 + percent} >= {percent} * (x.n + y.n)"
@@ -233,26 +234,26 @@ def _crossing(label: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int
 
 def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """members: (key, rep, n_shingles); texts of their reps. Returns (node, comp)."""
-    label = held(members.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).distinct())
+    label = members.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).distinct()
     center = members.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("c"))
-    stars = members.join(held(center), "key").where("rep <> c.rep").where(f"100 * least(n_shingles, c.n_shingles) >= {percent} * greatest(n_shingles, c.n_shingles)")
-    stars = held(stars.select(F.col("c.rep").alias("center"), F.col("rep").alias("member"), F.col("c.rep").alias("u"), F.col("rep").alias("v")).distinct())
+    stars = members.join(materialize(center), "key").where("rep <> c.rep").where(f"100 * least(n_shingles, c.n_shingles) >= {percent} * greatest(n_shingles, c.n_shingles)")
+    stars = materialize(stars.select(F.col("c.rep").alias("center"), F.col("rep").alias("member"), F.col("c.rep").alias("u"), F.col("rep").alias("v")).distinct())
     label = _joined(label, _verified(stars, texts, percent))
     # Buckets of more than two nodes, in more than one component: a bucket of two is done.
-    placed = held(members.join(label.withColumnRenamed("node", "rep"), "rep"))
+    placed = members.join(label.withColumnRenamed("node", "rep"), "rep")
     open_ = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("m > 2 and x < y").select("key")
-    nodes = held(placed.join(open_, "key").select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "comp").distinct())
+    nodes = materialize(placed.join(open_, "key").select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "comp").distinct())
     if nodes.isEmpty():
         return label
     some = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id")
-    rest = held(_crossing(nodes.select("node", "comp"), nodes.select("node", "n"), some, percent).join(stars, ["center", "member"], "left_anti"))
+    rest = materialize(_crossing(nodes.select("node", "comp"), nodes.select("node", "n"), some, percent).join(stars, ["center", "member"], "left_anti"))
     return _joined(label, _verified(rest, texts, percent))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs, with all their columns, without the near copies: of each component the smallest doc_id stays.
     Of rows that share an id one stays, with the smallest text; rows with a null id all stay."""
-    found = held(near_duplicates(docs, percent))
+    found = materialize(near_duplicates(docs, percent))
     out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():

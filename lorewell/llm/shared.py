@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,14 +90,6 @@ def documents_text(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df, computed once and kept on the executors' disks for plans that read it again. Its lineage goes on: what a lost
-    executor held is computed anew. Meant for steps of one plan; loops cut their lineage with materialize()."""
-    df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    return df
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = x ^ (x >> U64(32))

@@ -146,7 +146,7 @@ def _build(table: pa.Table) -> pa.Table:
 
 def _gather(table: pa.Table) -> pa.Table:
     values = _matrix(table["v"])
-    return pa.table({"batch": table["batch"][:1], "query_ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "queries": pa.array([values.tobytes()], pa.binary())})
+    return pa.table({"batch": table["batch"][:1], "query_ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "keys": pa.array([table["key"].to_numpy().tobytes()], pa.binary()), "queries": pa.array([values.tobytes()], pa.binary())})
 
 
 def _searcher(k: int):
@@ -162,7 +162,7 @@ def _searcher(k: int):
                 found = [index.top(int(q), v, k) for q, v in zip(names, queries, strict=True)]
                 n = [len(x[0]) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(names, n)), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], ["query_id", "vec_id", "score"]
+                    [pa.array(np.repeat(names, n)), pa.array(np.repeat(get("keys"), n)), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], ["query_id", "key", "vec_id", "score"]
                 )
 
     return search
@@ -178,19 +178,20 @@ def build_index(vectors: DataFrame, rows: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k highest inner products of every query with the rows of vectors, both as from quantised(): query_id, rank,
     vec_id, score; all if there are fewer. Ties go to the smaller vec_id; rows that have a query's own id are no candidates for it; other rows that
-    share an id each count. A query repeated in queries is answered once for each."""
+    share an id each count. Queries that are equal in id and vector are answered once, those equal in id alone each for itself."""
     spark = vectors.sparkSession
     small_batches(spark)
+    queries = queries.withColumn("key", F.xxhash64("v")).distinct()
     rows, asked = vectors.count(), queries.count()
     index = build_index(vectors, rows)
     batches = max(1, -(-asked // QUERIES))
     dealt = queries.withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.lit(batches)))
-    dealt = dealt.groupBy("batch").applyInArrow(_gather, "batch long, query_ids binary, queries binary")
+    dealt = dealt.groupBy("batch").applyInArrow(_gather, "batch long, query_ids binary, keys binary, queries binary")
     blocks = max(1, -(-rows // BLOCK))
     # Each query block names every row block: an equi-join, a task for each pair.
     asked_of = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     pairs = asked_of.join(index, "block")
     tasks = min(blocks * batches, TASKS)  # about a pair of blocks, a megabyte or two, for each
-    found = pairs.repartition(tasks, "batch", "block").mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.repartition(tasks, "batch", "block").mapInArrow(_searcher(k), "query_id long, key long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -133,5 +133,6 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
     taken = materialize(taken.where("copies > 0"))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.size") == F.col("t.size"))
-    out = rows.alias("r").join(taken.alias("t"), same)
+    # Always a shuffled join, so that the plan is the same at every size.
+    out = rows.alias("r").join(taken.alias("t").hint("merge"), same)
     return out.select("r.row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

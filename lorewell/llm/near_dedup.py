@@ -172,7 +172,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         linked = None
     else:
         flagged = members.select(F.col("rep").alias("doc_id")).distinct()
-        flagged = materialize(texts.join(flagged, "doc_id"))
+        # Always a shuffled join, so that the plan is the same at every size.
+        flagged = materialize(texts.join(flagged.hint("merge"), "doc_id"))
         linked = _link(members, flagged, percent)
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in node]
     out = sigs.alias("s").join(reps.alias("r"), same, "left").select(
@@ -254,7 +255,7 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs, with all their columns, without the near copies: of each component the smallest doc_id stays.
     Of rows that share an id one stays, with the smallest text; rows with a null id all stay."""
     found = materialize(near_duplicates(docs, percent))
-    out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    out = docs.join(found.where("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return out

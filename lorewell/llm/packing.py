@@ -12,7 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,17 +46,23 @@ class WordTokenizer:
         self.ends = np.zeros(1 << 16, dtype=np.int64)
         self.met = np.zeros(1 << 16, dtype=np.int32)  # in how many pieces of text
 
-    def _append(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+    def _put(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Writes ids of some words after those of the known ones; returns their places."""
         k, n = len(self.known) + 1, self.used + len(ids)
         if n > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(n, len(self.ids)), dtype=np.uint32)))
-        if k + len(words) > len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros(max(len(words), len(self.ends)), dtype=np.int64)))
+        if k + len(lens) > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros(max(len(lens), len(self.ends)), dtype=np.int64)))
             self.met = np.concatenate((self.met, np.zeros(len(self.ends) - len(self.met), dtype=np.int32)))
         self.ids[self.used : n] = ids
-        self.ends[k : k + len(words)] = self.used + np.cumsum(lens)
-        self.used = n
-        self.known.update(zip(words, range(k, k + len(words)), strict=True))
+        self.ends[k : k + len(lens)] = self.used + np.cumsum(lens)
+        return np.arange(k, k + len(lens))
+
+    def _append(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        places = self._put(ids, lens)
+        self.met[places] = 0
+        self.used += len(ids)
+        self.known.update(zip(words, places.tolist(), strict=True))
 
     def _encode(self, words: list[str]) -> None:
         # A word of lower-case ASCII letters alone is a piece as it stands: only the model is needed.
@@ -83,8 +89,10 @@ class WordTokenizer:
         """Keeps the words that were met in most pieces of text."""
         met = self.met[: len(self.known) + 1]
         bar = next(b for b in chain(range(2, 64), [1 << 31]) if int((met >= b).sum()) <= REMEMBERED // 2)
-        words = [w for w, k in self.known.items() if met[k] >= bar]
-        place = np.array([self.known[w] for w in words], dtype=np.int64)
+        keep = met >= bar
+        keep[0] = False
+        place = np.flatnonzero(keep)  # words stand in the order of their places
+        words = list(compress(self.known, keep[1:].tolist()))
         ids, n = self._ids_of(place)
         counts = met[place] // 2 + 1
         self.known, self.used = {}, 0
@@ -92,18 +100,22 @@ class WordTokenizer:
         self._append(words, ids, n)
         self.met[1 : len(words) + 1] = counts
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Places of words that aren't known. Words with marks at their end aren't remembered, their parts are: what is put for them lasts until the next piece of text."""
         known = self.known
         stems = [w.rstrip(_MARKS) for w in words]
         stems = [s if s and s[-1].isalpha() else w for s, w in zip(stems, words, strict=True)]
         cut = [i for i, (s, w) in enumerate(zip(stems, words, strict=True)) if len(s) < len(w)]
         marks = [words[i][len(stems[i]) :] for i in cut]
         self._encode([s for s in dict.fromkeys(chain(stems, marks)) if s not in known])
+        place = np.fromiter(map(known.__getitem__, stems), dtype=np.int64, count=len(stems))
+        self.met[place] += 1
         if cut:
-            place = np.empty(2 * len(cut), dtype=np.int64)
-            place[::2], place[1::2] = [known[stems[i]] for i in cut], [known[m] for m in marks]
-            ids, n = self._ids_of(place)
-            self._append([words[i] for i in cut], ids, n[::2] + n[1::2])
+            both = np.empty(2 * len(cut), dtype=np.int64)
+            both[::2], both[1::2] = place[cut], [known[m] for m in marks]
+            ids, n = self._ids_of(both)
+            place[cut] = self._put(ids, n[::2] + n[1::2])
+        return place
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's offsets in them."""
@@ -116,12 +128,10 @@ class WordTokenizer:
         words = flat.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self._forget()
-        get = self.known.get
-        place = np.array([get(w, 0) for w in words], dtype=np.int64)
-        if len(new := np.flatnonzero(place == 0)):
-            self._learn([words[i] for i in new.tolist()])
-            place[new] = [self.known[words[i]] for i in new.tolist()]
+        place = np.fromiter(map(self.known.get, words, repeat(0)), dtype=np.int64, count=len(words))
         self.met[place] += 1
+        if len(new := np.flatnonzero(place == 0)):
+            place[new] = self._learn([words[i] for i in new.tolist()])
         out, n = self._ids_of(place[flat.indices.to_numpy()])
         return out, np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
 

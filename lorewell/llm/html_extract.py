@@ -3,8 +3,8 @@
 A tolerant scan turns a page into block elements and runs of text. Runs are grouped by their tag path, the tags
 and classes from the root down. A path's text ratio (letters outside links for each run) and its punctuation ratio
 are given to its runs, smoothed along the page, multiplied and compared with a
-threshold. The block that encloses most of the text of the chosen paths is the article; in it, headings and short paragraphs stay,
-and what the markup names as navigation, notice, advert, form, comment and the like goes.
+threshold. All text of the chosen paths stays, wherever it stands. In an article or main element that holds such text everything stays; elsewhere,
+headings in the innermost block around all of it, or right above it, do. What the markup names as navigation, notice, advert, form, comment and the like goes.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from lorewell.llm.shared import lean, small_batches
 KERNEL = (0.5, 0.2, 0.05)
 #: Times the deviation of the fused ratios over the runs of a page.
 THRESHOLD = 0.5
-#: Share of the chosen text that the next block inwards must hold.
-ENCLOSING = 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -194,35 +192,31 @@ def main_text(source: str) -> str:
     chosen &= plain > 0
     if not chosen.any():
         return ""
-    # The innermost block that encloses most of the chosen text.
-    weight = np.zeros(n)
-    for (e, _, _), w, c in zip(runs, plain, chosen, strict=True):
-        weight[e] += w * c
+    # The innermost block around all chosen runs, and the elements that are marked as an article and hold some of them.
+    held = np.zeros(n, dtype=int)
+    for (e, _, _), c in zip(runs, chosen, strict=True):
+        held[e] += c
     for e in range(n - 1, 0, -1):
-        weight[page.parent[e]] += weight[e]
-    inner = {}
-    for e in range(1, n):
-        if page.tag[e] not in _LEAF and weight[e] >= ENCLOSING * weight[0]:
-            inner[page.parent[e]] = e
-    top = 0
-    while top in inner:
-        top = inner[top]
-    inside = [False] * n
+        held[page.parent[e]] += held[e]
+    top = max(e for e in range(n) if held[e] == held[0] and page.tag[e] not in _LEAF)
+    inside, marked = [False] * n, [False] * n
     inside[top] = True
     for e in range(1, n):
         inside[e] = inside[e] or inside[page.parent[e]]
-    # In a block that is marked as the article all runs stay; elsewhere, runs of chosen paths and headings between them.
-    marked = page._inside(top)
-    picked = [i for i, (e, _, _) in enumerate(runs) if inside[e]]
-    paths = {group[i] for i in picked if chosen[i]}
-    wanted = [i for i in picked if chosen[i]]
+        marked[e] = marked[page.parent[e]] or (page.tag[e] in ("article", "main") and held[e] > 0)
+    paths = set(group[chosen])
+    last = np.flatnonzero(chosen)[-1]
     out = []
-    for i in picked:
+    above = False
+    for i in range(len(runs) - 1, -1, -1):
         e, text, linked = runs[i]
         menu = linked >= 0.9 * len(text) and page.tag[e] in ("li", "ul", "ol", "div", "section")
-        heading = page.tag[e] in _HEADING and i < wanted[-1]
-        if not menu and (marked or heading or group[i] in paths):
+        heading = page.tag[e] in _HEADING and i < last and (inside[e] or above)
+        keep = not menu and (marked[e] or heading or group[i] in paths)
+        above = keep and (above or chosen[i])
+        if keep:
             out.append(text)
+    out.reverse()
     return "\n".join(out)
 
 

@@ -147,6 +147,21 @@ def test_pages():
     assert html_extract.main_text("x < y & z") == "x < y & z"
 
 
+def test_uneven_containers_lose_nothing():
+    long = "".join(f"<p>Long paragraph number {i}, of the body, with many words in it.</p>" for i in range(20))
+    lines = [f"Long paragraph number {i}, of the body, with many words in it." for i in range(20)]
+    page = f"<body><article><h1>Title</h1><p>The lead, short.</p><div class=body>{long}</div></article></body>"
+    assert html_extract.main_text(page).split("\n") == ["Title", "The lead, short.", *lines]
+    second = "<p>Second section, it holds a small share, no more.</p><p>And ends, here.</p>"
+    tail = ["Second section, it holds a small share, no more.", "And ends, here."]
+    for outer in ("main", "article", "div", "div><div"):
+        page = f"<body><{outer}><section>{long}</section><section>{second}</section></{outer.split('>')[0]}></body>"
+        assert html_extract.main_text(page).split("\n") == lines + tail
+    page = f"<body><article>{long}</article><article>{second}</article></body>"
+    assert html_extract.main_text(page).split("\n") == lines + tail
+    assert html_extract.main_text(f"<body><h1>Title</h1><div>{long}</div></body>").split("\n") == ["Title", *lines]
+
+
 def test_extraction_of_a_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "", "t"), (3, "w", "<p>" + "word, " * 60_000, "t")], "page_id long, url string, html string, text string")
     got = html_extract.extract(df).collect()

@@ -4,7 +4,9 @@ A tolerant scan turns a page into block elements and runs of text. Runs are grou
 and classes from the root down. A path's text ratio (letters outside links for each run) and its punctuation ratio
 are given to its runs, smoothed along the page, multiplied and compared with a
 threshold. All text of the chosen paths stays, wherever it stands. In an article or main element that holds such text everything stays; elsewhere,
-headings in the innermost block around all of it, or right above it, do. What the markup names as navigation, notice, advert, form, comment and the like goes.
+headings in the innermost block around all of it, or right above it, do.
+What the markup's tags and roles mark as navigation, dialog and the like goes. A block that its class or id (or a form tag) names as sidebar, notice, advert, comment
+and the like goes unless the blocks with that name hold most of the chosen text: names weigh on the ratios first, and where they would take most of the text they aren't followed.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from lorewell.llm.shared import lean, small_batches
 KERNEL = (0.5, 0.2, 0.05)
 #: Times the deviation of the fused ratios over the runs of a page.
 THRESHOLD = 0.5
+#: What a name of layout, and a name of what others have written, leave of a run's ratio when names are weighed.
+NAMED, FOREIGN = 0.5, 0.05
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -37,30 +41,37 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag ends if it is open, up to a tag that bounds it.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _BOUND = frozenset("html body article section main div td th table li blockquote nav aside footer header form figure dd".split())
-_NEVER = frozenset("head nav footer aside form script style noscript template button select option textarea dialog iframe object svg canvas audio video menu".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
+_NEVER = frozenset("head nav footer aside script style noscript template button select option textarea dialog iframe object svg canvas audio video menu".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar status".split())
 #: Words of classes and ids that name what is not the article.
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail footer footers header headers masthead topbar comment comments disqus reply replies respond discussion "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar widget widgets pagination pager paywall copyright form toc hidden".split()
 )
-_ALONE = frozenset({"header", "headers", "form", "rail", "notice", "notices", "alert"})
+#: Of these, words that name parts of an article too.
+_ALONE = frozenset("header headers form rail notice notices alert discussion search social navigation promotion copyright".split())
+_TALK = frozenset("comment comments disqus reply replies respond".split())
+_FOREIGN = _TALK | frozenset("discussion ad ads adv advert adverts advertisement adsense cookie cookies consent gdpr newsletter paywall".split())
+_ARTICLE_WORDS = frozenset({"comment", "comments", "reply", "related", "ad", "promo"})
+_FORM = "<form>"
 _MARKS = re.compile(r"[.,;:!?…、。，！？]")
+_STATE = re.compile(r"(?<!\S)(?:has|with|without|no)(?:[-_]|(?=[A-Z]))\S+")
 _SPACE = re.compile(r"[\s ]+")
 
 
 @lru_cache(4096)
 def _names(classes: str) -> frozenset:
-    spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", classes)
+    """The words of a class or id; what a block has or lacks (has-sidebar, no-sidebar) doesn't name it."""
+    spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", _STATE.sub("", classes))
     return frozenset(re.findall(r"[a-z]+", spaced.lower()))
 
 
 class _Page:
-    """Block elements (parent, tag, whether they are no part of an article) and runs of text (element, text, letters in links)."""
+    """Block elements (parent, tag, whether they are no part of an article, words that name them as none) and runs of text (element, text, letters in links)."""
 
     def __init__(self, source: str) -> None:
-        self.parent, self.tag, self.label, self.bad, self.word = [-1], [""], [""], [False], [False]
+        self.parent, self.tag, self.label, self.bad, self.word = [-1], [""], [""], [False], [frozenset()]
         self.runs: list[tuple[int, str, int]] = []
         stack, links = [(0, "")], 0
         text: list[str] = []
@@ -134,12 +145,10 @@ class _Page:
             links = 0
             up = stack[-1][0]
             attrs = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[3])} if m[3].strip(" \t\r\n/") else {}
-            names = _names(f"{attrs.get('class', '')} {attrs.get('id', '')}") if attrs else frozenset()
             within = self._inside(up)
             bad = tag in _NEVER or (tag == "header" and not within) or attrs.get("role", "") in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
             bad = bad or re.sub(r"\s", "", attrs.get("style", "")).find("display:none") >= 0
-            word = tag not in ("html", "body", "main", "article") and bool(names & (_WORDS - _ALONE if within else _WORDS))
-            word = word or (tag == "article" and bool(names & {"comment", "comments", "reply", "related", "ad", "promo"}))
+            word = self._words(tag, attrs, within) if attrs or tag == "form" else frozenset()
             self.parent.append(up)
             self.tag.append(tag)
             self.label.append(f"{self.label[up]}/{tag}" + (f".{attrs.get('class', '').split()[0]}" if attrs.get("class", "").strip() else ""))
@@ -149,6 +158,21 @@ class _Page:
                 stack.append((len(self.tag) - 1, tag))
         close()
 
+    @staticmethod
+    def _words(tag: str, attrs: dict, within: bool) -> frozenset:
+        form = frozenset({_FORM}) if tag == "form" or attrs.get("role", "") == "form" else frozenset()
+        if tag in ("html", "body", "main") or tag in _HEADING:
+            return form
+        own, anchor = _names(attrs.get("class", "")), attrs.get("id", "")
+        if within and (tag == "section" or "section" in own):
+            # The id of an article's section is made of its title.
+            own |= _TALK & {anchor}
+        else:
+            own |= _names(anchor)
+        if tag == "article":
+            return form | own & _ARTICLE_WORDS
+        return form | own & (_WORDS - _ALONE if within else _WORDS)
+
     def _inside(self, e: int) -> bool:
         while e > 0:
             if self.tag[e] in ("article", "main"):
@@ -167,6 +191,58 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return out / total
 
 
+def _ratios(page: _Page, runs: list, weight: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run: the number of its tag path, its letters outside links, and whether it is chosen.
+    The tag paths' ratios are taken first, then those of the runs along the page."""
+    path = [page.label[e] for e, _, _ in runs]
+    plain = np.array([max(0, len(t) - linked) for _, t, linked in runs], dtype=float)
+    marks = np.array([len(_MARKS.findall(t)) for _, t, _ in runs], dtype=float) * (plain > 0)
+    _, group = np.unique(path, return_inverse=True)
+    count = np.bincount(group)
+    length, point = (np.bincount(group, weights=x) / count for x in (plain, marks))
+    fused = _smooth(length[group]) * _smooth(1 + point[group]) * weight
+    chosen = fused >= min(THRESHOLD * fused.std(), fused.max())
+    return group, plain, chosen & (plain > 0)
+
+
+def _named_off(page: _Page, words: list[frozenset], gone: list[bool]) -> list[bool]:
+    """The blocks that go by their names. Blocks of one name and depth (how many blocks of that name they are in) stay if they hold most of
+    the chosen text; if what is left were less than half of it, names of layout are no evidence on this page. What others have written counts little."""
+    n = len(page.tag)
+    runs = [r for r in page.runs if not gone[r[0]]]
+    names: list[tuple] = [()] * n
+    weight, share = np.ones(n), np.ones(n)
+    for e in range(1, n):
+        up = page.parent[e]
+        names[e], weight[e], share[e] = names[up], weight[up], share[up]
+        if words[e]:
+            have = [w for w, _ in names[up]]
+            names[e] += tuple((w, have.count(w)) for w in sorted(words[e]))
+            foreign = bool(words[e] & _FOREIGN)
+            weight[e] *= FOREIGN if foreign else NAMED
+            share[e] *= FOREIGN if foreign else 1.0
+    if not any(names[e] for e, _, _ in runs):
+        return [False] * n
+    at = np.array([e for e, _, _ in runs])
+    _, plain, chosen = _ratios(page, runs, weight[at])
+    mass = plain * chosen * share[at]
+    half = mass.sum() / 2
+    held: dict[tuple, float] = {}
+    for e, x in zip(at, mass, strict=True):
+        for name in names[e]:
+            held[name] = held.get(name, 0.0) + x
+
+    def off(believed: frozenset | None) -> list[bool]:
+        out = [False] * n
+        for e in range(1, n):
+            own = names[e][len(names[page.parent[e]]) :]
+            out[e] = out[page.parent[e]] or any(held.get(name, 0.0) <= half for name in own if believed is None or name[0] in believed)
+        return out
+
+    out = off(None)
+    return out if sum(x for e, x in zip(at, mass, strict=True) if not out[e]) >= half else off(_FOREIGN)
+
+
 def main_text(source: str) -> str:
     """The article's blocks, joined by line ends; empty if there is no text that may be one."""
     page = _Page(source)
@@ -176,20 +252,12 @@ def main_text(source: str) -> str:
         holds[page.parent[e]] |= holds[e]
     gone = [False] * n
     for e in range(1, n):
-        gone[e] = gone[page.parent[e]] or page.bad[e] or (page.word[e] and not (holds[e] and page.tag[e] != "article"))
-    runs = [r for r in page.runs if not gone[r[0]]]
+        gone[e] = gone[page.parent[e]] or page.bad[e]
+    named = _named_off(page, [w if t == "article" or not h else frozenset() for w, t, h in zip(page.word, page.tag, holds, strict=True)], gone)
+    runs = [r for r in page.runs if not gone[r[0]] and not named[r[0]]]
     if not runs:
         return ""
-    # Ratios of the tag paths, then of the runs along the page.
-    path = [page.label[e] for e, _, _ in runs]
-    plain = np.array([max(0, len(t) - linked) for _, t, linked in runs], dtype=float)
-    marks = np.array([len(_MARKS.findall(t)) for _, t, _ in runs], dtype=float) * (plain > 0)
-    _, group = np.unique(path, return_inverse=True)
-    count = np.bincount(group)
-    length, point = (np.bincount(group, weights=x) / count for x in (plain, marks))
-    fused = _smooth(length[group]) * _smooth(1 + point[group])
-    chosen = fused >= min(THRESHOLD * fused.std(), fused.max())
-    chosen &= plain > 0
+    group, _, chosen = _ratios(page, runs)
     if not chosen.any():
         return ""
     # The innermost block around all chosen runs, and the elements that are marked as an article and hold some of them.

@@ -162,6 +162,33 @@ def test_uneven_containers_lose_nothing():
     assert html_extract.main_text(f"<body><h1>Title</h1><div>{long}</div></body>").split("\n") == ["Title", *lines]
 
 
+def test_names_do_not_empty_a_page():
+    body = [f"Long paragraph number {i}, of the body, with many words in it." for i in range(12)]
+    long = "".join(f"<p>{x}</p>" for x in body)
+    aside = "<div class=sidebar><p>Something else, entirely. Not main, at all.</p></div>"
+    for wrapper in ("div class='layout with-sidebar'", "div class=no-sidebar", "div class=has-sidebar", "div class='page form-page'", "div class=hasSidebar", "div id=search", "div class='content sidebar-left'", "form", "form role=form", "div role=form"):
+        page = f"<body><{wrapper}><div>{long}</div>{aside}</{wrapper.split()[0]}></body>"
+        assert html_extract.main_text(page).split("\n") == body, wrapper
+        with_teaser = page.replace("<body>", "<body><div><p>A teaser, outside of it, as long as any of the paragraphs.</p></div>")
+        assert set(body) <= set(html_extract.main_text(with_teaser).split("\n")), wrapper
+    parts = "".join(f"<div class='x-widget'><p>{x}</p></div>" for x in body)
+    assert html_extract.main_text(f"<body><div>{parts}</div></body>").split("\n") == body
+    mixed = "".join(f"<div class={c}><p>{x}</p></div>" for c, x in zip(["widget", "promo", "related", "toolbar"] * 3, body, strict=True))
+    assert html_extract.main_text(f"<body>{mixed}</body>").split("\n") == body
+
+
+def test_names_spare_parts_of_an_article():
+    long = "<p>A paragraph of the article, with many words in it, and more.</p>" * 4
+    for tag in ("section id=discussion", "section id=related-work", "div class=social-history", "div class=section id=sharing"):
+        page = f"<body><article><h1>T</h1>{long}<{tag}><h2 id=search>Search</h2><p>One of its sections, here.</p></{tag.split()[0]}></article><footer>f.</footer></body>"
+        assert html_extract.main_text(page).split("\n")[-2:] == ["Search", "One of its sections, here."], tag
+    for tag in ("section class=comments", "section id=comments", "div class=ad", "form"):
+        page = f"<body><article><h1>T</h1>{long}<{tag}><p>No part of it, not at all.</p></{tag.split()[0]}></article><footer>f.</footer></body>"
+        assert "No part" not in html_extract.main_text(page), tag
+    talk = "<div class=comment><p>Great article, thanks, really. I loved it, so much, and more than that.</p></div>" * 10
+    assert "Great" not in html_extract.main_text(f"<body><div class=has-sidebar><div><h1>T</h1>{long}</div><div id=comments>{talk}</div></div></body>")
+
+
 def test_extraction_of_a_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "", "t"), (3, "w", "<p>" + "word, " * 60_000, "t")], "page_id long, url string, html string, text string")
     got = html_extract.extract(df).collect()

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewell.llm.json_schema import validate
 from lorewell.llm.shared import materialize
 
 _PARSED = """
@@ -45,26 +46,6 @@ WHERE v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'
   AND schema_of_variant(variant_get(v, '$.tools', 'variant')) LIKE 'ARRAY%' AND schema_of_variant(t.value) LIKE 'OBJECT%'
 """
 
-#: The JSON schema type of an argument, as Spark names the variant's type.
-_KIND = """CASE WHEN k = 'STRING' THEN 'string' WHEN k = 'BOOLEAN' THEN 'boolean' WHEN k = 'VOID' THEN 'null' WHEN k LIKE 'OBJECT%' THEN 'object'
-                WHEN k LIKE 'ARRAY%' THEN 'array' WHEN k = 'BIGINT' OR k LIKE 'DECIMAL(%,0)' THEN 'integer' ELSE 'number' END"""
-
-_RULES = """
-SELECT conv_id, name, p.key, try_variant_get(p.value, '$.type', 'string') AS type, to_json(try_variant_get(p.value, '$.enum', 'variant')) AS choice
-FROM {tools}, LATERAL variant_explode(variant_get(try_parse_json(parameters), '$.properties', 'variant')) AS p
-WHERE schema_of_variant(variant_get(try_parse_json(parameters), '$.properties', 'variant')) LIKE 'OBJECT%'
-"""
-
-_ARGUMENTS = f"""
-SELECT conv_id, m1, m2, pos, name, key, {_KIND} AS kind, value FROM (
-  SELECT conv_id, m1, m2, c.pos, name, a.key, schema_of_variant(a.value) AS k, to_json(a.value) AS value
-  FROM {{calls}} AS c, LATERAL variant_explode(try_parse_json(arguments)) AS a WHERE arguments LIKE '{{{{%')
-"""
-
-_REQUIRED = """
-SELECT DISTINCT conv_id, name, x.key FROM {tools}, LATERAL explode(from_json(get_json_object(parameters, '$.required'), 'array<string>')) AS x(key)
-"""
-
 _CALL = ["conv_id", "m1", "m2", "pos"]
 
 
@@ -76,29 +57,14 @@ def _same(a: str, b: str, *columns: str):
 
 
 def _validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """calls with valid: true or false, null if the conversation declares no such tool."""
-    spark = calls.sparkSession
-    arguments = materialize(spark.sql(_ARGUMENTS, calls=calls))
-    rules = materialize(spark.sql(_RULES, tools=tools))
-    # Wrong type, or none of the choices; an integer is a number too.
-    checked = arguments.alias("a").join(rules.alias("r"), _same("a", "r", "conv_id", "name", "key"))
-    typed = F.col("type").isNull() | (F.col("kind") == F.col("type")) | ((F.col("kind") == "integer") & (F.col("type") == "number"))
-    chosen = F.col("choice").isNull() | F.expr("exists(from_json(choice, 'array<variant>'), x -> to_json(x) = a.value)")
-    wrong = checked.where(~(typed & chosen)).select(*(F.col(f"a.{c}") for c in _CALL))
-    # An argument that a closed schema doesn't name.
-    closed = tools.where(F.get_json_object("parameters", "$.additionalProperties") == "false").select("conv_id", "name")
-    unknown = arguments.alias("a").join(closed.alias("t"), _same("a", "t", "conv_id", "name"), "left_semi").alias("a")
-    unknown = unknown.join(rules.alias("r"), _same("a", "r", "conv_id", "name", "key"), "left_anti").select(*_CALL)
-    # A required argument that is not there.
-    needed = calls.alias("c").join(spark.sql(_REQUIRED, tools=tools).alias("q"), _same("c", "q", "conv_id", "name"))
-    needed = needed.select(*(F.col(f"c.{c}").alias(c) for c in _CALL), "q.key").alias("n")
-    missing = needed.join(arguments.alias("a"), _same("n", "a", *_CALL, "key"), "left_anti").select(*_CALL)
-    odd = calls.where(~F.coalesce(F.col("arguments").startswith("{"), F.lit(False))).select(*_CALL)
-    bad = wrong.union(unknown).union(missing).union(odd).distinct().withColumn("bad", F.lit(True))
-    out = calls.alias("c").join(bad.alias("b"), _same("c", "b", *_CALL), "left").select("c.*", "bad")
-    known = tools.select("conv_id", "name").distinct().withColumn("known", F.lit(True))
-    out = out.alias("c").join(known.alias("k"), _same("c", "k", "conv_id", "name"), "left").select("c.*", "known")
-    return out.withColumn("valid", F.when(F.col("known"), F.col("bad").isNull())).drop("bad", "known")
+    """calls with valid: true or false, null if the conversation declares no such tool or its schema can't be told (see json_schema)."""
+    pairs = calls.alias("c").join(tools.alias("t"), _same("c", "t", "conv_id", "name"))
+    pairs = pairs.select(*(F.col(f"c.{c}").alias(c) for c in _CALL), F.coalesce("parameters", F.lit("true")).alias("schema"), F.coalesce("arguments", F.lit("null")).alias("value"))
+    told = validate(pairs, _CALL).withColumn("known", F.lit(True))
+    out = calls.alias("c").join(told.alias("t"), _same("c", "t", *_CALL), "left").select("c.*", "known", "valid")
+    # Arguments are an object, whatever the schema says.
+    odd = ~F.coalesce(F.col("arguments").startswith("{"), F.lit(False))
+    return out.withColumn("valid", F.when(F.col("known"), F.when(odd, F.lit(False)).otherwise(F.col("valid")))).drop("known")
 
 
 def _levels(calls: DataFrame) -> DataFrame:
@@ -128,7 +94,7 @@ def _levels(calls: DataFrame) -> DataFrame:
 
 def link_tool_calls(messages: DataFrame) -> DataFrame:
     """A row for each row of messages: conv_id, turn, role, n_calls, n_linked (calls with a result in a later turn), n_invalid (whose arguments break
-    the declared schema), n_cyclic, linked (for a result: whether it has its call; else null) and line, the message as canonical JSON.
+    the declared schema, at any depth; not those whose validity can't be told, see json_schema), n_cyclic, linked (for a result: whether it has its call; else null) and line, the message as canonical JSON.
 
     A line holds content, role and turn; of a message with calls, tool_calls too, by level and place: arguments, id, level, name, result (the first one in a later turn),
     valid; of a result, tool_call_id. A null text has no content; a text that is no JSON object of these forms is content as it stands, however

@@ -17,7 +17,7 @@ from lorewell.llm.json_schema import validate
 from lorewell.llm.shared import materialize
 
 _PARSED = """
-SELECT *, CASE WHEN startswith(ltrim(text), '{{') THEN try_parse_json(text) END AS v,
+SELECT *, CASE WHEN startswith(trim(LEADING ' \\t\\n\\r' FROM text), '{{') THEN try_parse_json(text) END AS v,
        xxhash64(conv_id, turn, role, text) AS m1, hash(text, role, turn, conv_id) AS m2
 FROM {rows}
 """

@@ -118,6 +118,12 @@ def test_tool_calls_against_brute_force(spark):
     assert tool_chat.link_tool_calls(df.limit(0)).count() == 0
 
 
+def test_white_space_before_an_object(spark):
+    rows = [(c, i, "x", " \n\r\t" + json.dumps(json.loads(t), indent=2)) for c, i, _, t in ROWS if c == 1 and i in (0, 2, 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(map(str, map(tuple, tool_chat.link_tool_calls(df).collect()))) == sorted(map(str, _brute(rows)))
+
+
 def test_chat_against_sql(spark, small):
     got = queries()["op4_tool_chat"](spark, small).toPandas()
     c = duckdb.connect()

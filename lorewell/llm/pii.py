@@ -31,6 +31,15 @@ _CALL = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LINK = re.compile(r"[^\s\"'<>]+")
 _VALUE = re.compile(r"[ \t]*[:=#][ \t]*[\"']?([A-Za-z0-9](?:[A-Za-z0-9_-]*[A-Za-z0-9])?)")
 
+#: Behind a cue of _NUMBERED: what may stand before the value, and values of digits in groups, with few letters first, and of an IBAN in groups.
+_NUMBERED = frozenset({"account", "acct", "iban", "ssn", "passport"})
+_LEAD = re.compile(r"(?:[ \t]+(?:number|no|nr|num)\b\.?)?(?:(?:[ \t]*[:=#]){1,2}[ \t]*|[ \t]+(?:is[ \t]+)?)[\"']?", re.I)
+_FILLED = re.compile(r"[ \t]+(?:number|no|nr|num)\b\.?[ \t]*[:=#]", re.I)
+_GROUPED = re.compile(r"[A-Za-z]{0,3}[0-9]+(?:[ -][0-9]{2,}(?![A-Za-z0-9_]|[.,][0-9]))*(?![A-Za-z0-9_]|[.,][0-9])")
+_RUN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_-]*[A-Za-z0-9])?")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
+_DATE = re.compile(r"[0-9]{4}[ -][0-9]{2}[ -][0-9]{2}")
+
 
 @cache
 def _automaton():
@@ -56,6 +65,39 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _iban_end(text: str, start: int) -> int:
+    """The end of the longest IBAN at start whose check digits are right, or 0."""
+    m = _IBAN.match(text, start)
+    end = m.end() if m else 0
+    while end > start:
+        only = text[start:end].replace(" ", "").replace("-", "").upper()
+        if len(only) < 15:
+            return 0
+        if text[end - 1].isalnum() and not text[end : end + 1].isalnum() and int("".join(str(int(c, 36)) for c in only[4:] + only[:4])) % 97 == 1:
+            return end
+        end -= 1
+    return 0
+
+
+def _numbered(text: str, at: int) -> tuple[int, int] | None:
+    """The value behind a cue of _NUMBERED that ends at at."""
+    lead = _LEAD.match(text, at)
+    if not lead:
+        return None
+    start = lead.end()
+    if end := _iban_end(text, start):
+        return start, end
+    m = _VALUE.match(text, at) or (_RUN.match(text, start) if _FILLED.match(text, at) else None)
+    if m:
+        value = m[m.re.groups]
+        if len(value) >= 6 and any("0" <= c <= "9" for c in value):
+            return m.span(m.re.groups)
+    m = _GROUPED.match(text, start)
+    if m and 6 <= sum("0" <= c <= "9" for c in m.group()) <= 34 and not _DATE.fullmatch(m.group()):
+        return m.span()
+    return None
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then kind."""
     out: list[tuple[str, int, int]] = []
@@ -107,6 +149,11 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             before = at - size
             if before >= 0 and (text[before].isalnum() or text[before] == "_"):
                 continue
+            if text[before + 1 : at + 1].lower() in _NUMBERED:
+                if held := _numbered(text, at + 1):
+                    account = held[1]
+                    out.append(("account", *held))
+                continue
             m = _VALUE.match(text, at + 1)
             if m and len(m[1]) >= 6 and any("0" <= c <= "9" for c in m[1]):
                 account = m.end(1)

@@ -208,6 +208,16 @@ def test_personal_data(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("text", "value"), [
+    ("account number: 12345678", "12345678"), ("account no. 123456", "123456"), ("Account Nr 12 34 56 78, thanks", "12 34 56 78"), ("ssn 123-45-6789.", "123-45-6789"), ("ssn: 123-45-6789", "123-45-6789"),
+    ("iban: DE89 3704 0044 0532 0130 00 is it", "DE89 3704 0044 0532 0130 00"), ("IBAN GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32"), ("iban=DE89370400440532013000", "DE89370400440532013000"),
+    ("passport no: C01X00T47", "C01X00T47"), ("passport L898902", "L898902"), ("account: 1234 5678 90", "1234 5678 90"), ("acct #: 123456", "123456"),
+    ("account 12345", None), ("account opened 2024-01-15", None), ("account 2024-01-15", None), ("iban of 12 banks", None), ("account is closed", None), ("account 123456 10.0.0.1", "123456"),
+])
+def test_announced_values(text, value):
+    assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "account"] == ([value] if value else [])
+
+
 # Media.
 
 def test_images_round_trip(spark):

@@ -12,7 +12,7 @@ from lorewell.llm.packing import pack
 from lorewell.llm.pii import digest, personal_data
 from lorewell.llm.shared import table
 from lorewell.llm.suffix_dedup import remove_repeats
-from lorewell.llm.tool_chat import link_tool_calls
+from lorewell.llm.tool_chat import link_tool_calls, with_calls
 from lorewell.llm.topk_search import quantised, top_k
 from lorewell.llm.toxicity import fit, held_out, toxic_passages
 
@@ -30,14 +30,28 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_tool_calls(table(spark, sf_dir, "conversations"))
+    """The table's messages make no calls of their own: users' messages are calls of a tool and assistants' their results, see with_calls()."""
+    return link_tool_calls(with_calls(table(spark, sf_dir, "conversations")))
 
 
-#: The messages of the table make no calls, so here a line is its message alone; calls are tested against a brute-force version.
+#: Calls of one conversation two turns apart are a chain: their levels are places in runs of such turns.
 OP4_SQL = """
-SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid, 0::BIGINT AS n_cyclic, NULL::BOOLEAN AS linked,
-       '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' AS line
-FROM conversations
+WITH m AS (SELECT conv_id, turn, role, text, to_json(text)::VARCHAR AS body, to_json(role)::VARCHAR AS who FROM conversations),
+called AS (SELECT DISTINCT conv_id, turn FROM m WHERE role = 'user'),
+chain AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level
+  FROM (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM called)),
+given AS (SELECT conv_id, turn, min(body) AS body FROM m WHERE role = 'assistant' GROUP BY conv_id, turn),
+called_valid AS (SELECT m.*, level, g.conv_id IS NOT NULL AS has, g.body AS result, coalesce(length(text) BETWEEN 1 AND 299, false) AS valid,
+  CASE WHEN text IS NULL THEN '{}' ELSE '{"chars":' || length(text) || ',"tone":"' || CASE WHEN length(text) < 100 THEN 'short' WHEN length(text) < 300 THEN 'long' ELSE 'endless' END || '"}' END AS arguments
+  FROM m JOIN chain c ON m.conv_id = c.conv_id AND m.turn = c.turn LEFT JOIN given g ON g.conv_id = m.conv_id AND g.turn = m.turn + 1 WHERE role = 'user')
+SELECT conv_id, turn, role, 1::BIGINT AS n_calls, has::BIGINT AS n_linked, (NOT valid)::BIGINT AS n_invalid, 0::BIGINT AS n_cyclic, NULL::BOOLEAN AS linked,
+  '{' || coalesce('"content":' || body || ',', '') || '"role":' || who || ',"tool_calls":[{"arguments":' || arguments || ',"id":"call-' || turn || '","level":' || level || ',"name":"reply",'
+  || coalesce('"result":' || result || ',', '') || '"valid":' || valid || '}],"turn":' || turn || '}' AS line FROM called_valid
+UNION ALL
+SELECT m.conv_id, m.turn, role, 0, 0, 0, 0, c.conv_id IS NOT NULL,
+  '{' || coalesce('"content":' || body || ',', '') || '"role":' || who || ',"tool_call_id":"call-' || (m.turn - 1) || '","turn":' || m.turn || '}' FROM m LEFT JOIN called c ON c.conv_id = m.conv_id AND c.turn = m.turn - 1 WHERE role = 'assistant'
+UNION ALL
+SELECT conv_id, turn, role, 0, 0, 0, 0, NULL, '{' || coalesce('"content":' || body || ',', '') || coalesce('"role":' || who || ',', '') || '"turn":' || turn || '}' FROM m WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 

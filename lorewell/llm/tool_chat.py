@@ -5,12 +5,12 @@ Messages are rows (conv_id, turn, role, text). A text that is a JSON object may
 or give a result ({"tool_call_id", "content"}). Calls and results of a conversation are joined on the call's
 identifier, calls are put in topological order of what they depend on, arguments are validated against the tool's schema, and every message is written as canonical
 JSON: sorted keys, no spaces, numbers in shortest form. The unit is the message, so a conversation of any length is
-spread over tasks.
+spread over tasks; a conversation or an identifier may hold any share of the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.llm.json_schema import validate
@@ -18,8 +18,8 @@ from lorewell.llm.shared import materialize
 
 _PARSED = """
 SELECT *, CASE WHEN startswith(trim(LEADING ' \\t\\n\\r' FROM text), '{{') THEN try_parse_json(text) END AS v,
-       xxhash64(conv_id, turn, role, text) AS m1, hash(text, role, turn, conv_id) AS m2
-FROM {rows}
+       xxhash64(conv_id, turn, role, text, nulls) AS m1, hash(nulls, text, role, turn, conv_id) AS m2
+FROM (SELECT *, concat(isnull(conv_id), isnull(turn), isnull(role), isnull(text)) AS nulls FROM {rows})
 """
 
 _CALLS = """
@@ -34,7 +34,7 @@ WHERE v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'
 """
 
 _RESULTS = """
-SELECT conv_id, turn AS result_turn, m1 AS r1, m2 AS r2, try_variant_get(v, '$.tool_call_id', 'string') AS id, to_json(variant_get(v, '$.content', 'variant')) AS content
+SELECT conv_id, turn, m1, m2, try_variant_get(v, '$.tool_call_id', 'string') AS id, to_json(variant_get(v, '$.content', 'variant')) AS content
 FROM {rows}
 WHERE v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%' AND try_variant_get(v, '$.tool_call_id', 'string') IS NOT NULL
 """
@@ -47,6 +47,8 @@ WHERE v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'
 """
 
 _CALL = ["conv_id", "m1", "m2", "pos"]
+#: Turns of a block in which an identifier's results are looked up.
+TURNS = 4096
 
 
 def _same(a: str, b: str, *columns: str):
@@ -57,39 +59,85 @@ def _same(a: str, b: str, *columns: str):
 
 
 def _validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """calls with valid: true or false, null if the conversation declares no such tool or its schema can't be told (see json_schema)."""
-    pairs = calls.alias("c").join(tools.alias("t"), _same("c", "t", "conv_id", "name"))
-    pairs = pairs.select(*(F.col(f"c.{c}").alias(c) for c in _CALL), F.coalesce("parameters", F.lit("true")).alias("schema"), F.coalesce("arguments", F.lit("null")).alias("value"))
-    told = validate(pairs, _CALL).withColumn("known", F.lit(True))
-    out = calls.alias("c").join(told.alias("t"), _same("c", "t", *_CALL), "left").select("c.*", "known", "valid")
+    """calls with valid: true or false, null if the conversation declares no such tool or its schema can't be told (see json_schema).
+    Equal arguments of equal schemas are validated once."""
+    given = F.coalesce("arguments", F.lit("null"))
+    known = calls.alias("c").join(tools.alias("t"), _same("c", "t", "conv_id", "name"), "left").select("c.*", F.col("t.conv").alias("declared"), F.coalesce("parameters", F.lit("true")).alias("schema"))
+    known = materialize(known.withColumn("k1", F.xxhash64("schema", given)).withColumn("k2", F.hash(given, "schema")))
+    pairs = known.where("declared").groupBy("k1", "k2").agg(F.first("schema").alias("schema"), F.first(given).alias("value"))
+    out = known.join(validate(pairs, ["k1", "k2"]), ["k1", "k2"], "left")
     # Arguments are an object, whatever the schema says.
     odd = ~F.coalesce(F.col("arguments").startswith("{"), F.lit(False))
-    return out.withColumn("valid", F.when(F.col("known"), F.when(odd, F.lit(False)).otherwise(F.col("valid")))).drop("known")
+    return out.withColumn("valid", F.when(F.col("declared"), F.when(odd, F.lit(False)).otherwise(F.col("valid")))).drop("declared", "schema", "k1", "k2")
+
+
+def _ends(single: DataFrame) -> DataFrame:
+    """Where chains of calls that depend on one other each end: (conv_id, id, needs, dist) of single (conv_id, id, needs), needs being the first on the way that depends on none
+    or several, dist the steps to it; calls on or after a circle of such are left out. Pointers double in every round, so rounds grow with the logarithm of the longest chain."""
+    way = materialize(single.withColumn("dist", F.lit(1).cast("long")).withColumn("done", F.lit(False)))
+    was = -1
+    while True:
+        step = way.alias("a").join(way.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.needs") == F.col("b.id")), "left")
+        way = materialize(step.select(
+            "a.conv_id", "a.id", F.coalesce("b.needs", "a.needs").alias("needs"), (F.col("a.dist") + F.coalesce("b.dist", F.lit(0))).alias("dist"), F.col("b.id").isNull().alias("done"),
+        ))
+        done, every = way.agg(F.count_if("done"), F.count("*")).first()
+        if done in (was, every):
+            return way.where("done").drop("done")
+        was = done
 
 
 def _levels(calls: DataFrame) -> DataFrame:
     """calls with level: 0 if a call depends on no other of its conversation, else one more than the highest that it depends on; null on or after a cycle.
-    A call depends on the ids in depends_on and on those that an argument names as "$id". Rounds grow with the longest chain."""
+    A call depends on the ids in depends_on and on those that an argument names as "$id". Chains are followed by doubling; beyond that, rounds grow with the longest
+    way over calls that depend on several, and a round reads and writes what is still open and what it has settled, no more."""
     named = F.concat(
         F.coalesce(F.from_json("depends_on", "array<string>"), F.array().cast("array<string>")),
         F.coalesce(F.regexp_extract_all("arguments", F.lit(r'"\$([A-Za-z0-9_-]+)'), F.lit(1)), F.array().cast("array<string>")),
     )
+    ids = calls.where("id IS NOT NULL").select("conv_id", "id").distinct()
     edges = calls.where("id IS NOT NULL").select("conv_id", "id", F.explode(F.array_distinct(named)).alias("needs")).distinct()
-    ids = calls.where("id IS NOT NULL").select("conv_id", F.col("id").alias("needs")).distinct()
-    edges = materialize(edges.alias("e").join(ids.alias("i"), _same("e", "i", "conv_id", "needs"), "left_semi"))
+    edges = materialize(edges.alias("e").join(ids.withColumnRenamed("id", "needs").alias("i"), _same("e", "i", "conv_id", "needs"), "left_semi"))
     if edges.isEmpty():
         return calls.withColumn("level", F.lit(0))
-    every = ids.withColumnRenamed("needs", "id")
-    level = materialize(every.alias("a").join(edges.alias("e"), _same("a", "e", "conv_id", "id"), "left_anti").withColumn("level", F.lit(0)))
-    while True:
-        left = edges.alias("e").join(level.alias("l"), _same("e", "l", "conv_id", "id"), "left_anti").alias("e")
-        have = level.withColumnRenamed("id", "needs").alias("h")
-        ready = left.join(have, _same("e", "h", "conv_id", "needs"), "left").groupBy("e.conv_id", "e.id").agg(F.max("level").alias("top"), F.count_if(F.col("level").isNull()).alias("open"))
-        ready = materialize(ready.where("open = 0").select("conv_id", "id", (F.col("top") + 1).alias("level")))
-        if ready.isEmpty():
+    degree = materialize(edges.groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.min("needs").alias("needs")))
+    ends = _ends(degree.where("n = 1").select("conv_id", "id", "needs"))
+    settled = materialize(ids.alias("a").join(degree.alias("e"), _same("a", "e", "conv_id", "id"), "left_anti").withColumn("level", F.lit(0).cast("long")))
+    # What depends on several, with the ends of the chains that it depends on in their place; chains that end nowhere stay open.
+    several = edges.alias("e").join(degree.where("n > 1").alias("d"), _same("e", "d", "conv_id", "id"), "left_semi")
+    far = several.alias("s").join(ends.select("conv_id", F.col("id").alias("needs"), F.col("needs").alias("end"), "dist").alias("x"), _same("s", "x", "conv_id", "needs"), "left")
+    open_ = materialize(far.select("s.conv_id", "s.id", F.coalesce("x.end", "s.needs").alias("needs"), (F.coalesce("x.dist", F.lit(0)) + 1).alias("dist"), F.lit(None).cast("long").alias("top")))
+    levels, new = [settled], settled
+    while not open_.isEmpty():
+        met = open_.alias("o").join(new.withColumnRenamed("id", "needs").alias("n"), _same("o", "n", "conv_id", "needs"), "left")
+        met = materialize(met.select("o.conv_id", "o.id", "o.needs", "o.dist", F.coalesce("o.top", F.col("n.level") + F.col("o.dist")).alias("top")))
+        new = materialize(met.groupBy("conv_id", "id").agg(F.max("top").alias("level"), F.count_if(F.col("top").isNull()).alias("open")).where("open = 0").drop("open"))
+        if new.isEmpty():
             break
-        level = materialize(level.union(ready))
-    return calls.alias("c").join(level.alias("l"), _same("c", "l", "conv_id", "id"), "left").select("c.*", F.when(F.col("c.id").isNull(), F.lit(0)).otherwise(F.col("level")).alias("level"))
+        levels.append(new)
+        open_ = materialize(met.alias("m").join(new.alias("n"), _same("m", "n", "conv_id", "id"), "left_anti"))
+    level = levels[0]
+    for more in levels[1:]:
+        level = level.unionByName(more)
+    chained = ends.alias("e").join(level.withColumnRenamed("id", "needs").alias("l"), _same("e", "l", "conv_id", "needs")).select("e.conv_id", "e.id", (F.col("l.level") + F.col("e.dist")).alias("level"))
+    level = level.unionByName(chained)
+    return calls.alias("c").join(level.alias("l"), _same("c", "l", "conv_id", "id"), "left").select("c.*", F.when(F.col("c.id").isNull(), F.lit(0)).otherwise(F.col("level")).cast("int").alias("level"))
+
+
+def _first_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(conv_id, id, turn, r): for the turns of calls, the first result of their id in a later one, as struct(turn, content). Turns of one id are looked through in
+    blocks, and blocks by the first result in each, so that neither a call nor a result meets all of its id's others."""
+    key = ["conv_id", "id"]
+    asked = calls.where("id IS NOT NULL AND turn IS NOT NULL").select(*key, "turn").distinct().withColumn("r", F.lit(None).cast("struct<turn: bigint, content: string>"))
+    given = results.where("turn IS NOT NULL").groupBy(*key, "turn").agg(F.min(F.struct(F.col("turn").cast("long").alias("turn"), "content")).alias("r"))
+    rows = asked.withColumn("asks", F.lit(True)).unionByName(given.withColumn("asks", F.lit(False))).withColumn("block", F.floor(F.col("turn") / TURNS))
+    later = Window.partitionBy(*key, "block").orderBy(F.desc("turn")).rangeBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("found", F.last("r", ignorenulls=True).over(later)).where("asks")
+    per_block = rows.groupBy(*key, "block").agg(F.min("r").alias("least"))
+    after = Window.partitionBy(*key).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    per_block = per_block.withColumn("next", F.min("least").over(after))
+    out = found.alias("f").join(per_block.alias("b"), _same("f", "b", "conv_id", "id", "block"), "left")
+    return out.select("f.conv_id", "f.id", "f.turn", F.coalesce("f.found", "b.next").alias("r")).where("r IS NOT NULL")
 
 
 def link_tool_calls(messages: DataFrame) -> DataFrame:
@@ -104,20 +152,18 @@ def link_tool_calls(messages: DataFrame) -> DataFrame:
     own = messages.select("conv_id", "turn", "role", "text")
     rows = spark.sql(_PARSED, rows=own)
     calls = materialize(spark.sql(_CALLS, rows=rows))
-    if calls.isEmpty():
-        return _plain(rows)
     results = materialize(spark.sql(_RESULTS, rows=rows))
-    tools = spark.sql(_TOOLS, rows=rows).groupBy("conv_id", "name").agg(F.min_by("parameters", F.struct("turn", "parameters")).alias("parameters"))
+    tools = spark.sql(_TOOLS, rows=rows).groupBy("conv_id", "name").agg(F.min_by("parameters", F.struct("turn", "parameters")).alias("parameters"), F.lit(True).alias("conv"))
     calls = _levels(_validated(calls, materialize(tools)))
-    met = calls.alias("c").join(results.alias("r"), (F.col("c.id") == F.col("r.id")) & F.col("c.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("r.result_turn") > F.col("c.turn")))
-    met = materialize(met.select(*(F.col(f"c.{c}").alias(c) for c in _CALL), "r.result_turn", "r.content", "r.r1", "r.r2"))
-    first = met.groupBy(*_CALL).agg(F.min(F.struct("result_turn", "content")).alias("r"))
-    calls = calls.alias("c").join(first.alias("f"), _same("c", "f", *_CALL), "left").select("c.*", F.col("f.r").isNotNull().alias("has"), F.col("f.r.content").alias("result"))
+    first = materialize(_first_results(calls, results))
+    calls = calls.alias("c").join(first.alias("f"), _same("c", "f", "conv_id", "id", "turn"), "left").select("c.*", F.col("f.r").isNotNull().alias("has"), F.col("f.r.content").alias("result"))
     item = F.struct(
         F.coalesce("level", F.lit(2**31 - 1)).alias("at"), "pos", "arguments", "id", "level", "name", "result", "valid", "has",
     )
     per = calls.groupBy("m1", "m2").agg(F.array_sort(F.collect_list(item)).alias("calls"))
-    linked = met.select(F.col("r1").alias("m1"), F.col("r2").alias("m2")).distinct().withColumn("met", F.lit(True))
+    # A result has its call if one of its id stands in an earlier turn.
+    begun = calls.where("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min("turn").alias("begun"))
+    linked = results.alias("r").join(begun.alias("b"), _same("r", "b", "conv_id", "id") & (F.col("begun") < F.col("r.turn")), "left_semi").select("m1", "m2").distinct().withColumn("met", F.lit(True))
     out = rows.join(per, ["m1", "m2"], "left").join(linked, ["m1", "m2"], "left")
     out = out.withColumn("made", F.col("calls").isNotNull())
     out = out.withColumn("call_id", F.when(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"), F.expr("try_variant_get(v, '$.tool_call_id', 'string')")))
@@ -141,13 +187,18 @@ def link_tool_calls(messages: DataFrame) -> DataFrame:
     )
 
 
-def _plain(rows: DataFrame) -> DataFrame:
-    """The same for messages without any call."""
-    zero = F.lit(0).cast("long")
-    call_id = F.expr("CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN try_variant_get(v, '$.tool_call_id', 'string') END")
-    a_result = F.to_json(F.struct(F.expr("variant_get(v, '$.content', 'variant')").alias("content"), "role", F.col("call_id").alias("tool_call_id"), "turn"))
-    plain = F.to_json(F.struct(F.col("text").alias("content"), "role", "turn"))
-    return rows.withColumn("call_id", call_id).select(
-        "conv_id", "turn", "role", zero.alias("n_calls"), zero.alias("n_linked"), zero.alias("n_invalid"), zero.alias("n_cyclic"),
-        F.when(F.col("call_id").isNotNull(), F.lit(False)).alias("linked"), F.when(F.col("call_id").isNotNull(), a_result).otherwise(plain).alias("line"),
-    )
+# Fixed value: the tool of with_calls().
+REPLY = '{"name":"reply","parameters":{"additionalProperties":false,"properties":{"chars":{"maximum":300,"minimum":1,"type":"integer"},"tone":{"enum":["short","long"]}},"required":["chars"],"type":"object"}}'
+
+
+def with_calls(messages: DataFrame) -> DataFrame:
+    """Conversations between people and an assistant as tool use: conv_id, turn, role and text of every row of messages. A user's message calls the tool REPLY with its length in
+    characters, and a tone: short below 100, long below 300, else endless; its id is call- and the turn, and it depends on the call two turns before. An assistant's message is the result of the call in the turn before.
+    Other roles stay as they are. A null text has no content and calls with nothing; a null turn gives no id."""
+    chars = F.char_length("text")
+    tone = F.when(chars < 100, "short").when(chars < 300, "long").when(chars.isNotNull(), "endless")
+    name = lambda back: F.concat(F.lit("call-"), F.col("turn") - back)
+    call = F.struct(F.struct(chars.alias("chars"), tone.alias("tone")).alias("arguments"), F.array(name(2)).alias("depends_on"), name(0).alias("id"), F.lit("reply").alias("name"))
+    asks = F.to_json(F.struct(F.col("text").alias("content"), F.array(call).alias("tool_calls"), F.array(F.parse_json(F.lit(REPLY))).alias("tools")))
+    gives = F.to_json(F.struct(F.col("text").alias("content"), name(1).alias("tool_call_id")))
+    return messages.select("conv_id", "turn", "role", F.when(F.col("role") == "user", asks).when(F.col("role") == "assistant", gives).otherwise(F.col("text")).alias("text"))

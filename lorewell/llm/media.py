@@ -1,8 +1,8 @@
 """Texts as PNG images in a binary column, and perceptual hashes of such images.
 
 An image is an 8-bit greyscale PNG of WIDTH samples a row, its payload the UTF-8 bytes of a
-text filled up with zeros. Chunks are checked by their CRC, the pixel stream by zlib's Adler-32, and rows are
-unfiltered with numpy. The feature is the sign pattern of the lowest frequencies of a cosine transform.
+text filled up with zeros. Rows are filtered, each with the filter that leaves the smallest differences, wherever that makes the image smaller than without. Chunks are checked by their CRC, the pixel stream by zlib's Adler-32,
+and the rows of all images of a batch are unfiltered together with numpy, diagonal by diagonal. The feature is the sign pattern of the lowest frequencies of a cosine transform.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 #: Image bytes of an IDAT chunk at most.
 CHUNK = 1 << 16
+#: Samples of an image at most; larger ones are an error of their row.
+SAMPLES = 1 << 30
+#: Rows whose filters are chosen at a time, and rows of images that are unfiltered together, about.
+ROWS = 1 << 14
 #: Side of the picture that is transformed, and of the block of low frequencies.
 SIDE, LOW = 32, 8
 
@@ -31,49 +35,109 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
+def _guesses(left: np.ndarray, up: np.ndarray, corner: np.ndarray, kind: int) -> np.ndarray:
+    """What a filter of this kind (1 to 4) takes off a sample, of its neighbours as 16-bit numbers."""
+    if kind == 1:
+        return left
+    if kind == 2:
+        return up
+    if kind == 3:
+        return (left + up) >> 1
+    a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+    return np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+
+
+def filtered(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows of samples with their filter type before them, the one whose differences (as signed bytes) have the least sum. first: which rows begin an image."""
+    out = np.zeros((len(rows), rows.shape[1] + 1), dtype=np.uint8)
+    for a in range(0, len(rows), ROWS):
+        own = rows[a : a + ROWS].astype(np.int16)
+        up = np.zeros_like(own)
+        up[1:] = own[:-1]
+        if a:
+            up[0] = rows[a - 1]
+        up[first[a : a + ROWS]] = 0
+        left, corner = np.zeros_like(own), np.zeros_like(own)
+        left[:, 1:], corner[:, 1:] = own[:, :-1], up[:, :-1]
+        best, best_cost = own.astype(np.uint8), np.abs(own.astype(np.int8).astype(np.int16)).sum(axis=1)
+        kinds = np.zeros(len(own), dtype=np.uint8)
+        for kind in range(1, 5):
+            rest = (own - _guesses(left, up, corner, kind)).astype(np.uint8)
+            cost = np.abs(rest.view(np.int8).astype(np.int16)).sum(axis=1)
+            better = cost < best_cost
+            best[better], best_cost[better], kinds[better] = rest[better], cost[better], kind
+        out[a : a + ROWS, 0], out[a : a + ROWS, 1:] = kinds, best
+    return out
+
+
+def encode_all(payloads: list[bytes], level: int = 6) -> list[bytes]:
+    """Each payload (a positive multiple of WIDTH bytes) as a greyscale PNG: of its rows as they are and filtered, the smaller one."""
+    counts = np.array([len(p) // WIDTH for p in payloads], dtype=np.int64)
+    ends = np.cumsum(counts)
+    first = np.zeros(int(counts.sum()), dtype=bool)
+    first[ends - counts] = True
+    rows = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, WIDTH)
+    raw, plain = filtered(rows, first), np.zeros((len(rows), WIDTH + 1), dtype=np.uint8)
+    plain[:, 1:] = rows
+    out = []
+    for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
+        data = min((zlib.compress(x[end - n : end], level) for x in (plain, raw)), key=len)
+        head = struct.pack(">IIBBBBB", WIDTH, n, 8, 0, 0, 0, 0)
+        parts = [_chunk(b"IDAT", data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)]
+        out.append(SIGNATURE + _chunk(b"IHDR", head) + b"".join(parts) + _chunk(b"IEND", b""))
+    return out
+
+
 def encode_png(payload: bytes, level: int = 6) -> bytes:
-    """payload (a positive multiple of WIDTH bytes) as a greyscale PNG. Rows use filter 0 (none): text gains nothing from the others."""
-    rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH)
-    raw = np.zeros((len(rows), WIDTH + 1), dtype=np.uint8)
-    raw[:, 1:] = rows
-    data = zlib.compress(raw.tobytes(), level)
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    parts = [_chunk(b"IDAT", data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)]
-    return SIGNATURE + _chunk(b"IHDR", head) + b"".join(parts) + _chunk(b"IEND", b"")
-
-
-def unfilter(raw: np.ndarray, step: int = 1) -> np.ndarray:
-    """Reverses the PNG row filters. raw: a row of bytes for each scan line, its filter type first; step: bytes a pixel."""
-    kinds, rows = raw[:, 0], raw[:, 1:].copy()
-    if kinds.max(initial=0) > 4:
+    return encode_all([payload], level)[0]
+
+
+def unfilter_all(raws: list[np.ndarray]) -> list[np.ndarray]:
+    """Reverses the PNG row filters of images of one width. raws: for each image a row of bytes a scan line, its filter type first.
+
+    A sample needs the ones to its left, above and between, so all samples of one diagonal of all images are told at once. Rows are
+    laid out by their number in the image, tallest images first: a diagonal's rows stand together."""
+    kinds = [r[:, 0] for r in raws]
+    if any(k.max(initial=0) > 4 for k in kinds):
         raise ValueError("unknown PNG filter")
-    if not kinds.any():
-        return rows
-    above = np.zeros(rows.shape[1], dtype=np.uint8)
-    for y, kind in enumerate(kinds.tolist()):
-        row = rows[y]
-        if kind == 1:  # the sum of the steps to the left
-            for k in range(step):
-                row[k::step] = np.cumsum(row[k::step], dtype=np.uint8)
-        elif kind == 2:
-            row += above
-        elif kind > 2:
-            left, corner = np.zeros(step, dtype=np.int64), np.zeros(step, dtype=np.int64)
-            for x in range(0, len(row), step):
-                up = above[x : x + step].astype(np.int64)
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                row[x : x + step] += guess.astype(np.uint8)
-                left, corner = row[x : x + step].astype(np.int64), up
-        above = row
-    return rows
+    if not any(k.any() for k in kinds):
+        return [r[:, 1:] for r in raws]
+    width = raws[0].shape[1]
+    heights = np.array([len(r) for r in raws])
+    rank = np.argsort(np.argsort(-heights, kind="stable"), kind="stable")
+    alive = np.searchsorted(np.sort(-heights), -np.arange(heights.max() + 1), side="left")  # images with a row of that number
+    start = np.concatenate(([0], np.cumsum(alive[: heights.max()])))
+    total = int(start[-1])
+    sample = np.zeros((total + 1, width), dtype=np.uint8)  # a zero column for what is left of an image, a zero row for what is above it
+    kind, line, above = np.zeros(total, dtype=np.uint8), np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
+    places = []
+    for r, j in zip(raws, rank.tolist(), strict=True):
+        at = start[: len(r)] + j
+        sample[at, 1:] = r[:, 1:]
+        kind[at], line[at] = r[:, 0], np.arange(len(r))
+        above[at] = np.concatenate(([total], at[:-1]))
+        places.append(at)
+    flat = sample.reshape(-1)
+    here, over = np.arange(total) * width + 1 - line, above * width + 1 - line
+    odd = [kind == k for k in range(1, 5)]
+    for d in range(int(heights.max()) + width - 2):
+        rows = slice(start[max(0, d - width + 2)], start[min(len(start) - 1, d + 1)])
+        own = here[rows] + d
+        left, up, corner = (flat[x].astype(np.int16) for x in (own - 1, over[rows] + d, over[rows] + d - 1))
+        guess = np.zeros(len(own), dtype=np.int16)
+        for k in range(1, 5):
+            if (mask := odd[k - 1][rows]).any():
+                np.copyto(guess, _guesses(left, up, corner, k), where=mask)
+        flat[own] += guess.astype(np.uint8)
+    return [sample[at, 1:] for at in places]
 
 
-def decode_png(image: bytes) -> np.ndarray:
-    """The samples of an 8-bit, not interlaced greyscale PNG, one row a scan line. ValueError: broken or of another kind."""
+def unfilter(raw: np.ndarray) -> np.ndarray:
+    return unfilter_all([raw])[0]
+
+
+def scan_lines(image: bytes) -> np.ndarray:
+    """The filtered scan lines of an 8-bit, not interlaced greyscale PNG, filter types first. ValueError: broken, of another kind or of more than SAMPLES samples."""
     if image[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, head, parts, ended = 8, None, [], False
@@ -83,6 +147,8 @@ def decode_png(image: bytes) -> np.ndarray:
         if len(data) != size or image[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + data)):
             raise ValueError("broken PNG chunk")
         if kind == b"IHDR":
+            if size != 13 or head is not None:
+                raise ValueError("broken PNG header")
             head = struct.unpack(">IIBBBBB", data)
         elif kind == b"IDAT":
             parts.append(data)
@@ -90,13 +156,48 @@ def decode_png(image: bytes) -> np.ndarray:
     if head is None or not ended or head[2:] != (8, 0, 0, 0, 0):
         raise ValueError("no 8-bit greyscale PNG")
     width, height = head[:2]
+    if not width or not height:
+        raise ValueError("PNG without samples")
+    if width * height > SAMPLES:
+        raise ValueError("PNG of too many samples")
+    size, stream = height * (width + 1), zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(parts))
+        raw = stream.decompress(b"".join(parts), size + 1)
     except zlib.error as error:
         raise ValueError("broken PNG data") from error
-    if len(raw) != height * (width + 1):
+    if len(raw) != size or not stream.eof:
         raise ValueError("PNG data of another size")
-    return unfilter(np.frombuffer(raw, dtype=np.uint8).reshape(height, width + 1))
+    lines = np.frombuffer(raw, dtype=np.uint8).reshape(height, width + 1)
+    if lines[:, 0].max() > 4:
+        raise ValueError("unknown PNG filter")
+    return lines
+
+
+def decode_png(image: bytes) -> np.ndarray:
+    """The samples of a PNG as scan_lines() reads it, one row a scan line."""
+    return unfilter(scan_lines(image))
+
+
+def decode_all(images: list[bytes | None]) -> Iterator[tuple[int, np.ndarray | ValueError]]:
+    """(place, samples or what is wrong) of every image, in any order."""
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+    def flush(width: int) -> Iterator[tuple[int, np.ndarray]]:
+        some = held.pop(width)
+        yield from zip([i for i, _ in some], unfilter_all([x for _, x in some]), strict=True)
+
+    for i, image in enumerate(images):
+        try:
+            lines = scan_lines(image or b"")
+        except ValueError as error:
+            yield i, error
+            continue
+        width = lines.shape[1]
+        held.setdefault(width, []).append((i, lines))
+        if sum(len(x) for _, x in held[width]) * width >= ROWS * WIDTH:
+            yield from flush(width)
+    for width in list(held):
+        yield from flush(width)
 
 
 def _cosines(n: int, low: int) -> np.ndarray:
@@ -133,7 +234,14 @@ def with_images(docs: DataFrame, level: int = 6) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [t.as_buffer().to_pybytes() for t in batch["text"]]
-            media = [encode_png(b + bytes(-len(b) % WIDTH if b else WIDTH), level) for b in raw]
+            media, some, size = [], [], 0
+            for b in raw:
+                some.append(b + bytes(-len(b) % WIDTH if b else WIDTH))
+                size += len(b)
+                if size >= ROWS * WIDTH:
+                    media += encode_all(some, level)
+                    some, size = [], 0
+            media += encode_all(some, level)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return documents_text(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
@@ -147,15 +255,16 @@ def image_features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for image in batch["media"].to_pylist():
+            images = batch["media"].to_pylist()
+            rows: list[tuple] = [()] * len(images)
+            for i, found in decode_all(images):
+                image = images[i]
                 own = (None, None) if image is None else (len(image), hashlib.sha256(image).hexdigest())
-                try:
-                    pixels = decode_png(image or b"")
-                    payload = pixels.tobytes()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), *own, cosine_hash(pixels), None))
-                except ValueError as error:
-                    rows.append((None, None, None, *own, None, str(error)))
+                if isinstance(found, ValueError):
+                    rows[i] = (None, None, None, *own, None, str(found))
+                else:
+                    payload = found.tobytes()
+                    rows[i] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), *own, cosine_hash(found), None)
             cols = zip(*rows, strict=True) if rows else [()] * 7
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")

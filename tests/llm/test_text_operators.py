@@ -1,6 +1,8 @@
 """Operators on documents against brute-force versions, and their defined results for odd input."""
 
 import hashlib
+import struct
+import time
 import random
 import re
 import zlib
@@ -262,6 +264,37 @@ def test_filters(kind):
     assert (media.unfilter(_filtered(rows, kind)) == rows).all()
 
 
+def test_filters_of_several_images_together():
+    rng = np.random.default_rng(9)
+    images = [rng.integers(0, 256, (h, 9)).astype(np.uint8) for h in (3, 1, 12, 12, 30)]
+    raws = []
+    for rows in images:
+        every = [_filtered(rows, k) for k in range(5)]
+        raws.append(np.stack([every[k][y] for y, k in enumerate(rng.integers(0, 5, len(rows)))]))
+    assert all((a == b).all() for a, b in zip(media.unfilter_all(raws), images, strict=True))
+
+
+def test_the_encoder_takes_filters():
+    smooth = (np.add.outer(np.arange(90), np.arange(64) * 2) % 256).astype(np.uint8)
+    text = ("Some words, of a text. " * 400).encode()
+    noise = np.random.default_rng(3).integers(0, 256, 64 * 20_000).astype(np.uint8).tobytes()
+    payloads = [smooth.tobytes(), text[: len(text) // 64 * 64], bytes(64), noise]
+    images = media.encode_all(payloads)
+    kinds = [set(media.scan_lines(i)[:, 0].tolist()) for i in images]
+    assert kinds[0] - {0} and kinds[1] == kinds[2] == {0}  # text is smaller as it is
+    assert [media.decode_png(i).tobytes() for i in images] == payloads
+    lines = media.scan_lines(images[0])
+    for y in range(3):  # the least sum of signed differences
+        costs = [np.abs(_filtered(smooth, k)[y][1:].astype(np.int8).astype(int)).sum() for k in range(5)]
+        assert costs[lines[y, 0]] == min(costs)
+    rows = np.frombuffer(noise, dtype=np.uint8).reshape(-1, 64)
+    raw = media.filtered(rows, np.arange(len(rows)) == 0)
+    assert set(raw[:, 0].tolist()) == set(range(5)) and all((raw[y, 1:] == _filtered(rows[: y + 1], raw[y, 0])[y][1:]).all() for y in (0, 1, 2, 40))
+    start = time.perf_counter()
+    assert (media.unfilter(raw) == rows).all()
+    assert time.perf_counter() - start < 10  # over a million samples
+
+
 def test_broken_images():
     image = media.encode_png(bytes(range(64)) * 3)
     assert (media.decode_png(image) == np.arange(64)).all()
@@ -272,6 +305,18 @@ def test_broken_images():
             media.decode_png(bytes(bad))
     with pytest.raises(ValueError):
         media.decode_png(image[:-12])
+    rest = image[33:]
+    head = lambda data: media.SIGNATURE + media._chunk(b"IHDR", data) + rest
+    heads = [b"", bytes(12), bytes(14), *(struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0) for w, h in ((0, 3), (64, 0), (64, 2), (64, 4), (1 << 31, 1 << 31)))]
+    bomb = zlib.compress(bytes(1 << 24))
+    cut = media._chunk(b"IDAT", zlib.compress(bytes(65 * 3))[:-4]) + media._chunk(b"IEND", b"")
+    bad_kind = media._chunk(b"IDAT", zlib.compress(bytes([7]) * 65 * 3)) + media._chunk(b"IEND", b"")
+    bodies = [image[:33] + media._chunk(b"IDAT", bomb) + media._chunk(b"IEND", b""), image[:33] + cut, image[:33] + bad_kind, image[:33] + image[8:]]
+    images = [*map(head, heads), *bodies]
+    for bad in images:
+        with pytest.raises(ValueError):
+            media.decode_png(bad)
+    assert [(i, isinstance(x, ValueError)) for i, x in sorted(media.decode_all([*images, image, None]), key=lambda x: x[0])] == [(i, i != len(images)) for i in range(len(images) + 2)]
     near = np.tile(np.arange(0, 256, 4, dtype=np.uint8), (40, 1))
     flip = lambda a, b: bin(int(media.cosine_hash(a), 16) ^ int(media.cosine_hash(b), 16)).count("1")
     assert flip(near, near + np.uint8(3)) < flip(near, np.random.default_rng(1).integers(0, 256, near.shape).astype(np.uint8))

@@ -7,17 +7,20 @@ the most significant score slice downward, rows that are certain and rows that a
 still level are told apart; what is level in the end has one score, and the smallest ids of it
 fill the k places. All is integer arithmetic, so nothing has to be rescored.
 
-Queries are blocks as well. Every pair of a query block and a row block is one small task; only k rows a
-query come out of it.
+Queries are blocks as well, and go to the row blocks: a row block is shuffled once, or a few times where there are too few of them to keep all
+tasks busy, and what meets it is the queries, a tenth of its size. Only k rows a query and block come out, and of these k a task.
+
+Scores are 64-bit integers. A query whose scores might exceed them, for the largest components that a block holds, is an error, never a wrong score.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.llm.shared import U64, small_batches
@@ -27,14 +30,23 @@ SCALE = 256
 BLOCK, QUERIES = 16_384, 256
 #: Tasks of the search at most.
 TASKS = 100_000
+#: What the sizes of scores, and of scaled components, stay below.
+BOUND = 2.0**62
+#: Bytes of the blocks that a worker is given at a time, about.
+BATCH_BYTES = 16 << 20
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and floor(scale * component) as v; rows whose id or vector is null, or that hold null or non-finite components, are left out."""
+    """vec_id and floor(scale * component) as v; rows whose id or vector is null, or that hold null or non-finite components, are left out. Scaled components
+    of BOUND or more are no 64-bit integers: an error."""
     x = F.col("embedding")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & fine)
-    return rows.select("vec_id", F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("long")).alias("v"))
+    def whole(c: Column) -> Column:
+        scaled = F.lit(scale) * c.cast("double")
+        return F.when(F.abs(scaled) < BOUND, F.floor(scaled).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for integer scores")).cast("long"))
+
+    return rows.select("vec_id", F.transform(x, whole).alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -78,6 +90,8 @@ class BitSlices:
         q[: len(query)] = query[: len(q)]
         size = np.abs(q)
         high = self.low + (1 << self.bits) - 1
+        if float(size.astype(float) @ np.maximum(np.abs(self.low.astype(float)), np.abs(high.astype(float)))) * 2 >= BOUND:
+            raise OverflowError("scores of these vectors may exceed 64-bit integers")
         constant = int((q * np.where(q < 0, high, self.low)).sum())
         dims, digits = np.nonzero((size[:, None] >> np.arange(max(1, int(size.max(initial=0)).bit_length()))) & 1)
         n = self.bits[dims]
@@ -168,6 +182,12 @@ def _searcher(k: int):
     return search
 
 
+def _bytes(size: str) -> int:
+    """A size of Spark's settings, such as 64MB, as a number."""
+    found = re.fullmatch(r"(\d+)([kmgt]?)b?", size.strip().lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[found[2]] if found else 0
+
+
 def build_index(vectors: DataFrame, rows: int) -> DataFrame:
     """One row for each block of quantised vectors: block and its parts in binary columns."""
     blocks = max(1, -(-rows // BLOCK))
@@ -181,17 +201,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     share an id each count. Queries that are equal in id and vector are answered once, those equal in id alone each for itself."""
     spark = vectors.sparkSession
     small_batches(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     queries = queries.withColumn("key", F.xxhash64("v")).distinct()
     rows, asked = vectors.count(), queries.count()
-    index = build_index(vectors, rows)
-    batches = max(1, -(-asked // QUERIES))
+    blocks, batches = max(1, -(-rows // BLOCK)), max(1, -(-asked // QUERIES))
+    # Copies of a block, each for its share of the queries: one, unless blocks are fewer than the tasks that may run.
+    copies = min(batches, max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)))
+    index = build_index(vectors, rows).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     dealt = queries.withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.lit(batches)))
     dealt = dealt.groupBy("batch").applyInArrow(_gather, "batch long, query_ids binary, keys binary, queries binary")
-    blocks = max(1, -(-rows // BLOCK))
-    # Each query block names every row block: an equi-join, a task for each pair.
-    asked_of = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = asked_of.join(index, "block")
-    tasks = min(blocks * batches, TASKS)  # about a pair of blocks, a megabyte or two, for each
-    found = pairs.repartition(tasks, "batch", "block").mapInArrow(_searcher(k), "query_id long, key long, vec_id long, score long")
+    # Each query block names every row block: an equi-join, both sides dealt by block and copy.
+    asked_of = dealt.withColumn("copy", (F.col("batch") % copies).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    tasks = min(2 * blocks * copies, TASKS)
+    pairs = asked_of.repartition(tasks, "block", "copy").join(index.repartition(tasks, "block", "copy").hint("shuffle_hash"), ["block", "copy"])
+    found = pairs.mapInArrow(_searcher(k), "query_id long, key long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

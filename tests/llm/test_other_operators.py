@@ -45,6 +45,29 @@ def test_search_of_odd_vectors(spark):
     assert topk_search.top_k(v.limit(0), v.limit(0), 2).count() == 0
 
 
+def test_scores_that_integers_cannot_hold(spark):
+    df = lambda *rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for x in (3e16, 1e300, -1e300):
+        with pytest.raises(Exception, match="too large|exceed 64-bit"):
+            v = topk_search.quantised(df((0, [x, 1.0]), (1, [x, 2.0])))
+            topk_search.top_k(v, v.where("vec_id = 0"), 1).collect()
+    v = topk_search.quantised(df((0, [4e6, -1.0]), (1, [4e6, 2.0]), (2, [-4e6, 0.0])))
+    got = topk_search.top_k(v, v.where("vec_id = 0"), 2).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1_024_000_000**2 - 256 * 512), (2, -(1_024_000_000**2))]
+
+
+def test_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    e = rng.integers(-30, 30, (700, 6)) / 16
+    monkeypatch.setattr(topk_search, "BLOCK", 50)
+    monkeypatch.setattr(topk_search, "QUERIES", 7)
+    v = topk_search.quantised(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "vec_id long, embedding array<double>"))
+    got = topk_search.top_k(v, v.where("vec_id % 10 = 0"), 4).toPandas().sort_values(["query_id", "rank"])
+    s = (e * 256) @ (e * 256).T
+    want = [[i for i in np.lexsort((np.arange(700), -s[q])) if i != q][:4] for q in range(0, 700, 10)]
+    assert got.vec_id.to_numpy().reshape(-1, 4).tolist() == want
+
+
 # Tool calls.
 
 TOOLS = {"tools": [

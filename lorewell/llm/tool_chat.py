@@ -16,34 +16,27 @@ from pyspark.sql import functions as F
 from lorewell.llm.json_schema import validate
 from lorewell.llm.shared import materialize
 
+# A message is parsed once; its parts go on as JSON, and its text only where it is the content.
 _PARSED = """
-SELECT *, CASE WHEN startswith(trim(LEADING ' \\t\\n\\r' FROM text), '{{') THEN try_parse_json(text) END AS v,
-       xxhash64(conv_id, turn, role, text, nulls) AS m1, hash(nulls, text, role, turn, conv_id) AS m2
-FROM (SELECT *, concat(isnull(conv_id), isnull(turn), isnull(role), isnull(text)) AS nulls FROM {rows})
+SELECT conv_id, turn, role, m1, m2, call_id, CASE WHEN made THEN calls END AS calls, CASE WHEN startswith(tools, '[') THEN tools END AS tools,
+       CASE WHEN made OR call_id IS NOT NULL THEN content END AS content, CASE WHEN made OR call_id IS NOT NULL THEN NULL ELSE text END AS text
+FROM (SELECT *, CASE WHEN startswith(calls, '[') THEN exists(from_json(calls, 'array<variant>'), c -> startswith(to_json(c), '{{')) ELSE false END AS made FROM (SELECT conv_id, turn, role, text, try_variant_get(v, '$.tool_call_id', 'string') AS call_id, to_json(variant_get(v, '$.content', 'variant')) AS content,
+             to_json(variant_get(v, '$.tool_calls', 'variant')) AS calls, to_json(variant_get(v, '$.tools', 'variant')) AS tools,
+             xxhash64(conv_id, turn, role, text, nulls) AS m1, hash(nulls, text, role, turn, conv_id) AS m2
+      FROM (SELECT *, CASE WHEN startswith(trim(LEADING ' \\t\\n\\r' FROM text), '{{') THEN try_parse_json(text) END AS v, concat(isnull(conv_id), isnull(turn), isnull(role), isnull(text)) AS nulls FROM {rows})))
 """
 
 _CALLS = """
-SELECT DISTINCT conv_id, turn, m1, m2, c.pos, variant_get(c.value, '$.id', 'string') AS id, variant_get(c.value, '$.name', 'string') AS name,
-       CASE WHEN schema_of_variant(variant_get(c.value, '$.arguments', 'variant')) = 'STRING'
-            THEN coalesce(to_json(try_parse_json(variant_get(c.value, '$.arguments', 'string'))), to_json(variant_get(c.value, '$.arguments', 'variant')))
-            ELSE to_json(variant_get(c.value, '$.arguments', 'variant')) END AS arguments,
-       to_json(variant_get(c.value, '$.depends_on', 'variant')) AS depends_on
-FROM {rows}, LATERAL variant_explode(variant_get(v, '$.tool_calls', 'variant')) AS c
-WHERE v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'
-  AND schema_of_variant(variant_get(v, '$.tool_calls', 'variant')) LIKE 'ARRAY%' AND schema_of_variant(c.value) LIKE 'OBJECT%'
-"""
-
-_RESULTS = """
-SELECT conv_id, turn, m1, m2, try_variant_get(v, '$.tool_call_id', 'string') AS id, to_json(variant_get(v, '$.content', 'variant')) AS content
-FROM {rows}
-WHERE v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%' AND try_variant_get(v, '$.tool_call_id', 'string') IS NOT NULL
+SELECT DISTINCT conv_id, turn, m1, m2, pos, variant_get(c, '$.id', 'string') AS id, variant_get(c, '$.name', 'string') AS name,
+       CASE WHEN startswith(arguments, '"') THEN coalesce(to_json(try_parse_json(variant_get(c, '$.arguments', 'string'))), arguments) ELSE arguments END AS arguments,
+       to_json(variant_get(c, '$.depends_on', 'variant')) AS depends_on
+FROM (SELECT r.conv_id, r.turn, r.m1, r.m2, c.pos, c.value AS c, to_json(variant_get(c.value, '$.arguments', 'variant')) AS arguments
+      FROM {rows} AS r, LATERAL variant_explode(parse_json(r.calls)) AS c WHERE r.calls IS NOT NULL AND startswith(to_json(c.value), '{{'))
 """
 
 _TOOLS = """
 SELECT conv_id, variant_get(t.value, '$.name', 'string') AS name, to_json(variant_get(t.value, '$.parameters', 'variant')) AS parameters, turn
-FROM {rows}, LATERAL variant_explode(variant_get(v, '$.tools', 'variant')) AS t
-WHERE v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'
-  AND schema_of_variant(variant_get(v, '$.tools', 'variant')) LIKE 'ARRAY%' AND schema_of_variant(t.value) LIKE 'OBJECT%'
+FROM {rows}, LATERAL variant_explode(parse_json(tools)) AS t WHERE tools IS NOT NULL AND startswith(to_json(t.value), '{{')
 """
 
 _CALL = ["conv_id", "m1", "m2", "pos"]
@@ -150,9 +143,9 @@ def link_tool_calls(messages: DataFrame) -> DataFrame:
     they return. Other columns are not read."""
     spark = messages.sparkSession
     own = messages.select("conv_id", "turn", "role", "text")
-    rows = spark.sql(_PARSED, rows=own)
+    rows = materialize(spark.sql(_PARSED, rows=own))
     calls = materialize(spark.sql(_CALLS, rows=rows))
-    results = materialize(spark.sql(_RESULTS, rows=rows))
+    results = rows.where("call_id IS NOT NULL").select("conv_id", "turn", "m1", "m2", F.col("call_id").alias("id"), "content")
     tools = spark.sql(_TOOLS, rows=rows).groupBy("conv_id", "name").agg(F.min_by("parameters", F.struct("turn", "parameters")).alias("parameters"), F.lit(True).alias("conv"))
     calls = _levels(_validated(calls, materialize(tools)))
     first = materialize(_first_results(calls, results))
@@ -164,10 +157,9 @@ def link_tool_calls(messages: DataFrame) -> DataFrame:
     # A result has its call if one of its id stands in an earlier turn.
     begun = calls.where("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min("turn").alias("begun"))
     linked = results.alias("r").join(begun.alias("b"), _same("r", "b", "conv_id", "id") & (F.col("begun") < F.col("r.turn")), "left_semi").select("m1", "m2").distinct().withColumn("met", F.lit(True))
-    out = rows.join(per, ["m1", "m2"], "left").join(linked, ["m1", "m2"], "left")
+    out = rows.drop("calls", "tools").join(per, ["m1", "m2"], "left").join(linked, ["m1", "m2"], "left")
     out = out.withColumn("made", F.col("calls").isNotNull())
-    out = out.withColumn("call_id", F.when(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"), F.expr("try_variant_get(v, '$.tool_call_id', 'string')")))
-    inner = F.expr("CASE WHEN made OR call_id IS NOT NULL THEN variant_get(v, '$.content', 'variant') END")
+    inner = F.expr("try_parse_json(content)")
     listed = F.expr(
         "transform(calls, c -> named_struct('arguments', try_parse_json(c.arguments), 'id', c.id, 'level', c.level, 'name', c.name, 'result', try_parse_json(c.result), 'valid', c.valid))"
     )

@@ -21,6 +21,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+#: Windows of 200 bytes are told by a 64-bit hash, bytes written as pairs of hexadecimal digits.
+OP1_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT doc_id, i, hash(x[i + 1:i + 200]) AS h FROM (SELECT doc_id, x, unnest(range(0, octet_length(x)::BIGINT - 199)) AS i FROM d)),
+r AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r) GROUP BY doc_id, run),
+ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, octet_length(x)::BIGINT, octet_length(x)::BIGINT FROM d),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS last FROM ends)
+SELECT doc_id, any_value(octet_length(x))::BIGINT AS n_bytes, sum(b - a)::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans,
+  sha256(unhex(string_agg(CASE WHEN a > last THEN hex(x[last + 1:a]) ELSE '' END, '' ORDER BY a, b))) AS kept_sha256
+FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -88,6 +102,18 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Every pair of documents that share a shingle, and what is reachable over the pairs that are similar enough.
+OP8_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM s),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM reach r JOIN p ON p.a = r.b)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxic_passages(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -103,4 +129,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_tool_chat": OP4_SQL, "op6_topk_search": OP6_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op4_tool_chat": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_near_dedup": OP8_SQL}

@@ -16,6 +16,9 @@ No table emits the pairs of a bucket. Documents of one shingle set are one node;
    share a shingle of their prefixes (rarest shingles first) are tested, but never two of one component.
 
 So no bucket has a cap, and no link between candidates of different components is lost.
+
+Sets are sets of 64-bit hashes of shingles, and equal sets are told by 128 bits and their size. Texts are nodes, not ids: rows that share an id but not
+their text get names of their own for the search, and their components are joined through the id in the end.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm.shared import U64, documents_text, lean, lower_ascii, materialize, mix, prefix_hash, span_hash, text_buffers, words
@@ -141,15 +144,52 @@ def components(edges: DataFrame) -> DataFrame:
         label = label.select("node", "comp")
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) of docs with a name for doc_id that no two different texts share, and (name, owner, h: the text's hash) of the names that aren't ids: of texts whose id has several."""
+    texts = documents_text(docs)
+    # Ids alone are read first: hardly any table repeats some.
+    twice = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return texts, None
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    several = hashed.join(twice, "doc_id").groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    several = materialize(several.join(several.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "doc_id").select("doc_id", "h"))
+    if several.isEmpty():
+        return texts, None
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    more = F.monotonically_increasing_id()
+    if high < 1 << 62:
+        name = F.lit(max(high, 0) + 1) + more
+    elif low > -(1 << 62):
+        name = F.lit(min(low, 0) - 1) - more
+    else:
+        raise ValueError("ids that repeat with different texts need room beside the others, and these fill 64 bits")
+    names = materialize(several.withColumn("name", name))
+    out = hashed.join(names, ["doc_id", "h"], "left").select(F.coalesce("name", "doc_id").alias("doc_id"), "text")
+    return out, names.select("name", F.col("doc_id").alias("owner"), "h")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Links documents whose sets of word shingles have 100 * intersection >= percent * union.
 
     Returns a row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id
     reachable) and kept (it is its component's smallest). A null or blank text has no shingles and
     links with nothing; a text of fewer than SHINGLE words is one shingle. Rows that
-    share a doc_id are one node; a null doc_id links with nothing, has a null component and is kept. Equal sets
+    share a doc_id are linked by it, whatever their texts; a null doc_id links with nothing, has a null component and is kept. Equal sets
     are one node of the search, so exact copies cost nothing. Other columns of docs are not read."""
-    texts = documents_text(docs)
+    texts, names = _named(docs)
+    out = _classes(texts, percent)
+    if names is not None:
+        rows = materialize(out.alias("o").join(names.alias("n"), F.col("o.doc_id") == F.col("n.name"), "left").select(F.coalesce("n.owner", "o.doc_id").alias("doc_id"), "n_shingles", "comp", "n.owner"))
+        through = rows.where("owner IS NOT NULL").select("owner", "comp").distinct()
+        edges = through.join(through.groupBy("owner").agg(F.min("comp").alias("u")), "owner").where("u <> comp").select("u", F.col("comp").alias("v"))
+        rows = materialize(rows.drop("owner").join(components(edges).toDF("comp", "whole"), "comp", "left").select("doc_id", "n_shingles", F.coalesce("whole", "comp").alias("comp")))
+        out = rows.join(rows.where("doc_id IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least")), "comp", "left").select("doc_id", "n_shingles", F.col("least").alias("comp"))
+    return out.select("doc_id", "n_shingles", F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))
+
+
+def _classes(texts: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, comp), a row for each row of texts (doc_id, text): comp is the smallest doc_id reachable. Rows of one doc_id have one text."""
     # Read twice, computed twice: that is cheaper than writing it.
     sigs = texts.mapInArrow(lean(_signatures), "doc_id long, n_shingles long, set_hi long, set_lo long, slots array<long>")
     live = sigs.where("n_shingles > 0 and doc_id is not null")
@@ -180,10 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "s.doc_id", "s.n_shingles", F.when(F.col("s.doc_id").isNotNull(), F.coalesce("r.rep", "s.doc_id")).alias("rep")
     )
     if linked is None:
-        out = out.withColumn("component_id", F.col("rep"))
-    else:
-        out = out.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        return out.select("doc_id", "n_shingles", F.col("rep").alias("comp"))
+    return out.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
 
 
 def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,15 +290,25 @@ def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs, with all their columns, without the near copies: of each component the smallest doc_id stays.
-    Of rows that share an id one stays, with the smallest text; rows with a null id all stay."""
-    found = materialize(near_duplicates(docs, percent))
-    out = docs.join(found.where("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    """The rows of docs, with all their columns, without the near copies: of each component of texts one stays, that of the smallest doc_id. Texts alone
+    link here: rows that share an id but no text are documents of their own, rows that share both are copies. Rows with a null id all stay, and so do all without words but
+    those that repeat an id and its text. docs may be empty."""
+    texts, names = _named(docs)
+    found = materialize(_classes(texts, percent))
+    if names is not None:  # of a component, the row of the smallest id stays, not of the smallest name
+        first = F.min(F.struct(F.coalesce("n.owner", "f.doc_id").alias("owner"), F.coalesce("n.h", F.lit(0)).alias("h"), F.col("f.doc_id").alias("doc_id")))
+        least = found.alias("f").join(names.alias("n"), F.col("f.doc_id") == F.col("n.name"), "left").groupBy("f.comp").agg(first.alias("first"))
+        found = materialize(found.join(least, "comp", "left").select("doc_id", "n_shingles", F.col("first.doc_id").alias("comp")))
+    gone = found.where("doc_id <> comp").select("doc_id").distinct()
+    again = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    # The row travels in a struct, so no column of docs can clash with the names.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("name"))
+    if names is not None:
+        own = names.select(F.col("name").alias("known"), "owner", "h").alias("k")
+        rows = rows.alias("r").join(own, (F.col("r.name") == F.col("owner")) & (F.xxhash64(F.coalesce("r.row.text", F.lit(""))) == F.col("h")), "left").select("row", F.coalesce("known", "name").alias("name"))
+    rows = rows.alias("r").join(gone.hint("merge").alias("g"), F.col("r.name") == F.col("g.doc_id"), "left_anti")
     if again.isEmpty():
-        return out
-    alone = out.where("doc_id is null")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    # The rank travels in a struct, so no column of docs can clash with it.
-    ranked = out.where("doc_id is not null").select(F.struct("*").alias("row"), rank.alias("rank")).where("rank = 1").select("row.*")
-    return ranked.unionByName(alone)
+        return rows.select("row.*")
+    copies = rows.join(again.alias("a"), F.col("name") == F.col("a.doc_id"), "left_semi")
+    one = copies.groupBy("name").agg(F.min_by("row", F.xxhash64(*(F.col(f"row.`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()))).alias("row"))
+    return rows.join(again.alias("a"), F.col("name") == F.col("a.doc_id"), "left_anti").select("row.*").unionByName(one.select("row.*"))

@@ -1,12 +1,13 @@
 """Operators on documents against brute-force versions, and their defined results for odd input."""
 
 import hashlib
-import struct
-import time
 import random
 import re
+import struct
+import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorewell.llm import media, mixing, near_dedup, packing, pii, suffix_dedup, toxicity
-from lorewell.llm.catalog import queries, tokenizer_path
+from lorewell.llm.catalog import oracle_sql, queries, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep string, size string, comp string"
 ALPHABET = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore et dolore magna".split()
@@ -166,6 +167,47 @@ def test_near_copies_of_odd_rows(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(4)
+    a, b, c = (_prose(rng, 40) for _ in range(3))
+    near = b.rsplit(" ", 1)[0] + " zz"
+    df = lambda *rows: spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, name int")
+    classes = lambda *rows: {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df(*rows)).collect()}
+    assert classes((0, b), (1, a), (1, b)) == {(0, 0, True), (1, 0, False)}
+    for rows in (((1, b), (1, a), (2, near)), ((1, a), (1, b), (2, near)), ((2, near), (1, a), (1, b))):
+        assert classes(*rows) == {(1, 1, True), (2, 1, False)}
+        assert {(r["doc_id"], r["text"]) for r in near_dedup.keep_one(df(*rows)).collect()} == {(1, a), (1, b)}
+    # Through two ids, with a null text, an exact repeat and the largest id.
+    top = 2**63 - 1
+    assert classes((top, a), (5, a), (5, c), (7, c), (7, None), (9, None), (None, a)) == {(top, 5, False), (5, 5, True), (7, 5, False), (9, 9, True), (None, None, True)}
+    kept = near_dedup.keep_one(df((top, a), (5, a), (5, c), (7, c), (7, None), (9, None), (None, a), (5, c), (5, c))).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(0, a), (5, a), (5, c), (7, ""), (9, "")])
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs a little above 0.75: 5e-4 of them may be missed; of these 600, one at most."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(600):
+        words = [f"{k}x{rng.randint(0, 10**6)}" for _ in range(204)]
+        other = words[:176] + [f"{k}y{j}" for j in range(28)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    sets = _sets(rows[:2])
+    assert 0.74 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.77 and 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1])
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("not kept").count() >= 599
+
+
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op6_topk_search", "op8_near_dedup"])
+def test_queries_against_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    got = queries()[name](spark, small)
+    columns = sorted(got.columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(con.sql(oracle_sql()[name]).select(*columns).fetchall())
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)]
     got = near_dedup.components(spark.createDataFrame(edges, "u long, v long"))

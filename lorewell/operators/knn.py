@@ -19,6 +19,9 @@ def _rows(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0)
+    lens = np.diff(column.offsets.to_numpy())
+    if len(lens) and (lens != lens[0]).any():
+        raise ValueError("vectors of several lengths")
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
@@ -36,19 +39,20 @@ def _gather(side: str, unit: bool):
     return gather
 
 
-def _searcher(k: int):
+def _searcher(k: int, places: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 qids, ids = (np.array(batch[c][i].as_py(), dtype=object) for c in ("q_ids", "c_ids"))
                 q, c = (np.frombuffer(batch[x][i].as_buffer(), dtype=np.float64).reshape(n, -1) for x, n in (("q_v", len(qids)), ("c_v", len(ids))))
                 order = np.argsort(ids)  # so that equal scores come out by id
-                ids, scores = ids[order], q @ c[order].T
+                ids, scores = ids[order], np.round(q @ c[order].T, places)
                 m = min(k, len(ids))
                 for row, name in enumerate(qids):
                     s = scores[row]
                     edge = np.partition(s, len(s) - m)[len(s) - m]
-                    top = np.flatnonzero(s >= edge - 1e-12)  # what is level with the last one is settled by the final rank
+                    sure = np.flatnonzero(s > edge)
+                    top = np.concatenate((sure, np.flatnonzero(s == edge)[: m - len(sure)]))
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(top), pa.string()), pa.array(ids[top], pa.string()), pa.array(s[top])], ["qid", "id", "score"])
 
     return search
@@ -71,18 +75,23 @@ def _batched(search):
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, raw_query: bool = False, drop_self: bool = False, places: int = 9) -> DataFrame:
     """The k vectors of highest cosine for each query: qid, id, score (to places), rank. queries: (qid, v); vectors: (id, v), arrays of one
-    length. Ties go to the smaller id. raw_query: the query isn't brought to length 1. drop_self: an id is no neighbour of the query of its name.
-
-    Both sides are dealt into blocks; every pair of blocks is a task, met by an equi-join, and returns k rows a query."""
-    count = vectors.count()
-    blocks, batches = max(1, -(-count // BLOCK)), max(1, -(-queries.count() // QUERIES))
-    q = queries.select(F.col("qid").cast("string").alias("id"), as_doubles("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(batches)))
-    c = vectors.select(F.col("id").cast("string").alias("id"), as_doubles("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    q = q.groupBy("block").applyInArrow(_gather("q", not raw_query), "q_block long, q_ids array<string>, q_v binary")
-    c = c.groupBy("block").applyInArrow(_gather("c", True), "c_block long, c_ids array<string>, c_v binary")
-    q = q.withColumn("c_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = q.join(c, "c_block").repartition(min(blocks * batches, 100_000), "q_block", "c_block")
-    found = pairs.mapInArrow(_batched(_searcher(k + drop_self)), "qid string, id string, score double").withColumn("score", F.round("score", places))
+    length; null vectors, and those that hold a null, take no part. Ties go to the smaller id. raw_query: the query isn't brought to length 1. drop_self: an id is no neighbour of the query of its name.
+
+    Both sides are dealt into blocks. Query blocks go to the blocks of vectors, which are shuffled once (a few times where they are fewer than the tasks
+    that may run); a pair of blocks returns k rows a query, ties included."""
+    spark = vectors.sparkSession
+    fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull())
+    q = queries.select(F.col("qid").cast("string").alias("id"), as_doubles("v").alias("v")).where(fine)
+    c = vectors.select(F.col("id").cast("string").alias("id"), as_doubles("v").alias("v")).where(fine)
+    blocks, batches = max(1, -(-c.count() // BLOCK)), max(1, -(-q.count() // QUERIES))
+    copies = min(batches, max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)))
+    tasks = min(2 * blocks * copies, 100_000)
+    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(batches))).groupBy("block").applyInArrow(_gather("q", not raw_query), "q_block long, q_ids array<string>, q_v binary")
+    c = c.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInArrow(_gather("c", True), "c_block long, c_ids array<string>, c_v binary")
+    q = q.withColumn("copy", (F.col("q_block") % copies).cast("int")).withColumn("c_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    c = c.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    pairs = q.repartition(tasks, "c_block", "copy").join(c.repartition(tasks, "c_block", "copy").hint("shuffle_hash"), ["c_block", "copy"])
+    found = pairs.mapInArrow(_batched(_searcher(k + drop_self, places)), "qid string, id string, score double")
     if drop_self:
         found = found.where("qid <> id")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))

@@ -18,6 +18,7 @@ from lorewell.operators.graph import DiGraph
 from lorewell.operators.knn import top_k
 from lorewell.operators.pagerank import pagerank
 from lorewell.sources.readers import split_paragraphs
+from lorewell.sources.store import plain_unions
 
 ROUNDS = 10
 GATE = 0.3
@@ -25,7 +26,7 @@ SYNONYMS = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return plain_unions(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # Inputs.

@@ -35,9 +35,17 @@ def read_raw_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def split_paragraphs(text: Column) -> Column:
     """The paragraphs of a text: blank lines part them, every other line keeps its line end."""
-    mark = "\u0001"
-    lines = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(r"(?U)\A[\s\x1c-\x1f]*\z"), F.lit(mark)).otherwise(F.concat(x, F.lit("\n"))))
-    return F.filter(F.split(F.array_join(lines, ""), mark, -1), lambda p: p != "")
+    lines = F.split(text, "\n", -1)
+    blank = lambda x: x.rlike(r"(?U)\A[\s\x1c-\x1f]*\z")
+    # One line more, a blank one, ends the last paragraph; a paragraph is what stands between two blank lines.
+    cuts = F.filter(F.transform(F.array_append(lines, F.lit("")), lambda x, i: F.when(blank(x), i + 1)), lambda i: i.isNotNull())
+
+    def joined(s: Column) -> Column:
+        between = lambda end, k: F.slice(s["lines"], F.when(k == 0, 1).otherwise(F.get(s["cuts"], k - 1) + 1), end - 1 - F.when(k == 0, 0).otherwise(F.get(s["cuts"], k - 1)))
+        return F.transform(s["cuts"], lambda end, k: F.array_join(F.transform(between(end, k), lambda x: F.concat(x, F.lit("\n"))), ""))
+
+    # The names s.lines and s.cuts are bound once, in an array of one.
+    return F.filter(F.flatten(F.transform(F.array(F.struct(lines.alias("lines"), cuts.alias("cuts"))), joined)), lambda p: p != "")
 
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
@@ -74,5 +82,5 @@ def read_edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """Extraction results that are cached as JSON, one a row; rows that don't parse, or have no passage, are left out and so done again."""
     schema = "idx string, passage string, extracted_entities array<string>, extracted_triples array<array<string>>, _corrupt_record string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(resolve(spark, path)).cache()
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(resolve(spark, path))
     return rows.where("_corrupt_record is null and passage is not null").drop("_corrupt_record")

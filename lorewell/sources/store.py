@@ -2,72 +2,161 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from lorewell import schemas
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a private one only where the session names none."""
+    """The folder in spark.checkpoint.dir. Only where the session names none: a folder of its own, in the warehouse, or a temporary one where all runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="lorewell-")
+        local = spark.sparkContext.master.startswith("local")
+        top = tempfile.mkdtemp(prefix="lorewell-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lorewell"
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
 
 
+def plain_unions(spark: SparkSession) -> SparkSession:
+    """Unions in this session don't keep their inputs' partitioning: where adaptive execution regroups the partitions of one input alone, such a union of Spark 4.1 fails
+    (Can't zip RDDs with unequal numbers of partitions)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
+_written: list[tuple[SparkSession, str, str | None]] = []
+
+
+def forget(spark: SparkSession, path: str, name: str | None = None) -> None:
+    """Deletes what durable() or bucketed() has written."""
+    if name is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+@atexit.register
+def _forget_all() -> None:
+    for written in _written:
+        try:
+            forget(*written)
+        except Exception:  # noqa: BLE001  the session may have ended first
+            return
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df after a round trip through Parquet in the shared folder: its lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/lorewell/{uuid.uuid4().hex}"
+    """df after a round trip through Parquet in the shared folder: its lineage ends there, and a lost executor loses nothing. The files go with the process."""
+    path = f"{shared_folder(plain_unions(df.sparkSession))}/lorewell/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path, None))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str) -> DataFrame:
+    """durable(df), dealt by a column into as many buckets as a shuffle has partitions, and sorted in them: joins on that column don't shuffle it again."""
+    spark = plain_unions(df.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"lorewell_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lorewell/{name}"
+    df.repartition(parts, by).write.bucketBy(parts, by).sortBy(by).option("path", path).format("parquet").saveAsTable(name)
+    _written.append((spark, path, name))
+    return spark.table(name)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with the numbers 0, 1, 2 ... in a column, in no order: counted by partition, so nothing is sorted and no task sees all rows."""
+    bits = 33  # of the rows of a partition, as monotonically_increasing_id has it
+    rows = durable(df.withColumn("_row", F.monotonically_increasing_id()))
+    per = rows.groupBy(F.shiftright("_row", bits).alias("_part")).agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = per.select("_part", before.alias("_before"))  # a row for each partition
+    place = rows.join(offsets, F.shiftright("_row", bits) == F.col("_part")).withColumn(name, F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << bits) - 1)))
+    return place.drop("_row", "_part", "_before")
+
+
 def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 class TableStore:
-    """Named tables that change together. A commit writes a new version folder and then, last, a marker in it;
-    readers take the newest version that has its marker, so a crash leaves the version before."""
+    """Named tables that change together, by what each import adds. A commit writes a new version folder with its rows alone and then, last, a marker in it; readers put
+    together the versions that have their marker, so a crash leaves the state before. After COMPACT_AFTER commits all is written as one version, a base; versions before
+    the base before it are deleted, so that readers that have begun can finish."""
 
     TABLES = {"vectors": schemas.VECTORS, "nodes": schemas.NODES, "edges": schemas.EDGES, "counts": schemas.COUNTS, "stored": schemas.STORED}
+    COMPACT_AFTER = 16
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root = plain_unions(spark), root.rstrip("/")
 
-    def version(self) -> str | None:
-        fs, root = _file_system(self.spark, self.root)
-        if not fs.exists(root):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("v="))
-        for name in reversed(names):
-            if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_COMMITTED")):
-                return name
-        return None
+    def _exists(self, *parts: str) -> bool:
+        fs, p = _file_system(self.spark, "/".join((self.root, *parts)))
+        return fs.exists(p)
 
-    def read(self, table: str) -> DataFrame:
-        """The table in the newest version; empty if there is none yet."""
-        version = self.version()
-        if version is None:
-            return self.spark.createDataFrame([], self.TABLES[table])
-        return self.spark.read.schema(self.TABLES[table]).parquet(f"{self.root}/{version}/{table}")
+    def _folders(self) -> list[str]:
+        fs, root = _file_system(self.spark, self.root)
+        return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")) if fs.exists(root) else []
+
+    def versions(self) -> list[str]:
+        """The committed versions that make up the tables: the newest base, if there is one, and all after it."""
+        out = []
+        for name in reversed(self._folders()):
+            if self._exists(name, "_COMMITTED"):
+                out.append(name)
+                if self._exists(name, "_BASE"):
+                    break
+        return out[::-1]
 
     def exists(self) -> bool:
-        return self.version() is not None
+        return bool(self.versions())
 
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Writes all of TABLES; those not given are taken over from the version before."""
+    def read(self, table: str) -> DataFrame:
+        """The table as of the last commit; empty if there is none yet. Weights and counts of one key add up over versions."""
+        paths = [f"{self.root}/{v}/{table}" for v in self.versions() if self._exists(v, table)]
+        if not paths:
+            return self.spark.createDataFrame([], self.TABLES[table])
+        rows = None
+        for path in paths:
+            own = self.spark.read.schema(self.TABLES[table]).parquet(path)
+            rows = own if rows is None else rows.unionByName(own)
+        if len(paths) == 1:
+            return rows
+        if table == "edges":
+            return rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.min("create_time").alias("create_time"), F.max("update_time").alias("update_time"))
+        if table == "counts":
+            return rows.groupBy("hash_key").agg(F.sum("appear_cnt").alias("appear_cnt"))
+        return rows.distinct() if table == "stored" else rows
+
+    def _write(self, tables: dict[str, DataFrame], *marks: str) -> str:
         name = f"v={time.time_ns():020d}"
-        for table in self.TABLES:
-            df = tables[table] if table in tables else self.read(table)
-            writer = df.write
+        for table, df in tables.items():
+            writer = df.select(*(f.split()[0] for f in self.TABLES[table].split(", "))).write
             (writer.partitionBy("namespace") if table == "vectors" else writer).parquet(f"{self.root}/{name}/{table}")
-        fs, mark = _file_system(self.spark, f"{self.root}/{name}/_COMMITTED")
-        fs.create(mark, True).close()
+        for mark in (*marks, "_COMMITTED"):
+            fs, p = _file_system(self.spark, f"{self.root}/{name}/{mark}")
+            fs.create(p, True).close()
+        return name
+
+    def commit(self, tables: dict[str, DataFrame]) -> str:
+        """Adds rows to tables, each key of edges and counts once."""
+        name = self._write(tables)
+        if len(self.versions()) > self.COMPACT_AFTER:
+            return self.compact()
+        return name
+
+    def compact(self) -> str:
+        """Writes all tables as a base and deletes what no reader can need any more."""
+        before = self.versions()
+        name = self._write({table: self.read(table) for table in self.TABLES}, "_BASE")
+        fs, _ = _file_system(self.spark, self.root)
+        for old in self._folders():
+            if before and old < before[0]:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{old}"), True)
         return name

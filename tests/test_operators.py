@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorewell.operators import dedup, kg, openie, search, selection
+from lorewell.operators import dedup, kg, knn, openie, search, selection
 from lorewell.operators.graph import DiGraph
 from lorewell.operators.knn import top_k
 from lorewell.operators.pagerank import pagerank
@@ -124,6 +125,28 @@ def test_neighbours(spark):
     assert top_k(df.toDF("qid", "v").limit(0), df, 3).count() == 0
 
 
+def test_neighbours_of_odd_vectors(spark):
+    df = lambda rows: spark.createDataFrame(rows, "id string, v array<double>")
+    v = df([("a", [1.0, 0.0]), ("b", None), ("c", [1.0, None]), ("d", [0.0, 1.0])])
+    got = top_k(v.toDF("qid", "v"), v, 3).collect()
+    assert sorted((r["qid"], r["id"], r["score"]) for r in got) == [("a", "a", 1.0), ("a", "d", 0.0), ("d", "a", 0.0), ("d", "d", 1.0)]
+    with pytest.raises(Exception, match="several lengths|mismatch"):
+        top_k(v.toDF("qid", "v"), v.union(df([("e", [1.0])])), 2).collect()
+
+
+def test_ties_stay_k(spark, monkeypatch):
+    out = []
+    search = knn._searcher(3, 9)
+    many = pa.table({"q_ids": pa.array([["q"]]), "c_ids": pa.array([[f"{i:04d}" for i in range(3000)]]), "q_v": pa.array([np.ones(2).tobytes()]), "c_v": pa.array([np.ones((3000, 2)).tobytes()])})
+    out = pa.Table.from_batches(list(search(iter(many.to_batches())))).to_pydict()
+    assert out["id"] == ["0000", "0001", "0002"]
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    monkeypatch.setattr(knn, "QUERIES", 9)
+    df = spark.createDataFrame([(f"{i:03d}", [1.0, float(i % 2)]) for i in range(200)], "id string, v array<double>")
+    got = top_k(df.toDF("qid", "v"), df, 2, drop_self=True).where("qid = '000' or qid = '003'").collect()
+    assert sorted((r["qid"], r["rank"], r["id"]) for r in got) == [("000", 1, "002"), ("000", 2, "004"), ("003", 1, "001"), ("003", 2, "005")]
+
+
 def _dynamic(scores, jmp=0.5, var=1.0):
     if not scores:
         return set()

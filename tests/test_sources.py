@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorewell.config import Config, load_config
 from lorewell.operators.graph import DiGraph
 from lorewell.sources import readers, sinks
-from lorewell.sources.store import TableStore, durable
+from lorewell.sources.store import TableStore, bucketed, durable, numbered, shared_folder
 
 
 def test_raw_corpus_keeps_first_strings(spark, tmp_path):
@@ -23,6 +23,12 @@ def test_paragraph_file(spark, tmp_path):
     assert [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()] == [["one\ntwo\n", "three\n"]]
 
 
+def test_paragraphs_of_any_characters(spark):
+    texts = ["a\x01b\nc\n", "", "\n\n", "one", "\n\x1c\none\n\u3000\n\n two\n", "x\r\n\r\ny"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", readers.split_paragraphs(F.col("t")).alias("p")).orderBy("i").collect()
+    assert [r["p"] for r in got] == [["a\x01b\nc\n"], [], [], ["one\n"], ["one\n", " two\n"], ["x\r\n", "y\n"]]
+
+
 def test_jsonl_rows_may_differ(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"id": 1, "name": "n"}\n\n{"id": "q", "paragraphs": [{"idx": 0, "ok": true}]}\n')
     rows = readers.read_jsonl(spark, "x.jsonl", base=str(tmp_path)).select(F.to_json("value").alias("v")).collect()
@@ -86,6 +92,50 @@ def test_store_keeps_the_last_commit(spark, tmp_path):
     assert store.read("counts").count() == 1
 
 
+def test_store_adds_and_compacts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(TableStore, "COMPACT_AFTER", 4)
+    store, total, folders = TableStore(spark, str(tmp_path / "s")), {}, []
+    for i in range(12):
+        edges = [(f"n{i % 3}", "x", 1.0 + i, float(i), float(i)), ("y", f"z{i}", 1.0, float(i), float(i))]
+        store.commit({"edges": spark.createDataFrame(edges, TableStore.TABLES["edges"]), "counts": spark.createDataFrame([("c", 2.0)], "hash_key string, appear_cnt double"), "stored": spark.createDataFrame([(f"p{i}",), ("p",)], "pg_hash string")})
+        for s, d, w, _, _ in edges:
+            total[s, d] = (total.get((s, d), (0, i, i))[0] + w, total.get((s, d), (0, float(i), 0))[1], float(i))
+        assert {(r["src"], r["dst"]): (r["weight"], r["create_time"], r["update_time"]) for r in store.read("edges").collect()} == total
+        assert store.read("counts").first()["appear_cnt"] == 2.0 * (i + 1) and store.read("stored").count() == i + 2
+        folders.append(len([f for f in (tmp_path / "s").iterdir() if f.name.startswith("v=")]))
+    assert max(folders) <= 10 and len(store.versions()) <= 5
+
+
+def test_an_import_writes_what_it_adds(spark, tmp_path):
+    store, size = TableStore(spark, str(tmp_path / "s")), lambda v: sum(f.stat().st_size for f in (tmp_path / "s" / v).rglob("*.parquet"))
+    first = store.commit({"edges": spark.range(50_000).selectExpr("sha2(string(id), 256) src", "sha2(string(-id), 256) dst", "1D weight", "1D create_time", "1D update_time")})
+    second = store.commit({"edges": spark.range(50).selectExpr("sha2(string(id), 256) src", "sha2(string(-id), 256) dst", "1D weight", "2D create_time", "2D update_time")})
+    assert size(second) < size(first) / 100 and store.read("edges").where("weight = 2 and create_time = 1 and update_time = 2").count() == 50
+
+
+def test_numbers_and_buckets(spark):
+    got = numbered(spark.range(1000).repartition(7), "n").collect()
+    assert sorted(r["n"] for r in got) == list(range(1000)) and len({r["id"] for r in got}) == 1000
+    table = bucketed(spark.range(100).selectExpr("id % 10 AS k", "id AS v"), "k")
+    plan = table.join(spark.range(10).withColumnRenamed("id", "k").hint("merge"), "k")
+    assert plan.count() == 100 and plan._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") <= 1
+
+
+def test_folders_where_the_session_names_none():
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = self, type("C", (), {"master": master})()
+            self.values = {"spark.sql.warehouse.dir": "hdfs:/w/"}
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    assert shared_folder(Session("spark://host:7077")) == "hdfs:/w/_lorewell" and shared_folder(Session("local[4]")).startswith("/")
+
+
 def test_durable(spark):
     df = durable(spark.range(5))
     assert df.count() == 5 and "parquet" in df._jdf.queryExecution().toString().lower()

@@ -19,15 +19,23 @@ U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 
 
+def plain_unions(spark: SparkSession) -> SparkSession:
+    """Unions in this session don't keep their inputs' partitioning: where adaptive execution regroups the partitions of one input alone, such a union of Spark 4.1 fails
+    (Can't zip RDDs with unequal numbers of partitions)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return plain_unions(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none."""
+    """The folder that driver and executors share. Only where the session names none: a folder of its own, in the warehouse, or a temporary one where all runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="lorewell-")
+        local = spark.sparkContext.master.startswith("local")
+        top = tempfile.mkdtemp(prefix="lorewell-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lorewell"
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
 
@@ -53,7 +61,7 @@ def _forget_all() -> None:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts lineage durably: writes df as Parquet under spark.checkpoint.dir and rereads it."""
-    spark = df.sparkSession
+    spark = plain_unions(df.sparkSession)
     path = f"{shared_folder(spark)}/lorewell/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

@@ -58,10 +58,10 @@ def _validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
     known = calls.alias("c").join(tools.alias("t"), _same("c", "t", "conv_id", "name"), "left").select("c.*", F.col("t.conv").alias("declared"), F.coalesce("parameters", F.lit("true")).alias("schema"))
     known = materialize(known.withColumn("k1", F.xxhash64("schema", given)).withColumn("k2", F.hash(given, "schema")))
     pairs = known.where("declared").groupBy("k1", "k2").agg(F.first("schema").alias("schema"), F.first(given).alias("value"))
-    out = known.join(validate(pairs, ["k1", "k2"]), ["k1", "k2"], "left")
+    out = known.drop("schema").join(validate(pairs, ["k1", "k2"]), ["k1", "k2"], "left")
     # Arguments are an object, whatever the schema says.
     odd = ~F.coalesce(F.col("arguments").startswith("{"), F.lit(False))
-    return out.withColumn("valid", F.when(F.col("declared"), F.when(odd, F.lit(False)).otherwise(F.col("valid")))).drop("declared", "schema", "k1", "k2")
+    return out.withColumn("valid", F.when(F.col("declared"), F.when(odd, F.lit(False)).otherwise(F.col("valid")))).drop("declared", "k1", "k2")
 
 
 def _ends(single: DataFrame) -> DataFrame:
@@ -118,11 +118,12 @@ def _levels(calls: DataFrame) -> DataFrame:
 
 
 def _first_results(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """(conv_id, id, turn, r): for the turns of calls, the first result of their id in a later one, as struct(turn, content). Turns of one id are looked through in
+    """(conv_id, id, turn, r): for the turns of calls, the first result of their id in a later one, as struct(turn, m1, m2) of its message (of several in one turn, that
+    of the smallest m1 and m2). Turns of one id are looked through in
     blocks, and blocks by the first result in each, so that neither a call nor a result meets all of its id's others."""
     key = ["conv_id", "id"]
-    asked = calls.where("id IS NOT NULL AND turn IS NOT NULL").select(*key, "turn").distinct().withColumn("r", F.lit(None).cast("struct<turn: bigint, content: string>"))
-    given = results.where("turn IS NOT NULL").groupBy(*key, "turn").agg(F.min(F.struct(F.col("turn").cast("long").alias("turn"), "content")).alias("r"))
+    asked = calls.where("id IS NOT NULL AND turn IS NOT NULL").select(*key, "turn").distinct().withColumn("r", F.lit(None).cast("struct<turn: bigint, m1: bigint, m2: int>"))
+    given = results.where("turn IS NOT NULL").groupBy(*key, "turn").agg(F.min(F.struct(F.col("turn").cast("long").alias("turn"), "m1", "m2")).alias("r"))
     rows = asked.withColumn("asks", F.lit(True)).unionByName(given.withColumn("asks", F.lit(False))).withColumn("block", F.floor(F.col("turn") / TURNS))
     later = Window.partitionBy(*key, "block").orderBy(F.desc("turn")).rangeBetween(Window.unboundedPreceding, -1)
     found = rows.withColumn("found", F.last("r", ignorenulls=True).over(later)).where("asks")
@@ -137,7 +138,7 @@ def link_tool_calls(messages: DataFrame) -> DataFrame:
     """A row for each row of messages: conv_id, turn, role, n_calls, n_linked (calls with a result in a later turn), n_invalid (whose arguments break
     the declared schema, at any depth; not those whose validity can't be told, see json_schema), n_cyclic, linked (for a result: whether it has its call; else null) and line, the message as canonical JSON.
 
-    A line holds content, role and turn; of a message with calls, tool_calls too, by level and place: arguments, id, level, name, result (the first one in a later turn),
+    A line holds content, role and turn; of a message with calls, tool_calls too, by level and place: arguments, id, level, name, result (the first one in a later turn; of several in that turn, any one, always the same),
     valid; of a result, tool_call_id. A null text has no content; a text that is no JSON object of these forms is content as it stands, however
     long. Null ids link with nothing; of several calls with one id, all get its result; rows that repeat are equal in all
     they return. Other columns are not read."""
@@ -148,8 +149,8 @@ def link_tool_calls(messages: DataFrame) -> DataFrame:
     results = rows.where("call_id IS NOT NULL").select("conv_id", "turn", "m1", "m2", F.col("call_id").alias("id"), "content")
     tools = spark.sql(_TOOLS, rows=rows).groupBy("conv_id", "name").agg(F.min_by("parameters", F.struct("turn", "parameters")).alias("parameters"), F.lit(True).alias("conv"))
     calls = _levels(_validated(calls, materialize(tools)))
-    first = materialize(_first_results(calls, results))
-    calls = calls.alias("c").join(first.alias("f"), _same("c", "f", "conv_id", "id", "turn"), "left").select("c.*", F.col("f.r").isNotNull().alias("has"), F.col("f.r.content").alias("result"))
+    first = _first_results(calls, results.drop("content")).join(results.select(F.col("m1").alias("r1"), F.col("m2").alias("r2"), "content").dropDuplicates(["r1", "r2"]), F.expr("r.m1 = r1 AND r.m2 = r2"))
+    calls = calls.alias("c").join(first.alias("f"), _same("c", "f", "conv_id", "id", "turn"), "left").select("c.*", F.col("f.r1").isNotNull().alias("has"), F.col("f.content").alias("result"))
     item = F.struct(
         F.coalesce("level", F.lit(2**31 - 1)).alias("at"), "pos", "arguments", "id", "level", "name", "result", "valid", "has",
     )

@@ -33,16 +33,17 @@ def relations(triples: DataFrame) -> DataFrame:
 
 
 def entity_edges(triples: DataFrame, of: Callable[[str], Column] = entity_id) -> DataFrame:
-    """src, dst, weight: triples between two different entities, both ways."""
-    ends = triples.where("subj <> obj").select(of("subj").alias("s"), of("obj").alias("o"))
-    both = ends.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("o").alias("dst")), F.struct(F.col("o").alias("src"), F.col("s").alias("dst")))).alias("e"))
-    return both.groupBy("e.src", "e.dst").agg(F.count("*").cast("double").alias("weight"))
+    """src, dst, weight: triples between two different entities, both ways. Counted by name, then named by key: of() is computed once an edge and keys aren't shuffled."""
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = triples.where("subj <> obj").select(F.explode(F.array(way("subj", "obj"), way("obj", "subj"))).alias("e"))
+    edges = both.groupBy("e.a", "e.b").agg(F.count("*").cast("double").alias("weight"))
+    return edges.select(of("a").alias("src"), of("b").alias("dst"), "weight")
 
 
 def entity_counts(triples: DataFrame, of: Callable[[str], Column] = entity_id) -> DataFrame:
     """hash_key, appear_cnt: passages that an entity is in, by triples of two different entities."""
     ends = triples.where("subj <> obj").select("idx", F.explode(F.array("subj", "obj")).alias("entity")).distinct()
-    return ends.groupBy(of("entity").alias("hash_key")).agg(F.count("*").cast("double").alias("appear_cnt"))
+    return ends.groupBy("entity").agg(F.count("*").cast("double").alias("appear_cnt")).select(of("entity").alias("hash_key"), "appear_cnt")
 
 
 def merged_counts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -52,7 +53,8 @@ def merged_counts(old: DataFrame, new: DataFrame) -> DataFrame:
 def passage_edges(triples: DataFrame, link_objects: bool = False, of: Callable[[str], Column] = entity_id) -> DataFrame:
     """src, dst, weight: from the subject of a triple to its passage; link_objects: from both ends."""
     ends = triples.select("idx", F.explode(F.array("subj", "obj")).alias("entity")) if link_objects else triples.select("idx", F.col("subj").alias("entity"))
-    return ends.groupBy(of("entity").alias("src"), paragraph_id("idx").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    edges = ends.groupBy("entity", "idx").agg(F.count("*").cast("double").alias("weight"))
+    return edges.select(of("entity").alias("src"), paragraph_id("idx").alias("dst"), "weight")
 
 
 def synonym_pairs(vectors: DataFrame, k: int, threshold: float, mode: str = "all_pairs") -> DataFrame:

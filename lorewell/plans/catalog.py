@@ -18,7 +18,7 @@ from lorewell.operators.graph import DiGraph
 from lorewell.operators.knn import top_k
 from lorewell.operators.pagerank import pagerank
 from lorewell.sources.readers import split_paragraphs
-from lorewell.sources.store import plain_unions
+from lorewell.sources.store import durable, plain_unions
 
 ROUNDS = 10
 GATE = 0.3
@@ -268,8 +268,9 @@ _RELATIONS_SQL = f"SELECT idx AS id, t.subj AS subj, t.obj AS obj FROM (SELECT i
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and counts as a store would hold them: the edges are written once."""
     t = order_triples(spark, sf_dir)
-    edges = kg.entity_edges(t).unionByName(kg.passage_edges(t))
+    edges = durable(kg.entity_edges(t).unionByName(kg.passage_edges(t)))
     return kg.endpoints(edges), edges, kg.entity_counts(t)
 
 

@@ -58,13 +58,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, by: str) -> DataFrame:
-    """durable(df), dealt by a column into as many buckets as a shuffle has partitions, and sorted in them: joins on that column don't shuffle it again."""
+def bucketed(df: DataFrame, *by: str) -> DataFrame:
+    """durable(df), dealt by columns into as many buckets as a shuffle has partitions: joins on those columns don't shuffle it again."""
     spark = plain_unions(df.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"lorewell_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/lorewell/{name}"
-    df.repartition(parts, by).write.bucketBy(parts, by).sortBy(by).option("path", path).format("parquet").saveAsTable(name)
+    df.repartition(parts, *by).write.bucketBy(parts, *by).option("path", path).format("parquet").saveAsTable(name)
     _written.append((spark, path, name))
     return spark.table(name)
 

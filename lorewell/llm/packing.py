@@ -2,9 +2,10 @@
 
 A document's tokens (an end mark after them) are cut into full windows and a rest. A rest of s tokens goes to
 the fill level h, or to a new window, that makes the sum of squared counts of partly filled windows, by
-level, smallest; the counts are an array of WINDOW levels. Every partition packs its own
-documents in order, so nothing is shuffled; what is partly filled in the end is laid end to end and
-cut into full windows and then sequences of powers of two, so no sequence has padding.
+level, smallest; the counts are an array of WINDOW levels, and of levels that are as good the lowest one is taken. Every partition packs its own
+documents in order. The rests in windows that stay partly filled there go, with their ids, to groups of about GROUP rests from many
+partitions, and are packed again by the same rule, so that the method decides on all but a small part of the rests however small partitions are. What is partly filled
+in the end of a group is laid end to end and cut into full windows and then sequences of powers of two, so no sequence has padding.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from lorewell.llm.shared import documents_text, lean, text_buffers
+from lorewell.llm.shared import documents_text, lean, materialize, text_buffers
 
 WINDOW = 2048
 END = 1
+#: Rests of partly filled windows that are packed together again, about.
+GROUP = 20_000
+#: What column how says of a piece: a full window of its document, placed by the rule in its partition, placed by it in a group, laid end to end.
+FULL, PLACED, REGROUPED, CUT = "full", "placed", "regrouped", "cut"
 #: Distinct words whose ids a worker remembers; beyond that it keeps, of those met again, half as many at most.
 REMEMBERED = 400_000
 #: Bytes of text tokenized at a time; a longer text is handled alone.
@@ -33,8 +39,14 @@ _MARKS = ".,;:!?*#%&$"
 
 
 class WordTokenizer:
-    """Ids of texts with a tokenizer that splits at white space, lower-cases, and parts letters from marks: every distinct
-    word (between spaces and line ends) goes through it once, without the marks at its end, and is remembered."""
+    """Ids of texts. With a tokenizer that splits at white space, lower-cases, and parts letters from marks, every distinct
+    word (between spaces and line ends) goes through it once, without the marks at its end, and is remembered; whether a tokenizer is such a one is tried on PROBES.
+    With any other, whole texts go through it."""
+
+    PROBES = (
+        "Some words, of A text.", "  two  spaces\nand lines\n\n end ", "MiXed CASE Words WORDS!?", "marks: a.b, c;d... (e) #f% $g& *h*", "digits 12,345.67 a1b2 3x", "déjà Übung Éa ñandú; ß", "x-y_z @w 'q' \"r\"",
+        "\u4e2d\u6587, \u65e5\u672c.", "a\tb\r\nc", "don't won't.", "http://a.b/c?d=e#f", "repeat repeat, repeat. REPEAT",
+    )
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -45,6 +57,9 @@ class WordTokenizer:
         self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.ends = np.zeros(1 << 16, dtype=np.int64)
         self.met = np.zeros(1 << 16, dtype=np.int32)  # in how many pieces of text
+        found, offs = self._by_words(pa.array(self.PROBES))
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(list(self.PROBES), add_special_tokens=False)]
+        self.by_words = [found[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == whole
 
     def _put(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Writes ids of some words after those of the known ones; returns their places."""
@@ -119,6 +134,13 @@ class WordTokenizer:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's offsets in them."""
+        if self.by_words:
+            return self._by_words(texts)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lens.sum())), np.concatenate(([0], np.cumsum(lens)))
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.replace_substring(texts.cast(pa.large_string()), "\n", " ")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else lower case might make a special token
             texts = pc.ascii_lower(texts)
@@ -188,72 +210,121 @@ class SumOfSquares:
             yield from self.open[level]
 
 
-_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+_NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "how", "ids")
+_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, how string, ids array<int>"
+#: Sets the numbers of sequences of groups apart from those of partitions.
+_OF_GROUPS = 1 << 62
+
+
+class _Sequences:
+    """Rows of pieces, as sequences are closed: numbers go up from a partition's first one."""
+
+    def __init__(self, first: int, with_ids: bool) -> None:
+        self.number, self.with_ids, self.rows = first, with_ids, []
+
+    def add(self, piece: tuple, at: int, how: str, ids: bool) -> None:
+        doc, start, own, total = piece
+        self.rows.append((doc, start, len(own), zlib.crc32(own.astype("<u4").tobytes()), total, self.number, at, how, own if ids else None))
+
+    def close(self, pieces: list, how: str) -> None:
+        at = 0
+        for piece in pieces:
+            self.add(piece, at, how, self.with_ids)
+            at += len(piece[2])
+        self.number += 1
+
+    def flush(self) -> pa.RecordBatch:
+        cols = list(zip(*self.rows, strict=True)) or [()] * 9
+        self.rows = []
+        arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
+        ids = pa.array([None if x is None else x.astype(np.int32) for x in cols[8]], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(cols[7], pa.string()), ids], list(_NAMES))
+
+
+def _first_number() -> int:
+    context = TaskContext.get()
+    return (context.partitionId() if context else 0) << 32
+
+
+def _laid_out(pieces: Iterator[tuple], window: int, close) -> None:
+    """Pieces end to end: full windows, then powers of two."""
+    held, size = [], 0
+    for doc, start, ids, total in pieces:
+        while len(ids):
+            part = ids[: window - size]
+            held.append((doc, start, part, total))
+            size, start, ids = size + len(part), start + len(part), ids[len(part) :]
+            if size == window:
+                close(held)
+                held, size = [], 0
+    while held:
+        left, cut = 1 << (size.bit_length() - 1), []
+        size -= left
+        while left:
+            doc, start, ids, total = held.pop(0)
+            cut.append((doc, start, ids[:left], total))
+            if len(ids) > left:
+                held.insert(0, (doc, start + left, ids[left:], total))
+            left -= len(cut[-1][2])
+        close(cut)
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool = True) -> DataFrame:
     """Packs whole documents into sequences of at most window tokens.
 
-    A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids (null unless with_ids). Each row of
-    docs is a document of its own, repeated rows too; a null or blank text is the end mark alone. sequence_id is the partition's number times
-    2**32 plus a counter, so a partition that is computed again gets the same. A worker holds a batch of texts and its partly
-    filled windows. Other columns are not read."""
+    A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, how (FULL, PLACED, REGROUPED or CUT) and ids (null unless with_ids). Each row of
+    docs is a document of its own, repeated rows too; a null or blank text is the end mark alone; docs may be empty. sequence_id is the partition's number times
+    2**32 plus a counter, beyond _OF_GROUPS for groups, so a partition that is computed again gets the same. A worker holds a batch of texts and its partly
+    filled windows, or a group's. Other columns are not read."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = _tokenizer(tokenizer), SumOfSquares(window)
-        context = TaskContext.get()
-        sequence = (context.partitionId() if context else 0) << 32
-        rows: list[tuple] = []
-
-        def close(pieces: list) -> None:
-            nonlocal sequence
-            at = 0
-            for doc, start, ids, total in pieces:
-                rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, at, ids if with_ids else None))
-                at += len(ids)
-            sequence += 1
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            rows.clear()
-            arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
-            ids = pa.array([None if x is None else x.astype(np.int32) for x in cols[7]], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([*arrays, ids], [*_COLUMNS, "ids"])
-
+        out = _Sequences(_first_number(), with_ids)
         for texts, names in _gathered(batches):
-            for first, last, _, _ in text_buffers(texts, TOKENIZED_BYTES):
-                ids, offs = words(texts.slice(first, last - first))
-                for i in range(first, last):
-                    own = np.append(ids[offs[i - first] : offs[i - first + 1]], np.uint32(end))
+            for a, last, _, _ in text_buffers(texts, TOKENIZED_BYTES):
+                ids, offs = words(texts.slice(a, last - a))
+                for i in range(a, last):
+                    own = np.append(ids[offs[i - a] : offs[i - a + 1]], np.uint32(end))
                     total, full = len(own), len(own) // window * window
-                    for a in range(0, full, window):
-                        close([(names[i], a, own[a : a + window], total)])
+                    for at in range(0, full, window):
+                        out.close([(names[i], at, own[at : at + window], total)], FULL)
                     if full < total and (pieces := packer.place(total - full, (names[i], full, own[full:].copy(), total))):
-                        close(pieces)
-                if len(rows) >= 500:
-                    yield flush()
-        # The windows that stay partly filled, end to end.
-        held, size = [], 0
-        for doc, start, ids, total in (p for pieces in packer.rest() for p in pieces):
-            while len(ids):
-                part = ids[: window - size]
-                held.append((doc, start, part, total))
-                size, start, ids = size + len(part), start + len(part), ids[len(part) :]
-                if size == window:
-                    close(held)
-                    held, size = [], 0
-        while held:
-            left, cut = 1 << (size.bit_length() - 1), []
-            size -= left
-            while left:
-                doc, start, ids, total = held.pop(0)
-                cut.append((doc, start, ids[:left], total))
-                if len(ids) > left:
-                    held.insert(0, (doc, start + left, ids[left:], total))
-                left -= len(cut[-1][2])
-            close(cut)
-        if rows:
-            yield flush()
-
-    return documents_text(docs).mapInArrow(lean(run), _SCHEMA)
+                        out.close(pieces, PLACED)
+                if len(out.rows) >= 500:
+                    yield out.flush()
+        for piece in (p for pieces in packer.rest() for p in pieces):  # each by a number of its own
+            out.add(piece, 0, CUT, True)
+            out.number += 1
+            if len(out.rows) >= 500:
+                yield out.flush()
+        if out.rows:
+            yield out.flush()
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, out = SumOfSquares(window), _Sequences(_OF_GROUPS | _first_number(), with_ids)
+        for batch in batches:
+            rows = zip(*(batch[c].to_pylist() for c in ("doc_id", "start", "doc_tokens")), batch["ids"], strict=True)
+            for doc, start, total, ids in rows:
+                own = ids.values.to_numpy().astype(np.uint32)
+                if pieces := packer.place(len(own), (doc, start, own, total)):
+                    out.close(pieces, REGROUPED)
+                if len(out.rows) >= 500:
+                    yield out.flush()
+        _laid_out((p for pieces in packer.rest() for p in pieces), window, lambda held: out.close(held, CUT))
+        for a in range(0, len(rows := out.rows), 500):
+            out.rows = rows[a : a + 500]
+            yield out.flush()
+
+    packed = materialize(documents_text(docs).mapInArrow(lean(first), _SCHEMA))
+    open_ = packed.where(F.col("how") == CUT)
+    groups = -(-open_.count() // GROUP)
+    if not groups:
+        return packed
+    # Numbers are dealt by hash, so that a group has rests of all partitions; its order is that of the numbers.
+    dealt = open_.repartition(groups, F.xxhash64("sequence_id")).sortWithinPartitions("sequence_id")
+    return packed.where(F.col("how") != CUT).unionByName(dealt.mapInArrow(lean(again), _SCHEMA))
+
+
+def shares(packed: DataFrame) -> DataFrame:
+    """how and share: what part of all tokens each way of packing has."""
+    return packed.groupBy("how").agg(F.sum("length").alias("tokens")).select("how", (F.col("tokens") / F.sum("tokens").over(Window.partitionBy())).alias("share"))

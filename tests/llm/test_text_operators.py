@@ -442,6 +442,26 @@ def _check_packed(rows, ids, window=2048):
         assert n <= window and (n == window or n & (n - 1) == 0)
 
 
+@pytest.mark.parametrize("parts", [1, 32])
+def test_the_rule_places_all_but_a_small_part(spark, parts):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(parts)
+    packed = packing.materialize(packing.pack(docs, tokenizer_path(), with_ids=False))
+    share = {r["how"]: r["share"] for r in packing.shares(packed).collect()}
+    assert share["cut"] < 0.1 and share["full"] < 0.5 and sum(share.values()) == pytest.approx(1)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).where("n <> end or n > 2048 or n & (n - 1) <> 0").count() == 0
+    assert packed.select("doc_id").distinct().count() == docs.count() and packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n <> t").count() == 0
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  words", "", None, " x"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -455,7 +475,7 @@ def test_packing(spark):
     for r in got:
         assert np.array_equal(np.array(r["ids"], dtype="<u4"), ids[r["doc_id"]][r["start"] : r["start"] + r["length"]])
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
-    again = packing.pack(docs, tokenizer_path(), with_ids=False).drop("ids").collect()
+    again = packing.pack(docs, tokenizer_path(), with_ids=False).drop("ids", "how").collect()
     assert sorted(map(tuple, again)) == sorted(tuple(r)[:7] for r in got)
 
 

@@ -7,7 +7,8 @@ features whose z value reaches Z are kept, so the model is small. A word scores
 feature, and -DRIFT without one. The linear scan of Ruzzo and Tompa finds every
 maximal passage of positive score. Karlin-Altschul statistics, from the scores of words in clean documents,
 give the number of passages that chance would score as high in a text of that
-length; a logistic curve over its logarithm, summed over the passages that are significant, makes the probability.
+length; the negative logarithms of it, summed over the passages that are significant, are a text's evidence, and a logistic curve over its square root makes the
+probability. The curve is fitted on documents scored with weights that other documents have told.
 """
 
 from __future__ import annotations
@@ -20,17 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import U64, documents_text, lean, lower_ascii, mix, prefix_hash, small_batches, span_hash, text_buffers
+from lorewell.llm.shared import U64, documents_text, lean, lower_ascii, materialize, mix, prefix_hash, small_batches, span_hash, text_buffers
 
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 Z = 2.8
 #: Least log-odds of a kept feature.
 ODDS = 3.0
 DRIFT = 0.05
-#: Labelled documents that the model is fitted on at most: those whose ids hash lowest.
+#: Labelled documents that the model is fitted on at most: those whose ids hash lowest. With it the number of features is bounded too: all that pass Z, ODDS and SEEN are kept.
 SAMPLE = 10_000
-#: Features that are kept at most: those of highest z.
-FEATURES = 20_000
+#: Toxic documents that a feature is seen in, at least.
+SEEN = 3
 #: Passages whose expected number by chance is below this count.
 SIGNIFICANT = 1.0
 #: Words whose documents the model is fitted on, and those that are held out.
@@ -123,7 +124,7 @@ class Model:
     weights: np.ndarray
     z: np.ndarray
     steep: float = 1.0  # lambda of Karlin and Altschul
-    often: float = 1e-3  # K
+    often: float = 1e-3  # of words that score, in place of K
     intercept: float = -2.0
     slope: float = 0.0
 
@@ -167,7 +168,8 @@ class Model:
         return out
 
     def evidence(self, passages: list) -> float:
-        return float(sum(min(-np.log(max(p[3], 1e-30)), 30.0) for p in passages))
+        """The square root keeps texts of very much evidence from telling the curve where there is little."""
+        return float(np.sqrt(sum(-np.log(max(p[3], 1e-300)) for p in passages)))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * evidence, -30, 30)))
@@ -199,9 +201,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = documents_text(docs)
     sample = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    known = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    # Written once, as it is read several times: SAMPLE documents at most.
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    known = materialize(texts.join(F.broadcast(sample), "doc_id").select("text", "toxic", half.alias("half")))
+    model = _weighed(known)
+    if not len(model.keys):
+        return model
+    # Either half is scored with weights of the other one, so that no document tells the curve what it has told the weights.
+    halves = known.groupBy("half").agg(F.min("toxic").alias("a"), F.max("toxic").alias("b")).where("a < b").count()
+    pairs = [(_weighed(known.where(F.col("half") != h)), known.where(F.col("half") == h)) for h in (0, 1)] if halves == 2 else [(model, known)]
+    seen = [told.select("text", "toxic").mapInArrow(lean(_evidence(part)), "toxic int, evidence double").toPandas() for part, told in pairs]
+    x, y = (np.concatenate([s[c].to_numpy(float) for s in seen]) for c in ("evidence", "toxic"))
+    model.intercept, model.slope = _logistic(x, y)
+    return model
+
+
+def _evidence(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for toxic, row_scores in _scored(model, batches, "toxic"):
+            yield pa.RecordBatch.from_arrays([toxic, pa.array([model.evidence(model.passages(s)) for s in row_scores], pa.float64())], ["toxic", "evidence"])
+
+    return run
+
+
+def _weighed(known: DataFrame) -> Model:
+    """The features of known (text, toxic) that count, their weights, and what chance makes of them in clean documents."""
+    known = known.select("text", "toxic")
     counts = known.mapInArrow(lean(_count), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    total = sample.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+    total = known.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     n1, n0 = float(total["t"] or 0), float((total["n"] or 0) - (total["t"] or 0))
     empty = np.zeros(0)
     if not n1 or not n0:
@@ -211,11 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     prior1, prior0 = (F.greatest(F.lit(0.5), share * 10 * n / (n1 + n0)) for n in (n1, n0))
     y1, y0 = F.col("toxic") + prior1, F.col("clean") + prior0
     odds = F.log(y1 / (F.lit(n1 + 10) - y1 + 1)) - F.log(y0 / (F.lit(n0 + 10) - y0 + 1))
-    rows = (
-        counts.where("toxic > 2").select("feature", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z")).where((F.col("z") >= Z) & (F.col("odds") >= ODDS))
-        .orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
-    )
-    rows = sorted((int(r["feature"]) % (1 << 64), r["odds"], r["z"]) for r in rows)
+    kept = counts.where(F.col("toxic") >= SEEN).select("feature", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"))
+    rows = sorted((int(r["feature"]) % (1 << 64), r["odds"], r["z"]) for r in kept.where((F.col("z") >= Z) & (F.col("odds") >= ODDS)).collect())
     model = Model(np.array([r[0] for r in rows], dtype=U64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,13 +258,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (p * np.exp(mid * s)).sum() + (1 - p.sum()) * np.exp(-mid * DRIFT) < 1 else (lo, mid)
     model.steep, model.often = lo, float(p.sum())
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for toxic, row_scores in _scored(model, batches, "toxic"):
-            yield pa.RecordBatch.from_arrays([toxic, pa.array([model.evidence(model.passages(s)) for s in row_scores], pa.float64())], ["toxic", "evidence"])
-
-    seen = known.mapInArrow(lean(evidence), "toxic int, evidence double").toPandas()
-    model.intercept, model.slope = _logistic(seen["evidence"].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
 

@@ -333,8 +333,8 @@ def _one_query(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("all",)], "qid string")
 
 
-def _ppr_sql(edges: str, queries: str, alpha: float, personal: str | None = None, dangling: str | None = None) -> str:
-    """ROUNDS rounds, unrolled. personal, dangling: (qid, id, weight)."""
+def _ppr_sql(edges: str, queries: str, alpha: float, personal: str | None = None, dangling: str | None = None, rounds: int = ROUNDS) -> str:
+    """rounds rounds, unrolled. personal, dangling: (qid, id, weight)."""
     p = "1.0 / n" if personal is None else "coalesce(pw.weight / pt.total, 0.0)"
     d = "" if dangling is None else "coalesce(dw.weight / dt.total, p)"
     joins = "" if personal is None else " LEFT JOIN pw ON pw.qid = q.qid AND pw.id = v.id LEFT JOIN pt ON pt.qid = q.qid"
@@ -350,11 +350,11 @@ def _ppr_sql(edges: str, queries: str, alpha: float, personal: str | None = None
     else:
         ctes += [f"dw AS MATERIALIZED ({dangling})", "dt AS MATERIALIZED (SELECT qid, sum(weight) AS total FROM dw GROUP BY qid)"]
         ctes.append(f"s0 AS MATERIALIZED (SELECT s.*, {d} AS d FROM s LEFT JOIN dw ON dw.qid = s.qid AND dw.id = s.id LEFT JOIN dt ON dt.qid = s.qid)")
-    for i in range(ROUNDS):
+    for i in range(rounds):
         ctes.append(f"m{i} AS MATERIALIZED (SELECT qid, dst AS id, sum(r * share) AS moved FROM s{i} JOIN t ON src = s{i}.id GROUP BY qid, dst)")
         ctes.append(f"l{i} AS MATERIALIZED (SELECT qid, {alpha} * sum(CASE WHEN sink THEN r ELSE 0.0 END) AS lost FROM s{i} GROUP BY qid)")
         ctes.append(f"s{i + 1} AS MATERIALIZED (SELECT a.qid, a.id, a.p, a.sink, lost * a.d + (1 - {alpha}) * a.p + {alpha} * coalesce(moved, 0.0) AS r, a.d FROM s{i} a LEFT JOIN m{i} m ON m.qid = a.qid AND m.id = a.id JOIN l{i} l ON l.qid = a.qid)")
-    return f"WITH {', '.join(ctes)} SELECT qid, id, r AS score FROM s{ROUNDS}"
+    return f"WITH {', '.join(ctes)} SELECT qid, id, r AS score FROM s{rounds}"
 
 
 def ppr_global(spark: SparkSession, sf_dir: str) -> DataFrame:

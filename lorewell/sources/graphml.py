@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import os
+import zlib
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,8 +56,41 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select("src", "dst", F.coalesce(own["float"], own["int"].cast("double"), F.lit(0.0)).alias("weight"), "attrs")
 
 
+class _Output:
+    """A text file on any file system that Spark writes, gzipped or plain; a megabyte or so is held."""
+
+    def __init__(self, spark: SparkSession, path: str, compressed: bool) -> None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+        self.zip = zlib.compressobj(6, zlib.DEFLATED, 31) if compressed else None
+        self.held: list[str] = []
+        self.size = 0
+
+    def write(self, text: str) -> None:
+        self.held.append(text)
+        self.size += len(text)
+        if self.size > 1 << 20:
+            self._flush()
+
+    def _flush(self, last: bool = False) -> None:
+        data = "".join(self.held).encode()
+        self.held, self.size = [], 0
+        if self.zip is not None:
+            data = self.zip.compress(data) + (self.zip.flush() if last else b"")
+        if data:
+            self.out.write(bytearray(data))
+
+    def __enter__(self) -> _Output:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self._flush(last=True)
+        self.out.close()
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, compressed: bool = False) -> None:
-    """Streams both frames (as from read_graphml) through the driver into one local file, row by row. The suffix must fit."""
+    """Streams both frames (as from read_graphml) through the driver into one file, row by row, on any file system that Spark writes. The suffix must fit."""
     if not path.endswith(".graphmlz" if compressed else ".graphml"):
         raise ValueError("the suffix is .graphmlz for compressed files and .graphml for others")
     kinds = {}
@@ -73,7 +107,7 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, compressed: boo
             out.append(f'<data key="{kinds[name][0]}">{"" if value is None else escape(str(value))}</data>')
         return "".join(out)
 
-    with (gzip.open if compressed else open)(path, "wt", encoding="utf-8") as f:
+    with _Output(nodes.sparkSession, path, compressed) as f:
         f.write(f'<?xml version="1.0" ?>\n<graphml xmlns="{NAMESPACE}">\n')
         for name, (k, where, kind) in kinds.items():
             f.write(f'\t<key id="{k}" for="{where}" attr.name={quoteattr(name)} attr.type="{kind}"/>\n')

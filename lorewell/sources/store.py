@@ -41,6 +41,11 @@ def forget(spark: SparkSession, path: str, name: str | None = None) -> None:
     fs.delete(p, True)
 
 
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Deletes a path when the process ends."""
+    _written.append((spark, path, None))
+
+
 @atexit.register
 def _forget_all() -> None:
     for written in _written:

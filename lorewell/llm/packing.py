@@ -224,7 +224,9 @@ class _Sequences:
 
     def add(self, piece: tuple, at: int, how: str, ids: bool) -> None:
         doc, start, own, total = piece
-        self.rows.append((doc, start, len(own), zlib.crc32(own.astype("<u4").tobytes()), total, self.number, at, how, own if ids else None))
+        # A rest that is packed again is told its checksum then.
+        crc = 0 if how == CUT and ids and not self.with_ids else zlib.crc32(own.astype("<u4", copy=False))
+        self.rows.append((doc, start, len(own), crc, total, self.number, at, how, own if ids else None))
 
     def close(self, pieces: list, how: str) -> None:
         at = 0
@@ -237,7 +239,11 @@ class _Sequences:
         cols = list(zip(*self.rows, strict=True)) or [()] * 9
         self.rows = []
         arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
-        ids = pa.array([None if x is None else x.astype(np.int32) for x in cols[8]], pa.list_(pa.int32()))
+        if any(x is not None for x in cols[8]):
+            lens = np.array([len(x) for x in cols[8]])  # all rows have ids, or none has
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(np.concatenate(cols[8]).view(np.int32)))
+        else:
+            ids = pa.nulls(len(cols[7]), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([*arrays, pa.array(cols[7], pa.string()), ids], list(_NAMES))
 
 
@@ -292,6 +298,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
                         out.close(pieces, PLACED)
                 if len(out.rows) >= 500:
                     yield out.flush()
+        if out.rows:
+            yield out.flush()
         for piece in (p for pieces in packer.rest() for p in pieces):  # each by a number of its own
             out.add(piece, 0, CUT, True)
             out.number += 1

@@ -48,9 +48,10 @@ class WordTokenizer:
         "\u4e2d\u6587, \u65e5\u672c.", "a\tb\r\nc", "don't won't.", "http://a.b/c?d=e#f", "repeat repeat, repeat. REPEAT",
     )
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int | None = None) -> None:
         from tokenizers import Tokenizer
 
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.direct = self.tokenizer.model, None
         self.known: dict[str, int] = {}  # word -> its place in the arrays below
@@ -103,7 +104,7 @@ class WordTokenizer:
     def _forget(self) -> None:
         """Keeps the words that were met in most pieces of text."""
         met = self.met[: len(self.known) + 1]
-        bar = next(b for b in chain(range(2, 64), [1 << 31]) if int((met >= b).sum()) <= REMEMBERED // 2)
+        bar = next(b for b in chain(range(2, 64), [1 << 31]) if int((met >= b).sum()) <= self.remembered // 2)
         keep = met >= bar
         keep[0] = False
         place = np.flatnonzero(keep)  # words stand in the order of their places
@@ -148,7 +149,7 @@ class WordTokenizer:
         counts = np.diff(split.offsets.to_numpy())
         flat = split.flatten().dictionary_encode()
         words = flat.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._forget()
         place = np.fromiter(map(self.known.get, words, repeat(0)), dtype=np.int64, count=len(words))
         self.met[place] += 1
@@ -159,18 +160,18 @@ class WordTokenizer:
 
 
 @lru_cache(1)
-def _tokenizer(path: str) -> WordTokenizer:
+def _tokenizer(path: str, remembered: int) -> WordTokenizer:
     """One for each worker process: later tasks find the words of earlier ones."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, remembered)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
-    """The texts and ids of several batches, TOKENIZED_BYTES or so."""
+def _gathered(batches: Iterator[pa.RecordBatch], bytes_: int) -> Iterator[tuple[pa.Array, list]]:
+    """The texts and ids of several batches, of bytes_ or so."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch["text"].nbytes
-        if size >= TOKENIZED_BYTES:
+        if size >= bytes_:
             yield pa.concat_arrays([b["text"] for b in held]), [x for b in held for x in b["doc_id"].to_pylist()]
             held, size = [], 0
     if held:
@@ -275,19 +276,19 @@ def _laid_out(pieces: Iterator[tuple], window: int, close) -> None:
         close(cut)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, with_ids: bool = True, piece_bytes: int = TOKENIZED_BYTES, remembered: int = REMEMBERED) -> DataFrame:
     """Packs whole documents into sequences of at most window tokens.
 
     A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, how (FULL, PLACED, REGROUPED or CUT) and ids (null unless with_ids). Each row of
     docs is a document of its own, repeated rows too; a null or blank text is the end mark alone; docs may be empty. sequence_id is the partition's number times
     2**32 plus a counter, beyond _OF_GROUPS for groups, so a partition that is computed again gets the same. A worker holds a batch of texts and its partly
-    filled windows, or a group's. Other columns are not read."""
+    filled windows, or a group's; piece_bytes (of text tokenized at a time) and remembered (words) trade its memory for time, and change no result. Other columns are not read."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = _tokenizer(tokenizer), SumOfSquares(window)
+        words, packer = _tokenizer(tokenizer, remembered), SumOfSquares(window)
         out = _Sequences(_first_number(), with_ids)
-        for texts, names in _gathered(batches):
-            for a, last, _, _ in text_buffers(texts, TOKENIZED_BYTES):
+        for texts, names in _gathered(batches, piece_bytes):
+            for a, last, _, _ in text_buffers(texts, piece_bytes):
                 ids, offs = words(texts.slice(a, last - a))
                 for i in range(a, last):
                     own = np.append(ids[offs[i - a] : offs[i - a + 1]], np.uint32(end))
@@ -298,6 +299,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
                         out.close(pieces, PLACED)
                 if len(out.rows) >= 500:
                     yield out.flush()
+                del ids
+                pa.default_memory_pool().release_unused()
         if out.rows:
             yield out.flush()
         for piece in (p for pieces in packer.rest() for p in pieces):  # each by a number of its own

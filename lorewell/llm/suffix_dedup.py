@@ -14,7 +14,7 @@ alone, so equal windows have equal anchors at the same offset, and no repeat is
 4. A bucket sorts its suffixes, and its reversed left texts, by multikey quicksort with
    8-byte keys and gets both LCP arrays. A window that begins i bytes before its anchor is
    a prefix class of either order, so windows repeat where both classes agree.
-5. Comparison across boundaries: a class of suffixes that has the bucket's first or last suffix may go on in the next bucket. The
+5. Comparison across boundaries: a class of suffixes that has the bucket's first or last suffix (or its first SPLIT bytes) may go on in the next bucket. The
    windows of such classes, each distinct one of a bucket once, meet by their hash of 128 bits, and those of two buckets repeat.
 6. All windows of a context contain its anchor, so what is removed there is one span. Spans meet
    their document again by its key, and are cut out of its bytes.
@@ -37,7 +37,7 @@ GRAM = 32
 #: Contexts of a bucket, about.
 BUCKET = 100_000
 #: Leading bytes of suffixes, and bytes before them, that splitters are made of.
-SPLIT = 64
+SPLIT, SPLIT_BEFORE = 128, 32
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -237,6 +237,8 @@ def repeated(suffix: pa.Array, before: pa.Array, copies: np.ndarray, length: int
     with_first = np.concatenate(([length], np.minimum.accumulate(lcp_r[1:]))) if n else lcp_r
     with_last = np.concatenate((np.minimum.accumulate(lcp_r[:0:-1])[::-1], [length])) if n else lcp_r
     reach = np.minimum(np.maximum(with_first, with_last)[rank_r], n_right)
+    # Splitters see SPLIT bytes of a suffix: those that share them may be parted whatever follows.
+    reach = np.where(reach >= SPLIT, n_right, reach)
     edge = np.flatnonzero(reach + n_left >= length)
     live = np.flatnonzero(best_l + best_r >= length)
     open_: list[tuple] = []
@@ -261,14 +263,15 @@ def repeated(suffix: pa.Array, before: pa.Array, copies: np.ndarray, length: int
 
 
 def _window_hashes(suffix: pa.Array, before: pa.Array, at: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the windows that begin back bytes before the anchors of contexts at."""
+    """Two hashes of the windows that begin back bytes before the anchors of contexts at, and of that number: a window of several anchors is in as many
+    contexts, and must not meet itself."""
     of, place = np.unique(at, return_inverse=True)
     texts = [b.as_buffer().to_pybytes()[::-1] + s.as_buffer().to_pybytes() for b, s in zip(before.take(pa.array(of)), suffix.take(pa.array(of)), strict=True)]
     heads = np.array([len(b.as_buffer()) for b in before.take(pa.array(of))], dtype=np.int64)
     ends = np.cumsum([len(t) for t in texts])
     start = (ends - [len(t) for t in texts] + heads)[place] - back
     buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    return tuple(span_hash(prefix_hash(x), start, start + LENGTH) for x in (buf, buf ^ np.uint8(0xA5)))
+    return tuple(mix(span_hash(prefix_hash(x), start, start + LENGTH) + back.astype(U64)) for x in (buf, buf ^ np.uint8(0xA5)))
 
 
 def _emit_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +350,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # All columns of texts go along, so that the exchange of the texts serves the last join too.
     flagged = texts.join(spots, ["a", "b"]).select("doc_id", "a", "b", "text", "spots")
     contexts = flagged.mapInArrow(lean(_emit_contexts), "suffix binary, before binary, a array<long>, b array<long>, p array<long>, run array<long>")
-    buckets = contexts.repartitionByRange(parts, F.substring("suffix", 1, SPLIT), F.substring("before", 1, SPLIT), F.col("a")[0])
+    buckets = contexts.repartitionByRange(parts, F.substring("suffix", 1, SPLIT), F.substring("before", 1, SPLIT_BEFORE), F.col("a")[0])
     told = materialize(buckets.mapInArrow(lean(_emit_spans), "a long, b long, span long, u long, v long"))
     # A window of two buckets repeats; a bucket has it in one row.
     beyond = told.where("u IS NOT NULL")

@@ -274,6 +274,35 @@ def test_pipeline_stage_by_stage(spark, small):
     assert seen == ["toxicity", "near_dedup", "pii", "mixing", "packing"]
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, copies string, name string, part int, row string, how string"
+
+
+def test_pipeline_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, an empty and a long text, rows that repeat, ids that repeat, clashing names: what each stage keeps is what its own rules say."""
+    prose = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [
+        (1, prose(1, 40), "en", "a", 10), (1, prose(1, 40), "en", "a", 10), (2, prose(1, 40) + " end", "en", "b", 10), (3, prose(3, 30), None, None, None), (3, prose(4, 30), "de", "a", 1),
+        (4, None, "en", "a", 0), (5, "", "en", "b", 0), (None, prose(6, 20), "en", "a", 1), (None, None, None, None, None), (7, prose(7, 60_000), "en", "b", 9), (8, "mail me@x.org, now", "en", "a", 18),
+    ]
+    docs = spark.createDataFrame([(*r, "c", "n", 1, "r", "h") for r in rows], ODD)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = dict(zip([n for n, _ in corpus_pipeline.STAGES], [None] * 5, strict=True))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = out[name] = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)))
+    key = lambda df: sorted((r["doc_id"] or 0, (r["text"] or "")[:9]) for r in df.collect())
+    assert out["toxicity"].count() == len(rows)  # nothing is known to be toxic
+    assert key(out["near_dedup"]) == sorted([(1, "w1x0 w1x1"), (3, "w3x0 w3x1"), (3, "w4x0 w4x1"), (4, ""), (5, ""), (0, "w6x0 w6x1"), (0, ""), (7, "w7x0 w7x1"), (8, "mail me@x")])
+    assert out["pii"].where("doc_id = 8").first()["text"] == "mail EMAIL, now" or "me@x.org" not in out["pii"].where("doc_id = 8").first()["text"]
+    assert out["pii"].columns == out["mixing"].columns == ODD.replace(",", "").split()[::2]
+    assert {r["doc_id"] for r in out["mixing"].collect()} <= {r["doc_id"] for r in out["pii"].collect()} and out["mixing"].groupBy("doc_id", "text").count().where("count > 2").count() == 0
+    assert out["packing"].select("doc_id").distinct().count() == out["mixing"].select("doc_id").distinct().count()
+    empty = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = corpus_pipeline.materialize(stage(spark, empty, str(tmp_path)))
+        assert empty.count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_media", "op5_packing", "op7_pii", "op8_near_dedup", "op9_toxicity", "op10_html_extract"])
 def test_queries_return_every_row(spark, small, name):
     got = queries()[name](spark, small)

@@ -81,6 +81,56 @@ def test_repeats_are_those_of_brute_force(spark):
     assert sum(r["n_removed"] for r in rows) > 0
 
 
+def test_repeats_across_buckets(spark, monkeypatch):
+    """A beginning that very many contexts share, in buckets of a few: windows meet over their boundaries."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 3)
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, heads, tails = word(110), [word(90) for _ in range(4)], [word(95) for _ in range(4)]
+    texts = {i: word(rng.randint(0, 260)) + rng.choice([word(rng.randint(20, 120)), *heads]) + common + rng.choice([word(rng.randint(20, 120)), *tails]) + word(rng.randint(0, 200)) for i in range(70)}
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).orderBy("doc_id").collect()
+    _check_removed(rows, [texts[r["doc_id"]].encode() for r in rows])
+    assert 10 < sum(r["n_removed"] > 0 for r in rows) < 70
+
+
+def test_windows_of_a_bucket_that_may_go_on():
+    """Every window that two buckets have is told by both, whatever the cut."""
+    rng = random.Random(5)
+    head, tail = "".join(rng.choice("ab") for _ in range(150)), "".join(rng.choice("ab") for _ in range(150))
+    whole = sorted({(tail[: rng.randint(40, 150)] + "x" * rng.randint(0, 60), head[: rng.randint(30, 150)] + "y" * rng.randint(0, 30)) for _ in range(60)})
+    for cut in (0, 1, 13, 30, 59):
+        seen = []
+        for part in (whole[:cut], whole[cut:]):
+            suffix, before = (pa.array([x[k].encode() for x in part], pa.binary()) for k in (0, 1))
+            _, _, (at, back, _) = suffix_dedup.repeated(suffix, before, np.ones(len(part), dtype=np.int64))
+            seen.append({part[x][1][:i][::-1] + part[x][0][: 200 - i] for x, i in zip(at.tolist(), back.tolist(), strict=True)})
+        windows = [{b[:i][::-1] + s[: 200 - i] for s, b in part for i in range(len(b) + 1) if len(s) >= 200 - i} for part in (whole[:cut], whole[cut:])]
+        both = windows[0] & windows[1]
+        assert both <= seen[0] and both <= seen[1] and all(s <= w for s, w in zip(seen, windows, strict=True))
+
+
+def test_periodic_texts(spark):
+    for period in (1, 2, 7, 150):
+        unit = np.random.default_rng(period).integers(97, 123, period).astype(np.uint8)
+        buf = np.tile(unit, 60_000 // period)
+        r, p, h, left, right = suffix_dedup.anchors(buf, np.array([0, len(buf)]))
+        first, count, step = suffix_dedup.alike(buf, r, p, h, left, right)
+        assert len(first) <= 500 and count.sum() == len(p)
+        assert sorted(x for a, n, k in zip(p[first], count, step, strict=True) for x in range(a, a + n * max(k, 1), max(k, 1))) == p.tolist()
+    long = "z" * (1 << 21) + "end"
+    texts = [long, "z" * 200, "q" * 150 + "z" * 199, "abc" * 100, "bca" * 70, "k" * 199]
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in rows] == [1 << 21, 200, 0, 300, 210, 0] and [r["n_spans"] for r in rows] == [1, 1, 0, 1, 1, 0]
+
+
+def test_contexts_of_one_hash_are_told_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "span_hash", lambda prefix, a, b: np.zeros(len(a), dtype=np.uint64))
+    buf = np.frombuffer(b"abcdabcdabceabc", dtype=np.uint8)
+    p, left, right = np.array([1, 5, 9]), np.array([1, 1, 1]), np.array([3, 3, 3])
+    first, back = suffix_dedup._distinct(buf, p, left, right)
+    assert len(first) == 2 and back[0] == back[1] != back[2]
+
+
 def test_repeats_of_odd_rows(spark):
     docs, _, rows = _odd(spark)
     got = suffix_dedup.remove_repeats(docs).collect()

@@ -31,9 +31,9 @@ GROUP = 20_000
 #: What column how says of a piece: a full window of its document, placed by the rule in its partition, placed by it in a group, laid end to end.
 FULL, PLACED, REGROUPED, CUT = "full", "placed", "regrouped", "cut"
 #: Distinct words whose ids a worker remembers; beyond that it keeps, of those met again, half as many at most.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Bytes of text tokenized at a time; a longer text is handled alone.
-TOKENIZED_BYTES = 3 << 20
+TOKENIZED_BYTES = 6 << 20
 #: Marks that, after a letter, end a piece of a word for the tokenizer whatever they are followed by.
 _MARKS = ".,;:!?*#%&$"
 
@@ -300,7 +300,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
                 if len(out.rows) >= 500:
                     yield out.flush()
                 del ids
-                pa.default_memory_pool().release_unused()
+                if piece_bytes < TOKENIZED_BYTES:  # memory is short
+                    pa.default_memory_pool().release_unused()
         if out.rows:
             yield out.flush()
         for piece in (p for pieces in packer.rest() for p in pieces):  # each by a number of its own

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.sources.graphml import read_graphml, write_graphml
+from lorewell.sources.store import durable
 
 ATTRS = "map<string, struct<int: bigint, float: double, str: string>>"
 NODES = f"id string, attrs {ATTRS}"
@@ -47,6 +48,10 @@ class DiGraph:
         rest = F.map_filter(F.coalesce("attrs", F.create_map().cast(ATTRS)), lambda k, _: k != "weight")
         write_graphml(self.nodes, self.edges.withColumn("attrs", F.map_concat(rest, own)), path, compressed)
 
+    def settled(self) -> DiGraph:
+        """The same graph, written down: what it has gone through is no part of its plan any more, and what was removed takes no room. After every few changes."""
+        return DiGraph(durable(self.nodes), durable(self.edges))
+
     def clear(self) -> DiGraph:
         return DiGraph.empty(self.nodes.sparkSession)
 

@@ -131,7 +131,7 @@ def _changed(spark: SparkSession, sf_dir: str) -> DiGraph:
     graph = graph.add_edges(n.select(nation.alias("src"), F.concat(F.lit("x"), F.col("n_nationkey") % 7).alias("dst"), F.lit(0.25).alias("weight"), none))
     graph = graph.update_edges(n.where("n_nationkey % 2 = 0").select(nation.alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), F.lit(9.0).alias("weight"), none))
     graph = graph.remove_edges(n.where("n_nationkey % 3 = 0").select(nation.alias("src"), F.concat(F.lit("x"), F.col("n_nationkey") % 7).alias("dst")))
-    return graph.remove_nodes(["r0", "x5"])
+    return graph.settled().remove_nodes(["r0", "x5"])
 
 
 def graph_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,8 +332,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     groups = -(-open_.count() // GROUP)
     if not groups:
         return packed
-    # Numbers are dealt by hash, so that a group has rests of all partitions; its order is that of the numbers.
-    dealt = open_.repartition(groups, F.xxhash64("sequence_id")).sortWithinPartitions("sequence_id")
+    # Numbers are dealt by hash, so that a group has rests of all partitions. Long ones come first: short ones fill what is left best.
+    dealt = open_.repartition(groups, F.xxhash64("sequence_id")).sortWithinPartitions(F.desc("length"), "sequence_id")
     return packed.where(F.col("how") != CUT).unionByName(dealt.mapInArrow(lean(again), _SCHEMA))
 
 

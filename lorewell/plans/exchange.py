@@ -158,7 +158,7 @@ def typed_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.element_at(F.array(F.lit("int"), F.lit("float"), F.lit("string")), (F.col("event_id") % 3 + 1).cast("int"))
     t = typed(F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.col("event_id").cast("string"), F.lit(".5"))), kind)
-    return e.select("event_id", t.alias("t")).select("event_id", "t.int", "t.float", "t.str")
+    return e.select("event_id", t.alias("t")).select("event_id", F.coalesce("t.int", F.lit(-1)).alias("int"), F.coalesce("t.float", F.lit(-1.0)).alias("float"), F.coalesce("t.str", F.lit("")).alias("str"))
 
 
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +271,7 @@ _PAIRS: dict[str, tuple] = {
     "list_slices": (list_slices, "SELECT conv_id, turn, '[' || coalesce(text, '') || '] and ]' AS list FROM conversations"),
     "typed_attributes": (
         typed_attributes,
-        """SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id END AS int, CASE WHEN event_id % 3 = 1 THEN v::DOUBLE END AS float, CASE WHEN event_id % 3 = 2 THEN v END AS str
+        """SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id ELSE -1 END AS int, CASE WHEN event_id % 3 = 1 THEN v::DOUBLE ELSE -1.0 END AS float, CASE WHEN event_id % 3 = 2 THEN v ELSE '' END AS str
           FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE event_id || '.5' END AS v FROM events)""",
     ),
     "model_answers": (

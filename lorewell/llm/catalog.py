@@ -9,6 +9,8 @@ from lorewell.llm.media import image_features, with_images
 from lorewell.llm.mixing import mix
 from lorewell.llm.near_dedup import near_duplicates
 from lorewell.llm.packing import pack
+from lorewell.llm.periodic_runs import digest as runs_digest
+from lorewell.llm.periodic_runs import periodic_runs, with_periods
 from lorewell.llm.pii import digest, personal_data
 from lorewell.llm.shared import table
 from lorewell.llm.suffix_dedup import remove_repeats
@@ -124,9 +126,32 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts are made periodic first, see with_periods()."""
+    return runs_digest(periodic_runs(with_periods(table(spark, sf_dir, "documents"))))
+
+
+#: Equal words of a document are paired for every period; neighbouring pairs are a stretch. The checksum of the id is worked out bit by bit.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, doc_id::VARCHAR AS s FROM documents),
+c AS (SELECT doc_id, w, len(w) AS n, xor(4294967295, list_reduce(range(0, 8 * length(s)), lambda c, i: xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) >> 1,
+  3988292384 * (xor(c, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) & 1)), 4294967295::BIGINT)) AS h FROM d),
+g AS (SELECT *, h // 10 AS g, h // 10 % greatest(n, 1) AS a FROM c),
+p AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM g),
+t AS MATERIALIZED (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM p),
+e AS (SELECT a.doc_id, a.i, b.i - a.i AS p FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+s AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM e) GROUP BY doc_id, p, k),
+r AS MATERIALIZED (SELECT doc_id, s, len, min(p) AS p FROM s WHERE len >= greatest(6, 4 * p) GROUP BY doc_id, s, len),
+f AS (SELECT doc_id, count(*) AS n_runs, first(struct_pack(s := s, l := len, p := p) ORDER BY len / p DESC, s, p) AS best, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS runs FROM r GROUP BY doc_id),
+k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS text FROM t LEFT JOIN (SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i FROM r) x ON x.doc_id = t.doc_id AND x.i = t.i WHERE x.i IS NULL GROUP BY t.doc_id)
+SELECT p.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256 FROM p LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_media, op4_tool_chat, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_media, op4_tool_chat, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_suffix_dedup": OP1_SQL, "op4_tool_chat": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_near_dedup": OP8_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op4_tool_chat": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_near_dedup": OP8_SQL, "op12_periodic_runs": OP12_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the session names none: a folder of its own, in the warehouse, or a temporary one where all runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        local = spark.sparkContext.master.startswith("local")
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)  # executors of local-cluster have folders of their own
         top = tempfile.mkdtemp(prefix="lorewell-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lorewell"
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
@@ -161,12 +162,12 @@ def text_buffers(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[i
         row = last
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than space and 9 to 13 (no run crosses a text), and
+def words(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes other than space and 9 to 13, or of those that inside, a table of 256 truth values, has (no run crosses a text), and
     for each text the index of its first run, with the total at the end."""
     solid = np.ones(len(buf) + 2, dtype=bool)
     solid[0] = solid[-1] = False
-    solid[1:-1] = (buf != 32) & ((buf < 9) | (buf > 13))
+    solid[1:-1] = (buf != 32) & ((buf < 9) | (buf > 13)) if inside is None else inside[buf]
     first = np.zeros(len(buf) + 1, dtype=bool)
     first[offs] = True
     body = solid[1:-1]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lorewell.llm.decontaminate import contamination
 from lorewell.llm.html_extract import extract
 from lorewell.llm.media import image_features, with_images
 from lorewell.llm.mixing import mix
@@ -126,6 +128,24 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP11_SQL = """
+WITH i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+x AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS t, least(10, len(w)) AS n FROM (SELECT *, unnest(range(1, greatest(2, len(w) - 8))) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN (SELECT DISTINCT n FROM x) ON len(w) >= n)),
+o AS MATERIALIZED (SELECT doc_id, k, p.n, item_id FROM p JOIN x ON p.t = x.t AND p.n = x.n),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS j FROM o) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM o) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the texts are made periodic first, see with_periods()."""
     return runs_digest(periodic_runs(with_periods(table(spark, sf_dir, "documents"))))
@@ -150,8 +170,8 @@ SELECT p.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_media, op4_tool_chat, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_media, op4_tool_chat, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract, op11_decontamination, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_suffix_dedup": OP1_SQL, "op4_tool_chat": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_near_dedup": OP8_SQL, "op12_periodic_runs": OP12_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op4_tool_chat": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_near_dedup": OP8_SQL, "op11_decontamination": OP11_SQL, "op12_periodic_runs": OP12_SQL}

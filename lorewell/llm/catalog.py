@@ -14,7 +14,8 @@ from lorewell.llm.packing import pack
 from lorewell.llm.periodic_runs import digest as runs_digest
 from lorewell.llm.periodic_runs import periodic_runs, with_periods
 from lorewell.llm.pii import digest, personal_data
-from lorewell.llm.shared import table
+from lorewell.llm.prefix_trie import placed_turns, prefix_trie, rebuilt
+from lorewell.llm.shared import materialize, table
 from lorewell.llm.suffix_dedup import remove_repeats
 from lorewell.llm.tool_chat import link_tool_calls, with_calls
 from lorewell.llm.topk_search import quantised, top_k
@@ -169,9 +170,34 @@ SELECT p.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start,
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations share beginnings with others of their family first, see rebuilt()."""
+    return prefix_trie(*rebuilt(materialize(placed_turns(table(spark, sf_dir, "conversations")))))
+
+
+#: A node is told by the text of its turns; every node is summed over all prefixes of one of its members.
+OP13_SQL = """
+WITH t AS (SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(v ORDER BY i) AS v FROM t GROUP BY conv_id),
+k AS (SELECT conv_id, v, xor(4294967295, list_reduce(range(0, 8 * length(s)), lambda c, i: xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) >> 1,
+  3988292384 * (xor(c, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) & 1)), 4294967295::BIGINT)) % 9 AS h FROM (SELECT *, conv_id::VARCHAR AS s FROM l)),
+b AS (SELECT k.conv_id, list_concat(coalesce(l.v[1:h], []), k.v[h + 1:]) AS v FROM k LEFT JOIN l ON l.conv_id = k.conv_id - k.conv_id % 5),
+m AS MATERIALIZED (SELECT conv_id, d, sha256(v[1:d]::VARCHAR) AS key, CASE WHEN d > 0 THEN sha256(v[1:d - 1]::VARCHAR) END AS up, coalesce(strlen(v[d].text), 0) AS size, d = len(v) AS ends
+  FROM (SELECT conv_id, v, unnest(range(0, len(v) + 1)) AS d FROM b)),
+n AS MATERIALIZED (SELECT key, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY key, d),
+c AS (SELECT up AS key, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up, d),
+f AS (SELECT n.*, p.conv_id AS parent_conv_id, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (key, d) LEFT JOIN n p ON p.key = n.up AND p.d = n.d - 1),
+a AS (SELECT a.key, a.d, count(*) FILTER (f.n_children = 0) AS n_leaves, sum(CASE WHEN f.d > 0 THEN (f.n_convs - 1) * f.size ELSE 0 END) AS saved
+  FROM f JOIN m o ON o.key = f.key AND o.d = f.d AND o.conv_id = f.conv_id JOIN m a ON a.conv_id = o.conv_id AND a.d <= o.d GROUP BY a.key, a.d)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends_sha256 FROM f JOIN a USING (key, d)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_media, op4_tool_chat, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract, op11_decontamination, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_media, op4_tool_chat, op5_packing, op6_topk_search, op7_pii, op8_near_dedup, op9_toxicity, op10_html_extract, op11_decontamination, op12_periodic_runs, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_suffix_dedup": OP1_SQL, "op4_tool_chat": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_near_dedup": OP8_SQL, "op11_decontamination": OP11_SQL, "op12_periodic_runs": OP12_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op4_tool_chat": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_near_dedup": OP8_SQL, "op11_decontamination": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_prefix_trie": OP13_SQL}

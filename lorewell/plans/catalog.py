@@ -5,6 +5,8 @@ embeddings, passages from documents. Search queries are the vectors whose id is
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,10 @@ from lorewell.functions.vectors import as_doubles
 from lorewell.operators import dedup, kg, openie, search, selection
 from lorewell.operators.graph import DiGraph
 from lorewell.operators.knn import top_k
-from lorewell.operators.pagerank import pagerank
+from lorewell.operators.pagerank import ranked
 from lorewell.sources.readers import split_paragraphs
-from lorewell.sources.store import durable, plain_unions
+from lorewell.sources.kept_graph import KeptGraph
+from lorewell.sources.store import TableStore, durable, forget_later, plain_unions, shared_folder
 
 ROUNDS = 10
 GATE = 0.3
@@ -267,11 +270,38 @@ def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RELATIONS_SQL = f"SELECT idx AS id, t.subj AS subj, t.obj AS obj FROM (SELECT idx, min(struct_pack(l := l_linenumber, subj := subj, obj := obj)) AS t FROM ({ORDER_TRIPLES}) GROUP BY idx)"
 
 
+_stores: dict[tuple[str, str], tuple[TableStore, KeptGraph]] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[TableStore, KeptGraph]:
+    """The graph of the orders in a table store: imported once for a session and a folder of tables, and asked by several queries."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _stores:
+        path = f"{shared_folder(spark)}/lorewell/{uuid.uuid4().hex}"
+        forget_later(spark, path)
+        store, t, now = TableStore(spark, path), order_triples(spark, sf_dir), F.lit(0.0)
+        edges = durable(kg.entity_edges(t).unionByName(kg.passage_edges(t)))
+        kind = F.when(F.col("id").startswith("paragraph-"), "pg").otherwise("ent")
+        nodes = kg.endpoints(edges).select("id", F.lit("").alias("content"), kind.alias("type"), now.alias("create_time"))
+        store.commit({"edges": edges.withColumn("create_time", now).withColumn("update_time", now), "nodes": nodes, "counts": kg.entity_counts(t)})
+        _stores[name] = store, KeptGraph(store)
+    return _stores[name]
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and counts as a store would hold them: the edges are written once."""
-    t = order_triples(spark, sf_dir)
-    edges = durable(kg.entity_edges(t).unionByName(kg.passage_edges(t)))
-    return kg.endpoints(edges), edges, kg.entity_counts(t)
+    """Nodes, edges and counts of the store."""
+    store, _ = _kept(spark, sf_dir)
+    return store.read("nodes").select("id"), store.read("edges").select("src", "dst", "weight"), store.read("counts")
+
+
+def graph_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept transitions with names: the share of each source's weight that goes along an edge."""
+    graph = _kept(spark, sf_dir)[1].transitions()
+    moves = None
+    for t in (*graph.edges, *graph.sinks):
+        moves = t if moves is None else moves.unionByName(t)
+    named = moves.join(graph.nodes.select(F.col("node").alias("src"), F.col("id").alias("from"), "out"), "src").join(graph.nodes.select(F.col("node").alias("dst"), F.col("id").alias("to")), "dst")
+    return named.select(F.col("from").alias("src"), F.col("to").alias("dst"), F.round(F.col("weight") / F.col("out"), 9).alias("share"))
 
 
 _EDGES_SQL = f"{_edges_sql(ORDER_TRIPLES)} UNION ALL {_passage_edges_sql(ORDER_TRIPLES)}"
@@ -333,8 +363,9 @@ def _one_query(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("all",)], "qid string")
 
 
-def _ppr_sql(edges: str, queries: str, alpha: float, personal: str | None = None, dangling: str | None = None, rounds: int = ROUNDS) -> str:
-    """rounds rounds, unrolled. personal, dangling: (qid, id, weight)."""
+def _ppr_sql(edges: str, queries: str, alpha: float, personal: str | None = None, dangling: str | None = None, rounds: int = ROUNDS, init: str | None = None) -> str:
+    """rounds rounds, unrolled. personal, dangling, init: (qid, id, weight)."""
+    r = "1.0 / n" if init is None else "coalesce(iw.weight / it.total, 1.0 / n)"
     p = "1.0 / n" if personal is None else "coalesce(pw.weight / pt.total, 0.0)"
     d = "" if dangling is None else "coalesce(dw.weight / dt.total, p)"
     joins = "" if personal is None else " LEFT JOIN pw ON pw.qid = q.qid AND pw.id = v.id LEFT JOIN pt ON pt.qid = q.qid"
@@ -344,7 +375,10 @@ def _ppr_sql(edges: str, queries: str, alpha: float, personal: str | None = None
     ]
     if personal is not None:
         ctes += [f"pw AS MATERIALIZED ({personal})", "pt AS MATERIALIZED (SELECT qid, sum(weight) AS total FROM pw GROUP BY qid)"]
-    ctes.append(f"s AS MATERIALIZED (SELECT q.qid, v.id, {p} AS p, v.id NOT IN (SELECT src FROM t) AS sink, 1.0 / n AS r FROM q CROSS JOIN v CROSS JOIN n{joins})")
+    if init is not None:
+        ctes += [f"iw AS MATERIALIZED ({init})", "it AS MATERIALIZED (SELECT qid, sum(weight) AS total FROM iw GROUP BY qid)"]
+        joins += " LEFT JOIN iw ON iw.qid = q.qid AND iw.id = v.id LEFT JOIN it ON it.qid = q.qid"
+    ctes.append(f"s AS MATERIALIZED (SELECT q.qid, v.id, {p} AS p, v.id NOT IN (SELECT src FROM t) AS sink, {r} AS r FROM q CROSS JOIN v CROSS JOIN n{joins})")
     if dangling is None:
         ctes.append("s0 AS MATERIALIZED (SELECT *, p AS d FROM s)")
     else:
@@ -358,8 +392,7 @@ def _ppr_sql(edges: str, queries: str, alpha: float, personal: str | None = None
 
 
 def ppr_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, _ = _graph(spark, sf_dir)
-    return pagerank(nodes, edges, _one_query(spark), max_iter=ROUNDS, tol=None).withColumn("score", F.round("score", 9))
+    return ranked(_kept(spark, sf_dir)[1].transitions(), _one_query(spark), max_iter=ROUNDS, tol=None).withColumn("score", F.round("score", 9))
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,20 +405,23 @@ _CUSTOMERS_SQL = "SELECT 'all' AS qid, 'entity-' || sha256('customer-' || o_cust
 
 
 def ppr_personalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, _ = _graph(spark, sf_dir)
-    return pagerank(nodes, edges, _one_query(spark), _customers(spark, sf_dir), alpha=0.8, max_iter=ROUNDS, tol=None).withColumn("score", F.round("score", 9))
+    return ranked(_kept(spark, sf_dir)[1].transitions(), _one_query(spark), _customers(spark, sf_dir), alpha=0.8, max_iter=ROUNDS, tol=None).withColumn("score", F.round("score", 9))
+
+
+def ppr_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds from the customers' weights."""
+    return ranked(_kept(spark, sf_dir)[1].transitions(), _one_query(spark), init=_customers(spark, sf_dir), max_iter=3, tol=None).withColumn("score", F.round("score", 9))
 
 
 def ppr_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, _ = _graph(spark, sf_dir)
-    return pagerank(nodes, edges, _one_query(spark), dangling=_customers(spark, sf_dir), max_iter=ROUNDS, tol=None).withColumn("score", F.round("score", 9))
+    return ranked(_kept(spark, sf_dir)[1].transitions(), _one_query(spark), dangling=_customers(spark, sf_dir), max_iter=ROUNDS, tol=None).withColumn("score", F.round("score", 9))
 
 
 def kg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges, counts = _graph(spark, sf_dir)
     passages = _order_hits(spark, sf_dir, 1000).withColumn("id", F.concat(F.lit("paragraph-"), F.col("id")))
     qa = Qa(ent_filter_top_k=10)
-    found = search.graph_search(_relation_hits(spark, sf_dir), passages, _relations(spark, sf_dir), nodes, edges, counts, qa, max_iter=ROUNDS, tol=None)
+    found = search.graph_search(_relation_hits(spark, sf_dir), passages, _relations(spark, sf_dir), nodes, edges, counts, qa, max_iter=ROUNDS, tol=None, graph=_kept(spark, sf_dir)[1].transitions())
     return found.withColumn("score", F.round("score", 9))
 
 
@@ -523,6 +559,8 @@ _PAIRS: dict[str, tuple] = {
     "ppr_global": (ppr_global, f"{_ROUNDED} ({_ppr_sql(_EDGES_SQL, 'SELECT ' + repr('all') + ' AS qid', 0.85)})"),
     "ppr_personalized": (ppr_personalized, f"{_ROUNDED} ({_ppr_sql(_EDGES_SQL, 'SELECT ' + repr('all') + ' AS qid', 0.8, _CUSTOMERS_SQL)})"),
     "ppr_dangling": (ppr_dangling, f"{_ROUNDED} ({_ppr_sql(_EDGES_SQL, 'SELECT ' + repr('all') + ' AS qid', 0.85, dangling=_CUSTOMERS_SQL)})"),
+    "ppr_start": (ppr_start, f"{_ROUNDED} ({_ppr_sql(_EDGES_SQL, 'SELECT ' + repr('all') + ' AS qid', 0.85, rounds=3, init=_CUSTOMERS_SQL)})"),
+    "graph_transitions": (graph_transitions, f"SELECT src, dst, round(weight / sum(weight) OVER (PARTITION BY src), 9) AS share FROM ({_EDGES_SQL})"),
     "kg_search": (kg_search, f"{_ROUNDED} ({_KG_SQL}) WHERE id LIKE 'paragraph-%'"),
     "graph_remove_node": (
         graph_remove_node,

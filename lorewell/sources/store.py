@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import time
 import uuid
@@ -17,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where the session names none: a folder of its own, in the warehouse, or a temporary one where all runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        local = spark.sparkContext.master.startswith("local")
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)  # executors of local-cluster have folders of their own
         top = tempfile.mkdtemp(prefix="lorewell-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lorewell"
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
@@ -63,14 +64,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, *by: str) -> DataFrame:
-    """durable(df), dealt by columns into as many buckets as a shuffle has partitions: joins on those columns don't shuffle it again."""
+def bucketed(df: DataFrame, *by: str, path: str | None = None) -> DataFrame:
+    """durable(df), dealt by columns into as many buckets as a shuffle has partitions: joins on those columns don't shuffle it again. With a path, the files stay there when the
+    process ends, see reopened()."""
     spark = plain_unions(df.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"lorewell_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/lorewell/{name}"
-    df.repartition(parts, *by).write.bucketBy(parts, *by).option("path", path).format("parquet").saveAsTable(name)
-    _written.append((spark, path, name))
+    place = path or f"{shared_folder(spark)}/lorewell/{name}"
+    df.repartition(parts, *by).write.bucketBy(parts, *by).option("path", place).format("parquet").saveAsTable(name)
+    if path is None:
+        _written.append((spark, place, name))
+    return spark.table(name)
+
+
+def reopened(spark: SparkSession, path: str, schema: str, buckets: int, *by: str) -> DataFrame:
+    """What bucketed() has left at a path, with its buckets."""
+    name = f"lorewell_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({', '.join(by)}) INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(name)
 
 
@@ -122,9 +132,17 @@ class TableStore:
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def read(self, table: str) -> DataFrame:
-        """The table as of the last commit; empty if there is none yet. Weights and counts of one key add up over versions."""
-        paths = [f"{self.root}/{v}/{table}" for v in self.versions() if self._exists(v, table)]
+    def has(self, version: str, table: str) -> bool:
+        return self._exists(version, table)
+
+    def same_as(self, version: str) -> list[str]:
+        """The version and, for a base, the one that it was written from."""
+        fs, folder = _file_system(self.spark, f"{self.root}/{version}")
+        return [version, *(n.removeprefix("_OF_") for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith("_OF_"))]
+
+    def read(self, table: str, versions: list[str] | None = None) -> DataFrame:
+        """The table as of the last commit, or what some versions add; empty if there is none yet. Weights and counts of one key add up over versions."""
+        paths = [f"{self.root}/{v}/{table}" for v in (self.versions() if versions is None else versions) if self._exists(v, table)]
         if not paths:
             return self.spark.createDataFrame([], self.TABLES[table])
         rows = None
@@ -157,9 +175,9 @@ class TableStore:
         return name
 
     def compact(self) -> str:
-        """Writes all tables as a base and deletes what no reader can need any more."""
+        """Writes all tables as a base and deletes what no reader can need any more. A mark in it names the version it is the same as."""
         before = self.versions()
-        name = self._write({table: self.read(table) for table in self.TABLES}, "_BASE")
+        name = self._write({table: self.read(table) for table in self.TABLES}, "_BASE", *(f"_OF_{v}" for v in before[-1:]))
         fs, _ = _file_system(self.spark, self.root)
         for old in self._folders():
             if before and old < before[0]:

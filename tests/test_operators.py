@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorewell.operators import dedup, kg, knn, openie, search, selection
 from lorewell.operators.graph import DiGraph
 from lorewell.operators.knn import top_k
-from lorewell.operators.pagerank import pagerank
+from lorewell.operators.pagerank import pagerank, prepared, ranked
 
 DOCS = "idx string, passage string, extracted_entities array<string>, extracted_triples array<array<string>>, pos long"
 
@@ -236,3 +236,44 @@ def test_graph_store(spark):
     less = g.without("b")
     assert less.edges.count() == 0 and less.nodes.count() == 2 and g.without(("a", "b")).edges.count() == 1
     assert {tuple(r) for r in g.out_degrees().collect()} == {("a", 1), ("b", 1)} and g.clear().nodes.count() == 0
+
+
+def test_the_largest_gap_is_found_by_ranges(spark, monkeypatch):
+    """Against sorted neighbours, with so few ranges that they are cut again and again."""
+    monkeypatch.setattr(selection, "CELLS", 12)
+    rng = random.Random(8)
+    cases = {f"q{i}": [0.0, 1.0] + [rng.choice([rng.random(), round(rng.random(), 2), rng.random() ** 9]) for _ in range(rng.randrange(0, 60))] for i in range(25)}
+    cases["even"] = [i / 8 for i in range(9)]
+    norms = spark.createDataFrame([(q, x) for q, c in cases.items() for x in c], "qid string, norm double").repartition(3)
+    got = {r["qid"]: r["_top"] for r in selection.below_largest_gap(norms).collect()}
+
+    def plain(c):
+        c = sorted(c, reverse=True)
+        return max((a - b, b) for a, b in zip(c, c[1:]))[1]
+
+    assert got == {q: plain(c) for q, c in cases.items()}
+
+
+def test_selection_has_no_window_over_a_ranking(spark):
+    hits = spark.range(500).selectExpr("string(id % 2) AS qid", "string(id) AS id", "rand(3) AS score")
+    for kept in (selection.dynamic_top_k(hits), selection.gated(hits, 0.2), selection.scaled(hits), selection.dynamic_top_k(hits, jump="gap")):
+        assert "Window" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_transitions_that_grow(spark):
+    """Imports add tables; ranks are those of the whole graph; a dangling node that gets edges has the tables made anew."""
+    rng = np.random.default_rng(9)
+    names = lambda rows: spark.createDataFrame([(str(a), str(b), w) for a, b, w in rows], "src string, dst string, weight double")
+    ids = lambda some: spark.createDataFrame([(str(i),) for i in some], "id string")
+    first = [(int(a), int(b), float(rng.random())) for a, b in rng.integers(0, 12, (40, 2)) if a != b] + [(a, 20 + a, 1.0) for a in range(5)]
+    more = [(int(a), int(b), float(rng.random())) for a, b in rng.integers(0, 16, (40, 2)) if a != b] + [(a, 24 + a, 2.0) for a in range(6)] + [first[0]]
+    one = prepared(ids([*range(12), *range(20, 25)]), names(first))
+    both = prepared(ids([*range(16), *range(20, 30)]), names(more), one)
+    assert len(both.edges) == len(both.sinks) == 2
+    q = spark.createDataFrame([("u",)], "qid string")
+    every = [*range(16), *range(20, 30)]
+    at = {x: i for i, x in enumerate(every)}
+    got = ranked(both, q, max_iter=9, tol=None).toPandas().set_index("id").score
+    want = _dense(len(every), [(at[a], at[b], w) for a, b, w in first + more], np.full(len(every), 1 / len(every)), rounds=9)
+    assert np.allclose([got[str(x)] for x in every], want, atol=1e-12)
+    assert prepared(ids([20, 21]), names([(20, 21, 1.0)]), both) is None

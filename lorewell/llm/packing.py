@@ -10,6 +10,7 @@ in the end of a group is laid end to end and cut into full windows and then sequ
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,29 +39,50 @@ TOKENIZED_BYTES = 6 << 20
 _MARKS = ".,;:!?*#%&$"
 
 
-class WordTokenizer:
-    """Ids of texts. With a tokenizer that splits at white space, lower-cases, and parts letters from marks, every distinct
-    word (between spaces and line ends) goes through it once, without the marks at its end, and is remembered; whether a tokenizer is such a one is tried on PROBES.
-    With any other, whole texts go through it."""
+#: Fixed value: how a tokenizer must part normalised text for its words to be tokenized one by one: letters, a digit, or anything else but white space, and English endings.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
-    PROBES = (
-        "Some words, of A text.", "  two  spaces\nand lines\n\n end ", "MiXed CASE Words WORDS!?", "marks: a.b, c;d... (e) #f% $g& *h*", "digits 12,345.67 a1b2 3x", "déjà Übung Éa ñandú; ß", "x-y_z @w 'q' \"r\"",
-        "\u4e2d\u6587, \u65e5\u672c.", "a\tb\r\nc", "don't won't.", "http://a.b/c?d=e#f", "repeat repeat, repeat. REPEAT",
+def _parts_words(definition: dict) -> bool:
+    """Whether a tokenizer, by its definition, gives the ids of a text as those of its words between spaces and line ends, whatever the text: it normalises by NFC, white space and
+    lower case alone (no composition starts with a space), parts by _PARTS, of which no match has white space, and knows no added token with white space or a mark in it."""
+    normal, parts = (((definition.get(k) or {}).get(v) or []) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    parts = [{k: v for k, v in q.items() if k != "trim_offsets"} for q in parts]
+    split = {"type": "Split", "pattern": {"Regex": _PARTS}, "behavior": "Removed", "invert": True}
+    return (
+        [(n["type"], n.get("pattern"), n.get("content")) for n in normal] == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and parts == [split, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+        and not definition.get("post_processor") and not any(c.isspace() or c in _MARKS for t in definition.get("added_tokens", ()) for c in t["content"])
     )
 
+
+class WordTokenizer:
+    """Ids of texts. With a tokenizer whose definition allows it (_parts_words), every distinct word (between spaces and line ends) goes through it once, without the marks at its end where what
+    the tokenizer makes of the character before them parts from marks, and is remembered. With any other, whole texts go through it."""
+
     def __init__(self, path: str, remembered: int | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.remembered = REMEMBERED if remembered is None else remembered
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.direct = self.tokenizer.model, None
+        self.model = self.tokenizer.model
+        definition = json.loads(self.tokenizer.to_str())
+        self.by_words = _parts_words(definition)
+        # Added tokens stand out of any text; if one is letters alone, it might stand in a word.
+        self.direct = self.by_words and not any(t["content"].isalpha() for t in definition.get("added_tokens", ()))
+        self.parting: dict[str, bool] = {}  # of last characters: whether marks behind are a piece of their own
         self.known: dict[str, int] = {}  # word -> its place in the arrays below
         self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.ends = np.zeros(1 << 16, dtype=np.int64)
         self.met = np.zeros(1 << 16, dtype=np.int32)  # in how many pieces of text
-        found, offs = self._by_words(pa.array(self.PROBES))
-        whole = [e.ids for e in self.tokenizer.encode_batch_fast(list(self.PROBES), add_special_tokens=False)]
-        self.by_words = [found[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == whole
+
+    def _parts(self, c: str) -> bool:
+        """Whether a mark behind this character begins a piece: it does if it does so behind the character alone, as what stands before can at most make it a part of a letter. It doesn't,
+        for example, where the lower case ends in a combining mark, which is no letter."""
+        if c not in self.parting:
+            normal = self.tokenizer.normalizer.normalize_str(f"{c}.")
+            self.parting[c] = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)[-1][0] == "."
+        return self.parting[c]
 
     def _put(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Writes ids of some words after those of the known ones; returns their places."""
@@ -85,8 +107,6 @@ class WordTokenizer:
         plain, other = [], []
         for w in words:
             (plain if w.isascii() and w.isalpha() and w.islower() else other).append(w)
-        if self.direct is None and plain:  # only if the two agree
-            self.direct = all([t.id for t in self.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in plain[:200])
         for direct, some in ((part is plain and self.direct, part[i : i + 20_000]) for part in (plain, other) for i in range(0, len(part), 20_000)):
             if direct:
                 ids = [[t.id for t in self.model.tokenize(w)] for w in some]
@@ -120,7 +140,7 @@ class WordTokenizer:
         """Places of words that aren't known. Words with marks at their end aren't remembered, their parts are: what is put for them lasts until the next piece of text."""
         known = self.known
         stems = [w.rstrip(_MARKS) for w in words]
-        stems = [s if s and s[-1].isalpha() else w for s, w in zip(stems, words, strict=True)]
+        stems = [s if s and self._parts(s[-1]) else w for s, w in zip(stems, words, strict=True)]
         cut = [i for i, (s, w) in enumerate(zip(stems, words, strict=True)) if len(s) < len(w)]
         marks = [words[i][len(stems[i]) :] for i in cut]
         self._encode([s for s in dict.fromkeys(chain(stems, marks)) if s not in known])
@@ -143,7 +163,8 @@ class WordTokenizer:
 
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.replace_substring(texts.cast(pa.large_string()), "\n", " ")
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else lower case might make a special token
+        # Lower case might make a special token, or a letter that a combining mark behind it is composed with where it wasn't.
+        if not pc.any(pc.match_substring_regex(texts, r"<\||[A-Z]\pM")).as_py():
             texts = pc.ascii_lower(texts)
         split = pc.split_pattern(texts, " ")
         counts = np.diff(split.offsets.to_numpy())

@@ -1,11 +1,15 @@
 """Operators on documents against brute-force versions, and their defined results for odd input."""
 
 import hashlib
+import json
 import random
 import re
+import string
 import struct
 import time
+import unicodedata
 import zlib
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -553,6 +557,32 @@ def test_packing(spark):
     assert sorted(map(tuple, again)) == sorted(tuple(r)[:7] for r in got)
 
 
+def test_ids_of_letters_with_odd_case_forms_and_marks():
+    """All letters whose lower case or normal form is longer than they are or ends in a mark, next to all marks; all letters, digits and marks before a full stop; ASCII capitals with marks of
+    their own; and random texts of these."""
+    from tokenizers import Tokenizer
+
+    mine, theirs = packing.WordTokenizer(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    assert mine.by_words and mine.direct
+    every = [c for c in map(chr, chain(range(0xD800), range(0xE000, 0x110000))) if unicodedata.category(c)[0] in "LMN" or c.isalpha()]
+    odd = [c for c in every if len(c.lower()) > 1 or len(unicodedata.normalize("NFC", c)) > 1 or not c.lower().isalpha() and c.isalpha()]
+    marked = [f"{c}{chr(m)}" for c in string.ascii_uppercase for m in range(0x300, 0x370)]
+    rng, pool = random.Random(1), odd + marked + list("aAbIiZ 'st.,;:!?*#%&$\n\t-<|\u00a0ẞéÑ")
+    texts = [f"AB{c}{m} x{c}{m}y {c}{m}" for c in odd for m in packing._MARKS] + [f"A{c}. {c}.." for c in rng.sample(every, 20_000)] + [f"{c}. x{c}" for c in marked]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 30))) for _ in range(8000)] + ["BELEDİYESİ. DERNEĞİ: BELEDİYESİ,"]
+    for i in range(0, len(texts), 5000):
+        ids, offs = mine(pa.array(texts[i : i + 5000]))
+        want = [e.ids for e in theirs.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == want
+
+
+def test_words_are_tokenized_alone_only_by_definition():
+    definition = json.loads(packing.WordTokenizer(tokenizer_path()).tokenizer.to_str())
+    assert packing._parts_words(definition)
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"added_tokens": [{"content": "a b"}]}, {"added_tokens": [{"content": "x."}]}, {"post_processor": {"type": "x"}}):
+        assert not packing._parts_words(definition | change)
+
+
 def test_tokenizer_forgets_and_stays_right(monkeypatch):
     from tokenizers import Tokenizer
 

@@ -4,7 +4,8 @@ A tolerant scan turns a page into block elements and runs of text. Runs are grou
 classes and ids (without digits) from the root down. A path's text ratio (letters outside links for each run) and its punctuation ratio
 are given to its runs, smoothed along the page and multiplied; a path's score is the mean of that over its runs, and paths whose score reaches the threshold are
 chosen. All text of the chosen paths stays, wherever it stands, and nothing else but what no name weighs down and either is in an article or main element
-that holds such text, or in a list, table or the like beside it in one block, or is a heading in the innermost block around all of it, or right above it.
+that holds such text, or between two runs of it in one block, or is a heading in the innermost block around all of it, or right above it. Lists of links stay in such an element from its text
+on, and between the text of a block; elsewhere they are menus.
 
 Tags and roles of navigation, dialogs, scripts and the like take no part. A class or id (or a form tag) that names a block as sidebar, notice, advert, comment
 and the like weighs on its paths' scores, no more; and it weighs only if the blocks with that name hold less than most of the chosen text.
@@ -292,15 +293,17 @@ def main_text(source: str) -> str:
         block[e] = block[page.parent[e]] if page.tag[e] in _LEAF else e
         marked[e] = marked[page.parent[e]] or (page.tag[e] in ("article", "main") and held[e] > 0)
     with_text = {block[e] for (e, _, _), c in zip(runs, chosen, strict=True) if c}
-    last = np.flatnonzero(chosen)[-1]
+    first, last = np.flatnonzero(chosen)[[0, -1]]
     out = []
     above = False
     for i in range(len(runs) - 1, -1, -1):
         e, text, linked = runs[i]
-        menu = linked >= 0.9 * len(text) and page.tag[e] in ("li", "ul", "ol", "div", "section")
+        # Links alone are a menu, but not in an article from where its text begins on, nor between the text of a block: there they are references and the like.
+        between = first < i < last and block[e] in with_text
+        menu = linked >= 0.9 * len(text) and page.tag[e] in ("li", "ul", "ol", "div", "section") and not (marked[e] and i > first) and not between
         free = weight[e] == 1.0
         heading = page.tag[e] in _HEADING and i < last and (inside[e] or above)
-        keep = not menu and (chosen[i] or (free and (marked[e] or heading or block[e] in with_text)))
+        keep = not menu and (chosen[i] or (free and (marked[e] or heading or between)))
         above = keep and (above or chosen[i])
         if keep:
             out.append(text)

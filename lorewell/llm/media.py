@@ -1,7 +1,7 @@
 """Texts as PNG images in a binary column, and perceptual hashes of such images.
 
 An image is an 8-bit greyscale PNG of WIDTH samples a row, its payload the UTF-8 bytes of a
-text filled up with zeros. Rows are filtered, each with the filter that leaves the smallest differences, wherever that makes the image smaller than without. Chunks are checked by their CRC, the pixel stream by zlib's Adler-32,
+text filled up with zeros. Rows are filtered, each with the filter that leaves the smallest differences, as PNG's own rule for such samples has it. Chunks are checked by their CRC, the pixel stream by zlib's Adler-32,
 and the rows of all images of a batch are unfiltered together with numpy, diagonal by diagonal. The feature is the sign pattern of the lowest frequencies of a cosine transform.
 """
 
@@ -23,8 +23,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 #: Image bytes of an IDAT chunk at most.
 CHUNK = 1 << 16
-#: Samples of an image at most; larger ones are an error of their row.
-SAMPLES = 1 << 30
+#: Bytes that a byte of a zlib stream can stand for at most: a header that promises more is wrong, so what is unpacked is bounded by what is stored.
+EXPANDS = 1032
 #: Rows whose filters are chosen at a time, and rows of images that are unfiltered together, about.
 ROWS = 1 << 14
 #: Side of the picture that is transformed, and of the block of low frequencies.
@@ -71,17 +71,15 @@ def filtered(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def encode_all(payloads: list[bytes], level: int = 6) -> list[bytes]:
-    """Each payload (a positive multiple of WIDTH bytes) as a greyscale PNG: of its rows as they are and filtered, the smaller one."""
+    """Each payload (a positive multiple of WIDTH bytes) as a greyscale PNG of filtered rows."""
     counts = np.array([len(p) // WIDTH for p in payloads], dtype=np.int64)
     ends = np.cumsum(counts)
     first = np.zeros(int(counts.sum()), dtype=bool)
     first[ends - counts] = True
-    rows = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, WIDTH)
-    raw, plain = filtered(rows, first), np.zeros((len(rows), WIDTH + 1), dtype=np.uint8)
-    plain[:, 1:] = rows
+    raw = filtered(np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, WIDTH), first)
     out = []
     for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
-        data = min((zlib.compress(x[end - n : end], level) for x in (plain, raw)), key=len)
+        data = zlib.compress(raw[end - n : end], level)
         head = struct.pack(">IIBBBBB", WIDTH, n, 8, 0, 0, 0, 0)
         parts = [_chunk(b"IDAT", data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)]
         out.append(SIGNATURE + _chunk(b"IHDR", head) + b"".join(parts) + _chunk(b"IEND", b""))
@@ -137,7 +135,7 @@ def unfilter(raw: np.ndarray) -> np.ndarray:
 
 
 def scan_lines(image: bytes) -> np.ndarray:
-    """The filtered scan lines of an 8-bit, not interlaced greyscale PNG, filter types first. ValueError: broken, of another kind or of more than SAMPLES samples."""
+    """The filtered scan lines of an 8-bit, not interlaced greyscale PNG, filter types first. ValueError: broken or of another kind."""
     if image[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, head, parts, ended = 8, None, [], False
@@ -158,7 +156,7 @@ def scan_lines(image: bytes) -> np.ndarray:
     width, height = head[:2]
     if not width or not height:
         raise ValueError("PNG without samples")
-    if width * height > SAMPLES:
+    if height * (width + 1) > EXPANDS * (sum(map(len, parts)) + 1):
         raise ValueError("PNG of too many samples")
     size, stream = height * (width + 1), zlib.decompressobj()
     try:

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.config import Compatibility, Config, Qa, Rag
+from lorewell.config import Config, Qa
 from lorewell.functions.prompts import ANSWER_PROMPT
 from lorewell.functions.text import content_hash, json_list_slice, key, parse_triple_text, typed
 from lorewell.operators import dedup, kg, openie, selection
@@ -205,21 +205,24 @@ def ppr_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The engine.
 
+_engines: dict[tuple[str, str], Engine] = {}
+
+
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """A passage for each nation, extracted and imported in two batches."""
-    config = Config(qa=Qa(relation_threshold=0.3), rag=Rag(synonym_threshold=2.0), compatibility=Compatibility())
-    engine = Engine.open(spark, _folder(spark), config)
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    name = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "_")
-    rows = n.select("n_nationkey", F.concat(name("n_name"), F.lit(" belongs "), name("r_name")).alias("passage"))
-    for part in (0, 1):
-        own = rows.where(F.col("n_nationkey") % 2 == part).select(content_hash("passage").alias("pg_hash"), "passage", F.col("n_nationkey").cast("long").alias("pos"))
-        engine.ingest(engine.extract(own, pause=0.0)[0], float(part + 1))
-    return engine
+    """The documents, extracted and imported in two batches, with synonyms at the shipped threshold: once for a session and a folder of tables, and asked by several queries."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _engines:
+        engine = Engine.open(spark, _folder(spark), Config())
+        rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(content_hash("text").alias("pg_hash"), F.col("text").alias("passage"), F.col("doc_id").alias("pos"))
+        for part in (0, 1):
+            engine.ingest(engine.extract(rows.where(F.pmod("pos", F.lit(2)) == part), pause=0.0)[0], float(part + 1))
+        _engines[name] = engine
+    return _engines[name]
 
 
 def engine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _engine(spark, sf_dir).store.read("edges").select("src", "dst", "weight", "create_time", "update_time")
+    edges = _engine(spark, sf_dir).store.read("edges")
+    return edges.select("src", "dst", F.round("weight", 6).alias("weight"), "create_time", "update_time")
 
 
 def engine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,20 +230,58 @@ def engine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first passage for each of some passages as questions."""
-    engine = _engine(spark, sf_dir)
-    asked = engine.store.read("vectors").where("namespace = 'paragraph'").select(F.col("hash").alias("qid"), F.col("str").alias("question"))
-    asked = asked.orderBy("qid").limit(5)
-    return engine.search(asked, limit=1).select("qid", F.col("rank").cast("long").alias("rank"), "id", "str")
+    """All passages are candidates for every hundredth document's first six words: relations, gate, entities, synonyms, ten rounds of PageRank, selection."""
+    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0 AND text IS NOT NULL")
+    asked = asked.select(F.col("doc_id").cast("string").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("question"))
+    found = _engine(spark, sf_dir).search(asked, max_iter=base.ROUNDS, tol=None)
+    return found.select("qid", "id", F.round("score", 9).alias("score"), F.round("norm", 6).alias("norm"))
 
 
 _WORDS = "string_split(coalesce(text, ''), ' ')[1:3]"
 _NATIONS = "SELECT n_nationkey AS k, 'n' || n_nationkey AS n, 'r' || n_regionkey AS r, 'x' || (n_nationkey % 7) AS x FROM nation"
-_PASSAGES = """SELECT n_nationkey % 2 + 1 AS batch, regexp_replace(n_name, '[^A-Za-z0-9]', '_', 'g') AS n, regexp_replace(r_name, '[^A-Za-z0-9]', '_', 'g') AS r,
-  regexp_replace(n_name, '[^A-Za-z0-9]', '_', 'g') || ' belongs ' || regexp_replace(r_name, '[^A-Za-z0-9]', '_', 'g') AS passage FROM nation JOIN region ON n_regionkey = r_regionkey"""
-_ENGINE_EDGES = f"""SELECT src, dst, count(*)::DOUBLE AS weight, min(batch)::DOUBLE AS create_time, max(batch)::DOUBLE AS update_time FROM (
-  SELECT 'entity-' || sha256(n) AS src, 'entity-' || sha256(r) AS dst, batch FROM ({_PASSAGES}) UNION ALL SELECT 'entity-' || sha256(r), 'entity-' || sha256(n), batch FROM ({_PASSAGES})
-  UNION ALL SELECT 'entity-' || sha256(n), 'paragraph-' || sha256(passage), batch FROM ({_PASSAGES})) GROUP BY src, dst"""
+# The engine's SQL. A text is a vector of its words' signed places; all that is asked of it are inner products, so they are summed over the places that two texts share.
+_VECTORS = """(SELECT id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM (
+  SELECT id, ('0x' || left(sha256(w), 8))::BIGINT % 64 AS dim, sum(2 * (('0x' || substr(sha256(w), 9, 2))::BIGINT % 2) - 1)::DOUBLE AS v FROM (
+    SELECT id, unnest(regexp_extract_all(lower(replace(str, chr(10), ' ')), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {}) GROUP BY id, dim) WHERE v <> 0)"""
+_ENGINE = f"""
+  en_p AS MATERIALIZED (SELECT sha256(text) AS pg, text, min(doc_id % 2) AS batch, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents WHERE text IS NOT NULL GROUP BY text),
+  en_t AS MATERIALIZED (SELECT DISTINCT pg, batch + 1 AS batch, w[i] AS subj, w[i + 1] AS pred, w[i + 2] AS obj FROM (SELECT pg, batch, w, unnest(range(1, len(w) - 1, 3)) AS i FROM en_p WHERE len(w) > 2)),
+  en_e AS MATERIALIZED (SELECT DISTINCT e, 'entity-' || sha256(e) AS id, e AS str, batch FROM (SELECT subj AS e, batch FROM en_t UNION SELECT obj, batch FROM en_t)),
+  en_ev AS MATERIALIZED (SELECT * FROM {_VECTORS.format("(SELECT DISTINCT id, str FROM en_e)")}),
+  en_k AS MATERIALIZED (SELECT id, min(batch) AS since FROM en_e GROUP BY id),
+  en_s AS MATERIALIZED (SELECT batch, qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY batch, qid ORDER BY score DESC, id) AS place FROM (
+    SELECT q.batch, a.id AS qid, b.id, round(sum(a.v * b.v), 9) AS score FROM (SELECT DISTINCT id, batch FROM en_e) q JOIN en_ev a ON a.id = q.id JOIN en_ev b ON a.dim = b.dim
+      JOIN en_k k ON k.id = b.id AND k.since <= q.batch GROUP BY q.batch, a.id, b.id HAVING round(sum(a.v * b.v), 9) >= 0.8)) WHERE place <= 10 AND qid <> id),
+  en_b AS MATERIALIZED (SELECT src, dst, batch, coalesce(max(s), sum(r)) AS weight FROM (
+    SELECT 'entity-' || sha256(subj) AS src, 'entity-' || sha256(obj) AS dst, batch, 1.0::DOUBLE AS r, NULL::DOUBLE AS s FROM en_t WHERE subj <> obj
+    UNION ALL SELECT 'entity-' || sha256(obj), 'entity-' || sha256(subj), batch, 1.0, NULL FROM en_t WHERE subj <> obj
+    UNION ALL SELECT 'entity-' || sha256(subj), 'paragraph-' || pg, batch, 1.0, NULL FROM en_t
+    UNION ALL SELECT qid, id, batch, NULL, score FROM en_s UNION ALL SELECT id, qid, batch, NULL, score FROM en_s) GROUP BY src, dst, batch),
+  en_edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight, min(batch)::DOUBLE AS create_time, max(batch)::DOUBLE AS update_time FROM en_b GROUP BY src, dst)"""
+_ENGINE_EDGES = f"WITH {_ENGINE} SELECT src, dst, round(weight, 6) AS weight, create_time, update_time FROM en_edges"
+_ASKED = f"""{_ENGINE},
+  en_q AS MATERIALIZED (SELECT doc_id::VARCHAR AS id, array_to_string(string_split(text, ' ')[1:6], ' ') AS str FROM documents WHERE doc_id % 100 = 0 AND text IS NOT NULL),
+  en_qv AS MATERIALIZED (SELECT * FROM {_VECTORS.format("en_q")}),
+  en_rel AS MATERIALIZED (SELECT DISTINCT 'relation-' || sha256('(''' || subj || ''', ''' || pred || ''', ''' || obj || ''')') AS id, '(''' || subj || ''', ''' || pred || ''', ''' || obj || ''')' AS str, subj, obj FROM en_t),
+  en_rv AS MATERIALIZED (SELECT * FROM {_VECTORS.format("en_rel")}),
+  en_rh AS MATERIALIZED (SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM (
+    SELECT qid, id, round(sum(s), 9) AS score FROM (SELECT q.id AS qid, r.id, 0.0::DOUBLE AS s FROM en_q q CROSS JOIN en_rel r
+      UNION ALL SELECT a.id, b.id, a.v * b.v FROM en_qv a JOIN en_rv b ON b.dim = a.dim) GROUP BY qid, id)) WHERE place <= 10),
+  en_r AS MATERIALIZED (SELECT qid, id, score FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM ({base._dynamic_sql("SELECT * FROM en_rh")})) WHERE best >= 0.5),
+  en_pv AS MATERIALIZED (SELECT * FROM {_VECTORS.format("(SELECT 'paragraph-' || pg AS id, text AS str FROM en_p WHERE len(w) > 2)")}),
+  en_ph AS MATERIALIZED (SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM (
+    SELECT qid, id, round(sum(s), 9) AS score FROM (SELECT q.id AS qid, 'paragraph-' || pg AS id, 0.0::DOUBLE AS s FROM en_q q CROSS JOIN en_p WHERE len(w) > 2
+      UNION ALL SELECT a.id, b.id, a.v * b.v FROM en_qv a JOIN en_pv b ON b.dim = a.dim) GROUP BY qid, id)) WHERE place <= 1000),
+  en_c AS MATERIALIZED (SELECT 'entity-' || sha256(e) AS id, count(DISTINCT pg)::DOUBLE AS n FROM (SELECT pg, subj AS e FROM en_t WHERE subj <> obj UNION ALL SELECT pg, obj FROM en_t WHERE subj <> obj) GROUP BY e),
+  en_w AS MATERIALIZED (SELECT qid, w.id, mean, total / coalesce(n, 1.0) AS weight FROM (SELECT qid, 'entity-' || sha256(e) AS id, sum(score) AS total, avg(score) AS mean FROM (
+    SELECT qid, score, unnest([subj, obj]) AS e FROM en_r h JOIN en_rel r ON r.id = h.id) GROUP BY qid, e) w LEFT JOIN en_c c ON c.id = w.id),
+  en_m AS MATERIALIZED (SELECT qid, id, CASE WHEN max(weight) OVER u = min(weight) OVER u THEN 1.0 ELSE (weight - min(weight) OVER u) * 0.95 / (max(weight) OVER u - min(weight) OVER u) + 0.05 END AS weight,
+    row_number() OVER (PARTITION BY qid ORDER BY mean DESC, id) AS place FROM en_w WINDOW u AS (PARTITION BY qid))"""
+_PERSONAL = f"SELECT qid, id, weight FROM en_m WHERE place <= 10 UNION ALL SELECT qid, id, weight FROM ({base._weights_sql('SELECT * FROM en_ph WHERE qid IN (SELECT qid FROM en_r)')})"
+_RANKS = base._ppr_sql("SELECT src, dst, weight FROM en_edges", "SELECT DISTINCT qid FROM en_r", Qa.ppr_damping, _PERSONAL).removeprefix("WITH ").rsplit(" SELECT qid, id, r AS score FROM ", 1)[0]
+_ENGINE_SEARCH = f"""WITH {_ASKED}, {_RANKS},
+  en_all AS (SELECT qid, id, r AS score FROM s{base.ROUNDS} WHERE id LIKE 'paragraph-%' UNION ALL SELECT qid, id, score FROM en_ph WHERE qid NOT IN (SELECT qid FROM en_r))
+  SELECT qid, id, round(score, 9) AS score, round(norm, 6) AS norm FROM ({base._dynamic_sql("SELECT * FROM en_all")})"""
 _EVENT_EDGES = f"SELECT * FROM ({base._edges_sql(base.EVENT_TRIPLES)}) UNION ALL SELECT * FROM ({base._passage_edges_sql(base.EVENT_TRIPLES, True)})"
 _STORED = f"""SELECT src, dst, sum(weight) AS weight, min(made) AS create_time, max(made) AS update_time FROM (
   SELECT *, 1.0::DOUBLE AS made FROM ({base._edges_sql(f'SELECT * FROM ({base.ORDER_TRIPLES}) WHERE idx::BIGINT % 2 = 0')}) UNION ALL
@@ -302,10 +343,10 @@ _PAIRS: dict[str, tuple] = {
     "engine_edges": (engine_edges, _ENGINE_EDGES),
     "engine_status": (
         engine_status,
-        f"""SELECT (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM ({_ENGINE_EDGES}) UNION ALL SELECT dst FROM ({_ENGINE_EDGES}))) AS nodes, (SELECT count(*) FROM ({_ENGINE_EDGES})) AS edges,
-          (SELECT count(*) FROM ({_PASSAGES})) AS passages, 0::BIGINT AS without_vector""",
+        f"""WITH {_ENGINE} SELECT (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM en_edges UNION ALL SELECT dst FROM en_edges)) AS nodes, (SELECT count(*) FROM en_edges) AS edges,
+          (SELECT count(*) FROM en_p WHERE len(w) > 2) AS passages, 0::BIGINT AS without_vector""",
     ),
-    "engine_search": (engine_search, f"SELECT 'paragraph-' || sha256(passage) AS qid, 1::BIGINT AS rank, 'paragraph-' || sha256(passage) AS id, passage AS str FROM ({_PASSAGES}) ORDER BY sha256(passage) LIMIT 5"),
+    "engine_search": (engine_search, _ENGINE_SEARCH),
 }
 
 #: SQL for queries of the first catalog.

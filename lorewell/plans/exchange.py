@@ -19,7 +19,8 @@ from lorewell.plans import catalog as base
 from lorewell.plans.catalog import table
 from lorewell.plans.engine import Engine
 from lorewell.sources import readers, sinks
-from lorewell.sources.store import TableStore, forget_later, shared_folder
+from lorewell.sources.store import TableStore, forget, forget_later, shared_folder
+from lorewell.streaming.ingest import ingest_stream, read_documents, stream_id
 
 
 def _folder(spark: SparkSession, suffix: str = "") -> str:
@@ -230,13 +231,31 @@ def engine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All passages are candidates for every hundredth document's first six words: relations, gate, entities, synonyms, ten rounds of PageRank, selection."""
+    """All passages are candidates for every hundredth document's first six words: relations, gate, entities, synonyms, five rounds of PageRank, selection."""
     asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0 AND text IS NOT NULL")
     asked = asked.select(F.col("doc_id").cast("string").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("question"))
-    found = _engine(spark, sf_dir).search(asked, max_iter=base.ROUNDS, tol=None)
+    found = _engine(spark, sf_dir).search(asked, max_iter=5, tol=None)
     return found.select("qid", "id", F.round("score", 9).alias("score"), F.round("norm", 6).alias("norm"))
 
 
+def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' sources and languages as a graph, imported from a stream in three starts, and before the last of them a batch whose import was committed but not noted by Spark, so that
+    it comes again. The number of passages that an entity is in."""
+    top = _folder(spark)
+    engine = Engine.open(spark, f"{top}/store", Config())
+    ends = F.array("source", "lang")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL").select(
+        F.col("doc_id").cast("string").alias("idx"), F.col("text").alias("passage"), ends.alias("extracted_entities"),
+        F.array(F.array("source", F.lit("writes"), "lang")).alias("extracted_triples"), F.col("doc_id").alias("pos"),
+    )
+    for start in range(3):
+        docs.where(F.pmod("pos", F.lit(3)) == start).coalesce(2).write.mode("append").json(f"{top}/in")
+        if start == 2:
+            forget(spark, f"{top}/checkpoint/commits/{engine.store.epochs()[stream_id(spark, f'{top}/checkpoint')]}")
+        ingest_stream(engine, read_documents(spark, f"{top}/in", 2), f"{top}/checkpoint").awaitTermination()
+    return engine.store.read("counts")
+
+
 _WORDS = "string_split(coalesce(text, ''), ' ')[1:3]"
 _NATIONS = "SELECT n_nationkey AS k, 'n' || n_nationkey AS n, 'r' || n_regionkey AS r, 'x' || (n_nationkey % 7) AS x FROM nation"
 # The engine's SQL. A text is a vector of its words' signed places; all that is asked of it are inner products, so they are summed over the places that two texts share.
@@ -278,9 +297,9 @@ _ASKED = f"""{_ENGINE},
   en_m AS MATERIALIZED (SELECT qid, id, CASE WHEN max(weight) OVER u = min(weight) OVER u THEN 1.0 ELSE (weight - min(weight) OVER u) * 0.95 / (max(weight) OVER u - min(weight) OVER u) + 0.05 END AS weight,
     row_number() OVER (PARTITION BY qid ORDER BY mean DESC, id) AS place FROM en_w WINDOW u AS (PARTITION BY qid))"""
 _PERSONAL = f"SELECT qid, id, weight FROM en_m WHERE place <= 10 UNION ALL SELECT qid, id, weight FROM ({base._weights_sql('SELECT * FROM en_ph WHERE qid IN (SELECT qid FROM en_r)')})"
-_RANKS = base._ppr_sql("SELECT src, dst, weight FROM en_edges", "SELECT DISTINCT qid FROM en_r", Qa.ppr_damping, _PERSONAL).removeprefix("WITH ").rsplit(" SELECT qid, id, r AS score FROM ", 1)[0]
+_RANKS = base._ppr_sql("SELECT src, dst, weight FROM en_edges", "SELECT DISTINCT qid FROM en_r", Qa.ppr_damping, _PERSONAL, rounds=5).removeprefix("WITH ").rsplit(" SELECT qid, id, r AS score FROM ", 1)[0]
 _ENGINE_SEARCH = f"""WITH {_ASKED}, {_RANKS},
-  en_all AS (SELECT qid, id, r AS score FROM s{base.ROUNDS} WHERE id LIKE 'paragraph-%' UNION ALL SELECT qid, id, score FROM en_ph WHERE qid NOT IN (SELECT qid FROM en_r))
+  en_all AS (SELECT qid, id, r AS score FROM s5 WHERE id LIKE 'paragraph-%' UNION ALL SELECT qid, id, score FROM en_ph WHERE qid NOT IN (SELECT qid FROM en_r))
   SELECT qid, id, round(score, 9) AS score, round(norm, 6) AS norm FROM ({base._dynamic_sql("SELECT * FROM en_all")})"""
 _EVENT_EDGES = f"SELECT * FROM ({base._edges_sql(base.EVENT_TRIPLES)}) UNION ALL SELECT * FROM ({base._passage_edges_sql(base.EVENT_TRIPLES, True)})"
 _STORED = f"""SELECT src, dst, sum(weight) AS weight, min(made) AS create_time, max(made) AS update_time FROM (
@@ -347,6 +366,12 @@ _PAIRS: dict[str, tuple] = {
           (SELECT count(*) FROM en_p WHERE len(w) > 2) AS passages, 0::BIGINT AS without_vector""",
     ),
     "engine_search": (engine_search, _ENGINE_SEARCH),
+    "stream_import": (
+        stream_import,
+        """SELECT 'entity-' || sha256(e) AS hash_key, count(DISTINCT text)::DOUBLE AS appear_cnt FROM (SELECT text, unnest([source, lang]) AS e FROM (
+          SELECT text, arg_min(source, doc_id::VARCHAR) AS source, arg_min(lang, doc_id::VARCHAR) AS lang FROM (
+            SELECT *, min(doc_id % 3) OVER (PARTITION BY text) AS first FROM documents WHERE text IS NOT NULL) WHERE doc_id % 3 = first AND source <> lang GROUP BY text)) GROUP BY e""",
+    ),
 }
 
 #: SQL for queries of the first catalog.

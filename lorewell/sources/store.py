@@ -167,17 +167,28 @@ class TableStore:
             fs.create(p, True).close()
         return name
 
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Adds rows to tables, each key of edges and counts once."""
-        name = self._write(tables)
+    def commit(self, tables: dict[str, DataFrame], epoch: tuple[str, int] | None = None) -> str:
+        """Adds rows to tables, each key of edges and counts once. epoch: the stream and the number of its batch that this commit is, which the commit itself remembers."""
+        name = self._write(tables, *([f"_EPOCH_{epoch[0]}_{epoch[1]}"] if epoch else []))
         if len(self.versions()) > self.COMPACT_AFTER:
             return self.compact()
         return name
 
+    def epochs(self) -> dict[str, int]:
+        """The number of the last committed batch of every stream. Batches of a stream come one after the other, so all before it are in, too."""
+        out: dict[str, int] = {}
+        for version in self.versions():
+            fs, folder = _file_system(self.spark, f"{self.root}/{version}")
+            for name in (s.getPath().getName() for s in fs.listStatus(folder)):
+                if name.startswith("_EPOCH_"):
+                    stream, number = name.removeprefix("_EPOCH_").rsplit("_", 1)
+                    out[stream] = max(out.get(stream, -1), int(number))
+        return out
+
     def compact(self) -> str:
         """Writes all tables as a base and deletes what no reader can need any more. A mark in it names the version it is the same as."""
         before = self.versions()
-        name = self._write({table: self.read(table) for table in self.TABLES}, "_BASE", *(f"_OF_{v}" for v in before[-1:]))
+        name = self._write({table: self.read(table) for table in self.TABLES}, "_BASE", *(f"_OF_{v}" for v in before[-1:]), *(f"_EPOCH_{stream}_{n}" for stream, n in self.epochs().items()))
         fs, _ = _file_system(self.spark, self.root)
         for old in self._folders():
             if before and old < before[0]:

@@ -70,7 +70,7 @@ def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = spark.range(1).select(F.lit(0).alias("o"), F.concat_ws(" ", n, n).alias("line"))
     edges = c.select(F.lit(1).alias("o"), F.concat_ws(" ", F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), F.col("c_custkey") % 7 + 0.5).alias("line"))
     nodes = c.select(F.lit(2).alias("o"), F.concat_ws(" ", F.concat(F.lit("c"), "c_custkey"), F.col("c_custkey") % 3).alias("line"))
-    head.union(edges).union(nodes).coalesce(1).sortWithinPartitions("o").select("line").write.text(path)
+    head.union(edges).union(nodes).orderBy("o").select("line").write.text(path)
     e, p = readers.read_edge_list(spark, path)
     return e.join(p.withColumnRenamed("weight", "personal"), F.col("src") == F.col("node")).select("src", "dst", "weight", "personal")
 
@@ -79,7 +79,7 @@ def paragraph_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names of parts, a blank line after every third, as a text file."""
     path = _folder(spark)
     lines = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, "\n \t").otherwise("")).alias("line"))
-    lines.coalesce(1).sortWithinPartitions("p_partkey").select("line").write.text(path)
+    lines.orderBy("p_partkey").select("line").write.text(path)
     return readers.read_paragraphs(spark, path).select(F.col("pos").cast("long").alias("pos"), "passage")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 from lorewell import schemas
 from lorewell.functions.text import content_hash
+from lorewell.sources.ordered import json_elements, lines, paragraphs
+from lorewell.sources.store import durable
 
 
 def resolve(spark: SparkSession, path: str, base: str | None = None) -> str:
@@ -19,26 +21,22 @@ def resolve(spark: SparkSession, path: str, base: str | None = None) -> str:
     return full
 
 
-def passages_of_array(documents: DataFrame, text: str = "value") -> DataFrame:
-    """pg_hash, passage, pos of JSON arrays: strings alone, the first of equal ones, in order of pos."""
-    items = documents.sparkSession.sql(
-        f"SELECT v.pos AS pos, v.value AS item FROM {{d}}, LATERAL variant_explode(parse_json(`{text}`)) AS v WHERE schema_of_variant(v.value) = 'STRING'", d=documents
-    )
-    items = items.select(F.col("pos").cast("long"), F.expr("variant_get(item, '$', 'string')").alias("passage"))
+def read_raw_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """pg_hash, passage, pos of the JSON array in a file, or in the files of a folder by name: strings alone, the first of equal ones. A file is read by as many tasks as it has splits."""
+    items = json_elements(spark, resolve(spark, path)).where(F.col("json").startswith('"'))
+    items = items.select("pos", F.from_json(F.concat(F.lit("["), "json", F.lit("]")), "array<string>")[0].alias("passage"))
     return items.groupBy(content_hash("passage").alias("pg_hash")).agg(F.min_by("passage", "pos").alias("passage"), F.min("pos").alias("pos"))
 
 
-def read_raw_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """The passages of a JSON array in a file."""
-    return passages_of_array(spark.read.text(resolve(spark, path), wholetext=True))
+def _blank(line: Column) -> Column:
+    return line.rlike(r"(?U)\A[\s\x1c-\x1f]*\z")
 
 
 def split_paragraphs(text: Column) -> Column:
     """The paragraphs of a text: blank lines part them, every other line keeps its line end."""
     lines = F.split(text, "\n", -1)
-    blank = lambda x: x.rlike(r"(?U)\A[\s\x1c-\x1f]*\z")
     # One line more, a blank one, ends the last paragraph; a paragraph is what stands between two blank lines.
-    cuts = F.filter(F.transform(F.array_append(lines, F.lit("")), lambda x, i: F.when(blank(x), i + 1)), lambda i: i.isNotNull())
+    cuts = F.filter(F.transform(F.array_append(lines, F.lit("")), lambda x, i: F.when(_blank(x), i + 1)), lambda i: i.isNotNull())
 
     def joined(s: Column) -> Column:
         between = lambda end, k: F.slice(s["lines"], F.when(k == 0, 1).otherwise(F.get(s["cuts"], k - 1) + 1), end - 1 - F.when(k == 0, 0).otherwise(F.get(s["cuts"], k - 1)))
@@ -49,9 +47,8 @@ def split_paragraphs(text: Column) -> Column:
 
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """pos, passage of a text file, line ends as they are."""
-    text = spark.read.text(resolve(spark, path), wholetext=True)
-    return text.select(F.posexplode(split_paragraphs(F.col("value"))).alias("pos", "passage"))
+    """pos, passage of a text file, or of the files of a folder by name, line ends as they are."""
+    return paragraphs(spark, resolve(spark, path), _blank(F.col("value")))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None, base: str | None = None) -> DataFrame:
@@ -63,15 +60,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def read_openie(spark: SparkSession, path: str) -> DataFrame:
-    """idx, passage, extracted_entities, extracted_triples, pos of an extraction result, unfiltered."""
-    whole = spark.read.text(resolve(spark, path), wholetext=True)
-    docs = whole.select(F.posexplode(F.from_json("value", schemas.OPENIE)["docs"]).alias("pos", "doc"))
-    return docs.select("doc.*", "pos")
+    """idx, passage, extracted_entities, extracted_triples, pos of an extraction result, unfiltered: the objects of the array in the object in a file, or in the files of a folder by name."""
+    docs = json_elements(spark, resolve(spark, path), 2)
+    return docs.select(F.from_json("json", schemas.DOCUMENT).alias("doc"), "pos").select("doc.*", "pos")
 
 
 def read_edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """edges (src, dst, weight) and personalization (node, weight) of a text: a line of both counts, then their lines. Line kinds differ in their number of fields; the counts must hold."""
-    parts = spark.read.text(resolve(spark, path), wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\n", -1)).alias("line", "value")).select("line", F.split("value", " +").alias("p"))
+    parts = durable(lines(spark, resolve(spark, path)).select("line", F.split(F.trim("value"), " +").alias("p")))
     count = parts.where("line = 0").select(F.col("p")[0].cast("long").alias("edges"), F.col("p")[1].cast("long").alias("nodes"))
     parts = parts.where("line > 0").crossJoin(F.broadcast(count))  # one row
     edges = parts.where("line <= edges").select(F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"), F.col("p")[2].cast("double").alias("weight"))

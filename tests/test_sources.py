@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,39 @@ from lorewell.sources import readers, sinks
 from lorewell.sources.store import TableStore, bucketed, durable, numbered, shared_folder
 
 
+def _whole(folder):
+    """The JSON document that the files of a folder make up."""
+    return json.loads("".join(f.read_text(encoding="utf-8") for f in sorted(folder.glob("part-*"))))
+
+
+def test_files_in_many_splits(spark, tmp_path):
+    """Strings with quotes, backslashes, brackets and line ends, nested values and odd layout, cut into splits of some dozens of bytes; each split is a task of its own."""
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice(['a', '"', "\\", "é", "[", "]", "{", "}", ",", "\n", " ", "\u2028", "😀", ":"]) for _ in range(rng.randrange(0, 30)))
+    items = [rng.choice([text, text, text, lambda: [text(), [1, text()]], lambda: {"k": text(), "l": [text()]}, lambda: 1.5, lambda: None, list])() for _ in range(400)]
+    (tmp_path / "raw.json").write_text(json.dumps(items, ensure_ascii=False, indent=rng.choice([None, 3])), encoding="utf-8")
+    docs = [{"idx": str(i), "passage": text(), "extracted_entities": [text(), None], "extracted_triples": [[text(), "b", text()]]} for i in range(150)]
+    (tmp_path / "o.json").write_text(json.dumps({"docs": docs, "avg_ent_chars": 1.0, "avg_ent_words": 2.0}, indent=1), encoding="utf-8")
+    paras = [f"line {i}\n" * rng.randrange(1, 4) for i in range(120)]
+    (tmp_path / "p.txt").write_text("\n \n".join(paras) + "\nlast", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "611")
+        spark.conf.set("spark.sql.files.openCostInBytes", "611")
+        assert spark.read.text(str(tmp_path / "raw.json")).rdd.getNumPartitions() > 10
+        want = {}
+        for i, x in enumerate(items):
+            if isinstance(x, str):
+                want.setdefault(x, i)
+        assert {r["passage"]: r["pos"] for r in readers.read_raw_corpus(spark, str(tmp_path / "raw.json")).collect()} == want
+        got = readers.read_openie(spark, str(tmp_path / "o.json")).orderBy("pos").collect()
+        assert [{k: r[k] for k in docs[0]} for r in got] == docs and [r["pos"] for r in got] == list(range(150))
+        assert [tuple(r) for r in readers.read_paragraphs(spark, str(tmp_path / "p.txt")).orderBy("pos").collect()] == list(enumerate([*paras, "last\n"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_raw_corpus_keeps_first_strings(spark, tmp_path):
     (tmp_path / "raw.json").write_text(json.dumps(["a", 1, "b", None, ["a"], "a", "é"]), encoding="utf-8")
     rows = readers.read_raw_corpus(spark, str(tmp_path / "raw.json")).orderBy("pos").collect()
@@ -20,7 +54,7 @@ def test_paragraph_file(spark, tmp_path):
     (tmp_path / "raw.txt").write_text("one\ntwo\n\n \t\nthree\n", encoding="utf-8")
     assert [tuple(r) for r in readers.read_paragraphs(spark, str(tmp_path / "raw.txt")).collect()] == [(0, "one\ntwo\n"), (1, "three\n")]
     sinks.write_passages(readers.read_paragraphs(spark, str(tmp_path / "raw.txt")), str(tmp_path / "out"))
-    assert [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()] == [["one\ntwo\n", "three\n"]]
+    assert _whole(tmp_path / "out") == ["one\ntwo\n", "three\n"]
 
 
 def test_paragraphs_of_any_characters(spark):
@@ -45,7 +79,7 @@ def test_openie_and_cache(spark, tmp_path):
     row = read.first()
     assert (row["idx"], row["extracted_entities"], row["extracted_triples"], row["pos"]) == ("h", ["a", None], [["a", "b", "c"]], 0)
     sinks.write_openie(read, spark.range(1).select(F.lit(1.0).alias("avg_ent_chars"), F.lit(2.0).alias("avg_ent_words")), str(tmp_path / "again"))
-    assert json.loads(spark.read.text(str(tmp_path / "again")).first()["value"])["avg_ent_words"] == 2.0
+    assert _whole(tmp_path / "again") == {**docs, "avg_ent_words": 2.0}
     sinks.append_cache(read.drop("pos"), str(tmp_path / "cache"))
     (tmp_path / "cache" / "broken.json").write_text('{"idx": "z", "passa\n')
     assert [r["idx"] for r in readers.read_cache(spark, str(tmp_path / "cache")).collect()] == ["h"]

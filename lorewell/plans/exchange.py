@@ -50,10 +50,13 @@ def openie_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extraction_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, docs = _folder(spark), _extracted(spark, sf_dir)
-    for part in (0, 1):
-        sinks.append_cache(docs.where(F.col("idx").cast("long") % 2 == part), path)
-    return readers.read_cache(spark, path).select("idx", F.size("extracted_entities").cast("long").alias("n_entities"), F.sha2("passage", 256).alias("passage_hash"))
+    """The words of the documents, by the stand-in for a model: half of them, and then all, of which the first half comes from the cache."""
+    path = _folder(spark)
+    engine = Engine.open(spark, f"{path}/store", Config())
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").groupBy(content_hash("text").alias("pg_hash"), F.col("text").alias("passage")).agg(F.min("doc_id").alias("pos"))
+    engine.extract(rows.where("pos % 2 = 0"), pause=0.0, cache=f"{path}/cache")
+    docs, _ = engine.extract(rows, pause=0.0, cache=f"{path}/cache")
+    return docs.select("idx", F.size("extracted_entities").cast("long").alias("n_entities"), F.size("extracted_triples").cast("long").alias("n_triples"), F.sha2("passage", 256).alias("passage_hash"))
 
 
 def jsonl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +313,11 @@ _QUOTED_PROMPT = ANSWER_PROMPT.replace("'", "''")
 _PAIRS: dict[str, tuple] = {
     "raw_corpus": (raw_corpus, "SELECT sha256(text) AS pg_hash, text AS passage, min(pos) AS pos FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) WHERE text IS NOT NULL GROUP BY text"),
     "openie_file": (openie_file, f"SELECT doc_id::VARCHAR AS idx, length(coalesce(text, '')) AS n_chars, array_to_string({_WORDS}, '|') AS entities, array_to_string({_WORDS}, '|') AS triple FROM documents"),
-    "extraction_cache": (extraction_cache, f"SELECT doc_id::VARCHAR AS idx, len({_WORDS}) AS n_entities, sha256(coalesce(text, '')) AS passage_hash FROM documents"),
+    "extraction_cache": (
+        extraction_cache,
+        """SELECT idx, len(list_distinct(w))::BIGINT AS n_entities, (len(w) // 3)::BIGINT AS n_triples, idx AS passage_hash FROM (
+          SELECT sha256(text) AS idx, any_value(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents WHERE text IS NOT NULL GROUP BY text) WHERE len(w) > 0""",
+    ),
     "jsonl_rows": (jsonl_rows, "SELECT event_id, event_type, json_extract(props, '$.k')::BIGINT AS k FROM events"),
     "edge_list": (edge_list, "SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, c_custkey % 7 + 0.5::DOUBLE AS weight, (c_custkey % 3)::DOUBLE AS personal FROM customer"),
     "paragraph_file": (paragraph_file, "SELECT g - min(g) OVER () AS pos, passage FROM (SELECT (p_partkey + 2) // 3 AS g, string_agg(p_name || chr(10), '' ORDER BY p_partkey) AS passage FROM part GROUP BY 1)"),

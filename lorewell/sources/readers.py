@@ -75,8 +75,17 @@ def read_edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return edges, nodes
 
 
+def _cache_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{schemas.DOCUMENT}, error string, _corrupt_record string").option("mode", "PERMISSIVE").json(resolve(spark, path))
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Extraction results that are cached as JSON, one a row; rows that don't parse, or have no passage, are left out and so done again."""
-    schema = "idx string, passage string, extracted_entities array<string>, extracted_triples array<array<string>>, _corrupt_record string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(resolve(spark, path))
-    return rows.where("_corrupt_record is null and passage is not null").drop("_corrupt_record")
+    """Extraction results that are cached as JSON, one a row, one for each idx; rows that don't parse, have no passage or tell of a failure are left out and so done again."""
+    rows = _cache_rows(spark, path).where("_corrupt_record is null and passage is not null and error is null")
+    return rows.drop("_corrupt_record", "error").dropDuplicates(["idx"])
+
+
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    """idx and error of passages in the cache that have a failure and no result."""
+    failed = _cache_rows(spark, path).where("_corrupt_record is null and error is not null").groupBy("idx").agg(F.max("error").alias("error"))
+    return failed.join(read_cache(spark, path).select("idx"), "idx", "left_anti")

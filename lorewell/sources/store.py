@@ -132,8 +132,9 @@ class TableStore:
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def has(self, version: str, table: str) -> bool:
-        return self._exists(version, table)
+    def has(self, *parts: str) -> bool:
+        """Whether there is a file or folder of that name in the store."""
+        return self._exists(*(p for p in parts if p))
 
     def same_as(self, version: str) -> list[str]:
         """The version and, for a base, the one that it was written from."""

@@ -35,7 +35,7 @@ def order(found):
     return sorted(found, key=str)
 
 
-@pytest.mark.parametrize(("window", "shingle"), [(10, 5), (4, 2), (3, 3), (6, 1)])
+@pytest.mark.parametrize(("window", "shingle"), [(10, 5), (4, 2)])
 def test_equal_to_every_window_at_every_place(spark, window, shingle):
     rng = random.Random(window)
     vocabulary = ["a", "b", "Über", "x1", "été", "Long" * 30, "la"]

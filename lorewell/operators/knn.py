@@ -13,6 +13,8 @@ from lorewell.functions.vectors import as_doubles
 
 #: Rows of a block of vectors and of a block of queries, about.
 BLOCK, QUERIES = 8192, 1024
+#: Queries of a block whose scores are looked at together.
+AT_ONCE = 128
 
 
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -46,33 +48,19 @@ def _searcher(k: int, places: int):
                 qids, ids = (np.array(batch[c][i].as_py(), dtype=object) for c in ("q_ids", "c_ids"))
                 q, c = (np.frombuffer(batch[x][i].as_buffer(), dtype=np.float64).reshape(n, -1) for x, n in (("q_v", len(qids)), ("c_v", len(ids))))
                 order = np.argsort(ids)  # so that equal scores come out by id
-                ids, scores = ids[order], np.round(q @ c[order].T, places)
+                ids, c = ids[order], c[order]
                 m = min(k, len(ids))
-                for row, name in enumerate(qids):
-                    s = scores[row]
-                    edge = np.partition(s, len(s) - m)[len(s) - m]
-                    sure = np.flatnonzero(s > edge)
-                    top = np.concatenate((sure, np.flatnonzero(s == edge)[: m - len(sure)]))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(top), pa.string()), pa.array(ids[top], pa.string()), pa.array(s[top])], ["qid", "id", "score"])
+                for a in range(0, len(qids), AT_ONCE):
+                    s = np.round(q[a : a + AT_ONCE] @ c.T, places)
+                    edge = np.partition(s, s.shape[1] - m, axis=1)[:, -m, None]
+                    equal, left = s == edge, m - (s > edge).sum(axis=1, keepdims=True)
+                    # Above the edge all; on it, the first ones.
+                    row, col = np.nonzero((s > edge) | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= left)))
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[a + row], pa.string()), pa.array(ids[col], pa.string()), pa.array(s[row, col])], ["qid", "id", "score"])
 
     return search
 
 
-def _batched(search):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for b in search(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 10_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return run
-
-
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, raw_query: bool = False, drop_self: bool = False, places: int = 9) -> DataFrame:
     """The k vectors of highest cosine for each query: qid, id, score (to places), rank. queries: (qid, v); vectors: (id, v), arrays of one
     length; null vectors, and those that hold a null, take no part. Ties go to the smaller id. raw_query: the query isn't brought to length 1. drop_self: an id is no neighbour of the query of its name.
@@ -91,7 +79,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, raw_query: bool = Fals
     q = q.withColumn("copy", (F.col("q_block") % copies).cast("int")).withColumn("c_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     c = c.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     pairs = q.repartition(tasks, "c_block", "copy").join(c.repartition(tasks, "c_block", "copy").hint("shuffle_hash"), ["c_block", "copy"])
-    found = pairs.mapInArrow(_batched(_searcher(k + drop_self, places)), "qid string, id string, score double")
+    found = pairs.mapInArrow(_searcher(k + drop_self, places), "qid string, id string, score double")
     if drop_self:
         found = found.where("qid <> id")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))

@@ -32,12 +32,23 @@ def relations(triples: DataFrame) -> DataFrame:
     return triples.select("subj", "pred", "obj").distinct().withColumn("str", text).withColumn("hash", key(RELATION, "str"))
 
 
+def entity_pairs(triples: DataFrame) -> DataFrame:
+    """src, dst, weight: triples between two different entities by name, src being the lesser of the two."""
+    pairs = triples.where("subj <> obj").groupBy(F.least("subj", "obj").alias("src"), F.greatest("subj", "obj").alias("dst"))
+    return pairs.agg(F.count("*").cast("double").alias("weight"))
+
+
+def both_ways(pairs: DataFrame, of: Callable[[str], Column] = entity_id) -> DataFrame:
+    """pairs (src, dst by name, and more), by key and both ways."""
+    more = [c for c in pairs.columns if c not in ("src", "dst")]
+    keyed = pairs.select(of("src").alias("a"), of("dst").alias("b"), *more)
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return keyed.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e"), *more).select("e.src", "e.dst", *more)
+
+
 def entity_edges(triples: DataFrame, of: Callable[[str], Column] = entity_id) -> DataFrame:
-    """src, dst, weight: triples between two different entities, both ways. Counted by name, then named by key: of() is computed once an edge and keys aren't shuffled."""
-    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = triples.where("subj <> obj").select(F.explode(F.array(way("subj", "obj"), way("obj", "subj"))).alias("e"))
-    edges = both.groupBy("e.a", "e.b").agg(F.count("*").cast("double").alias("weight"))
-    return edges.select(of("a").alias("src"), of("b").alias("dst"), "weight")
+    """src, dst, weight: triples between two different entities, both ways. Both weigh the same, so a pair is counted once, by name, and then named by key: neither keys nor second ways are shuffled."""
+    return both_ways(entity_pairs(triples), of)
 
 
 def entity_counts(triples: DataFrame, of: Callable[[str], Column] = entity_id) -> DataFrame:

@@ -87,12 +87,12 @@ def paragraph_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two imports of edges, one after the other."""
+    """Two imports of edges, one after the other: pairs by name, read both ways."""
     store = TableStore(spark, _folder(spark))
     for now, t in enumerate(base._halves(spark, sf_dir), 1):
         stamp = F.lit(float(now))
-        store.commit({"edges": kg.entity_edges(t).withColumn("create_time", stamp).withColumn("update_time", stamp), "counts": kg.entity_counts(t)})
-    return store.read("edges")
+        store.commit({"edges": kg.entity_pairs(t).withColumn("create_time", stamp).withColumn("update_time", stamp), "counts": kg.entity_counts(t)})
+    return kg.both_ways(store.read("edges"))
 
 
 def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,10 +252,10 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.array("source", F.lit("writes"), "lang")).alias("extracted_triples"), F.col("doc_id").alias("pos"),
     )
     for start in range(3):
-        docs.where(F.pmod("pos", F.lit(3)) == start).coalesce(2).write.mode("append").json(f"{top}/in")
+        docs.where(F.pmod("pos", F.lit(3)) == start).write.mode("append").json(f"{top}/in")
         if start == 2:
             forget(spark, f"{top}/checkpoint/commits/{engine.store.epochs()[stream_id(spark, f'{top}/checkpoint')]}")
-        ingest_stream(engine, read_documents(spark, f"{top}/in", 2), f"{top}/checkpoint").awaitTermination()
+        ingest_stream(engine, read_documents(spark, f"{top}/in"), f"{top}/checkpoint").awaitTermination()
     return engine.store.read("counts")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewell.operators import kg, pagerank
 from lorewell.operators.pagerank import by_cell, prepared, ranked
-from lorewell.plans import catalog
+from lorewell.plans import catalog, exchange
 
 
 def _triples(spark):
@@ -59,3 +59,12 @@ def test_nodes_whose_numbers_are_the_same_get_others(spark, monkeypatch):
     # A new node with the number of an old one has the tables made anew.
     monkeypatch.setattr(pagerank, "code", lambda id, seed: F.when(F.col(id) == "new", F.xxhash64(F.lit(seed), F.lit("0"))).otherwise(real(id, seed)))
     assert prepared(spark.createDataFrame([("new",)], "id string"), edges.limit(0), graph) is None
+
+
+def test_a_stream_is_written_by_as_many_tasks_as_read_it(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(exchange, "_folder", lambda _: str(tmp_path / "top"))
+    spark.read.parquet(f"{small}/documents.parquet").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in exchange.stream_import(spark, str(tmp_path)).collect()}
+    assert len(list((tmp_path / "top" / "in").glob("*.json"))) > 6
+    monkeypatch.setattr(exchange, "_folder", lambda _: str(tmp_path / "again"))
+    assert got == {tuple(r) for r in exchange.stream_import(spark, small).collect()}

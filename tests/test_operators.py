@@ -277,3 +277,27 @@ def test_transitions_that_grow(spark):
     want = _dense(len(every), [(at[a], at[b], w) for a, b, w in first + more], np.full(len(every), 1 / len(every)), rounds=9)
     assert np.allclose([got[str(x)] for x in every], want, atol=1e-12)
     assert prepared(ids([20, 21]), names([(20, 21, 1.0)]), both) is None
+
+
+def test_neighbours_among_equal_vectors(spark, monkeypatch):
+    """Vectors of few kinds, in cells of several blocks: equal ones are one query and the smallest ids of a kind, and the results are those of brute force."""
+    rng = np.random.default_rng(5)
+    kinds = rng.integers(-1, 2, (7, 3)).astype(float)
+    v = kinds[rng.integers(0, 7, 150)]
+    df = spark.createDataFrame([(f"{i:03d}", x.tolist()) for i, x in enumerate(v)], "id string, v array<double>").repartition(3)
+    n = np.linalg.norm(v, axis=1)
+    u = v / np.where(n > 0, n, 1)[:, None]
+    want = {}
+    for drop in (False, True):
+        want[drop] = {(f"{i:03d}", r + 1, b) for i in range(150) for r, (_, b) in enumerate(sorted((-round(float(u[i] @ u[j]), 9), f"{j:03d}") for j in range(150) if not drop or j != i)[:4])}
+    for name, value in (("BLOCK", 16), ("QUERIES", 8), ("CELL", 48), ("TOGETHER", 40)):
+        monkeypatch.setattr(knn, name, value)
+    looked_at = []
+    real = knn._found
+    monkeypatch.setattr(knn, "_found", lambda q, c, n_q, n_c, *more: looked_at.append((n_q, n_c)) or real(q, c, n_q, n_c, *more))
+    for many in (1 << 40, 1):
+        monkeypatch.setattr(knn, "MANY", many)
+        for drop in (False, True):
+            got = top_k(df.toDF("qid", "v"), df, 4, drop_self=drop)
+            assert {(r["qid"], r["rank"], r["id"]) for r in got.collect()} == want[drop]
+    assert looked_at[0] == (150, 150) and looked_at[2][0] <= 7 * 4 and looked_at[2][1] <= 7 * 4 * 4

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewell.sources.store import durable
+from lorewell.sources.store import bucketed, durable
 
 #: Splits whose sums are sent to all tasks; more of them are joined by a shuffle.
 SENT = 100_000
@@ -20,7 +20,7 @@ def rows_in_order(spark: SparkSession, path: str, separator: str = "\n") -> Data
     """file, start (of the split), row (ascending in it) and value: what stands between separators in a file, or in the files of a folder, by name."""
     rows = spark.read.option("lineSep", separator).text(path)
     place = F.col("_metadata")
-    return durable(rows.select(place["file_path"].alias("file"), place["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("row"), "value"))
+    return rows.select(place["file_path"].alias("file"), place["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("row"), "value")
 
 
 def with_sums(rows: DataFrame, **amounts: Column) -> DataFrame:
@@ -37,12 +37,12 @@ def with_sums(rows: DataFrame, **amounts: Column) -> DataFrame:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """line (from 0) and value."""
-    return with_sums(rows_in_order(spark, path), line=F.lit(1)).select("line", "value")
+    return with_sums(durable(rows_in_order(spark, path)), line=F.lit(1)).select("line", "value")
 
 
 def paragraphs(spark: SparkSession, path: str, blank: Column) -> DataFrame:
     """pos and passage of a text whose paragraphs are parted by rows (value) that are blank; lines keep their ends."""
-    rows = with_sums(rows_in_order(spark, path), gap=blank)  # the lines of a paragraph have as many blank ones before them
+    rows = with_sums(durable(rows_in_order(spark, path)), gap=blank)  # the lines of a paragraph have as many blank ones before them
     named = rows.where(~blank).groupBy("gap").agg(F.array_sort(F.collect_list(F.struct(*_SPLIT, "row", "value"))).alias("lines"))
     text = named.select(F.col("gap"), F.concat(F.array_join("lines.value", "\n"), F.lit("\n")).alias("passage"))
     # Blank lines in a row leave numbers out; ranks close the gaps, by ranges of them.
@@ -54,8 +54,8 @@ def json_elements(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
     """pos (from 0) and json: the elements of the JSON array whose brackets are the level-th to be open (one array there), each as its own text.
 
     The text is cut at quotation marks. One is escaped if an odd number of backslashes stands before it; the others open and close strings in turn. Outside strings, brackets give the
-    depth, and a comma at the array's depth ends an element."""
-    rows = rows_in_order(spark, path, '"')
+    depth, and a comma at the array's depth ends an element. Rows are dealt by split once, into buckets that all sums are made in."""
+    rows = bucketed(rows_in_order(spark, path, '"'), *_SPLIT, order="row")
     ends = durable(rows.groupBy("file").agg(F.max(F.struct("start", "row")).alias("end")))
     small = ends.count() <= SENT
     rows = rows.join(F.broadcast(ends) if small else ends, "file").withColumn("quoted", F.struct("start", "row") < F.col("end")).drop("end")  # a quotation mark follows
@@ -63,7 +63,7 @@ def json_elements(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
     rows = with_sums(rows, quotes=(F.col("quoted") & ~escaped).cast("int")).withColumn("inside", F.col("quotes") % 2 == 1)
     count = lambda chars: F.length("value") - F.length(F.regexp_replace("value", chars, ""))
     change = F.when(F.col("inside"), F.lit(0)).otherwise(count(r"[\[{]") - count(r"[\]}]"))
-    rows = durable(with_sums(rows.withColumn("change", change), depth=F.col("change")))
+    rows = bucketed(with_sums(rows.withColumn("change", change), depth=F.col("change")), *_SPLIT, order="row", dealt=True)
 
     def step(acc: Column, x: Column) -> Column:
         d = acc["d"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorewell.operators import kg, pagerank
 from lorewell.operators.pagerank import by_cell, prepared, ranked
 from lorewell.plans import catalog, exchange
+from lorewell.sources import readers, sinks
 
 
 def _triples(spark):
@@ -68,3 +69,27 @@ def test_a_stream_is_written_by_as_many_tasks_as_read_it(spark, small, tmp_path,
     assert len(list((tmp_path / "top" / "in").glob("*.json"))) > 6
     monkeypatch.setattr(exchange, "_folder", lambda _: str(tmp_path / "again"))
     assert got == {tuple(r) for r in exchange.stream_import(spark, small).collect()}
+
+
+def test_exchange_files_are_written_down_and_dealt_once(spark, tmp_path, monkeypatch):
+    kept = []
+    real = sinks.durable
+    monkeypatch.setattr(sinks, "durable", lambda df: kept.append(df.columns) or real(df))
+    texts = ['a "b" [c', "d, \\", "{e}", "f", 'a "b" [c']
+    rows = spark.createDataFrame(list(enumerate(texts)), "pos int, passage string").repartition(3)
+    sinks.write_passages(rows, str(tmp_path / "p"))
+    assert len(kept) == 1
+    got = readers.read_raw_corpus(spark, str(tmp_path / "p"))
+    assert sorted((r["pos"], r["passage"]) for r in got.collect()) == list(enumerate(texts))[:4]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(file") == 0
+    sinks.write_passages(rows.limit(0), str(tmp_path / "none"))
+    assert readers.read_raw_corpus(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_cached_results_are_packed(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "x y", ["x"], [["x", "y", "z"]], None), ("2", "w", None, None, "no")], "idx string, passage string, extracted_entities array<string>, extracted_triples array<array<string>>, error string")
+    sinks.append_cache(rows, str(tmp_path))
+    assert list(tmp_path.glob("*.json.gz")) and not list(tmp_path.glob("*.json"))
+    assert [r["idx"] for r in readers.read_cache(spark, str(tmp_path)).collect()] == ["1"]
+    assert [r["idx"] for r in readers.read_failures(spark, str(tmp_path)).collect()] == ["2"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorewell.config import ENTITY, PARAGRAPH, RELATION
 from lorewell.functions.text import key, label, triple_text
 from lorewell.operators.knn import top_k
-from lorewell.sources.store import durable
+from lorewell.sources.store import durable, spread
 
 
 def entity_id(text: str) -> Column:
@@ -109,9 +109,11 @@ def leader_hits(hits: DataFrame) -> DataFrame:
     return hits.join(state.where("leads").select(F.col("n").alias("a")), "a", "left_semi")
 
 
-def with_synonyms(relation_edges: DataFrame, synonyms: DataFrame, merge: str = "replace") -> DataFrame:
-    """Edges of one batch; where both have an edge, the synonym's weight replaces the other, or is added to it."""
+def with_synonyms(relation_edges: DataFrame, synonyms: DataFrame, merge: str = "replace", rows: int | None = None) -> DataFrame:
+    """Edges of one batch; where both have an edge, the synonym's weight replaces the other, or is added to it. An edge may come in several rows, whose weights add up. rows: so many there are of
+    both, about, and tasks by them."""
     both = relation_edges.withColumn("s", F.lit(None).cast("double")).unionByName(synonyms.select("src", "dst", F.lit(None).cast("double").alias("weight"), F.col("weight").alias("s")))
+    both = both if rows is None else spread(both, rows, "src", "dst")
     r, s = F.sum("weight"), F.sum("s")
     weight = F.coalesce(s, r) if merge == "replace" else F.coalesce(s, F.lit(0.0)) + F.coalesce(r, F.lit(0.0))
     return both.groupBy("src", "dst").agg(weight.alias("weight"))
@@ -124,12 +126,19 @@ def upserted(edges: DataFrame, batch: DataFrame, now: float) -> DataFrame:
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return _ends(edges).distinct()
 
 
-def new_nodes(edges: DataFrame, nodes: DataFrame, texts: DataFrame, now: float) -> DataFrame:
-    """Nodes for the ends of edges that nodes lacks. texts: (id, str). A passage's content is its label."""
-    fresh = endpoints(edges).join(nodes, "id", "left_anti").join(texts, "id")
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("id"))
+
+
+def new_nodes(edges: DataFrame, nodes: DataFrame, texts: DataFrame, now: float, rows: int | None = None) -> DataFrame:
+    """Nodes for the ends of edges that nodes lacks. texts: (id, str). A passage's content is its label. rows: of each of the three there are so many at most, about, and tasks by them."""
+    ends = _ends(edges)
+    if rows is not None:
+        ends, nodes, texts = (spread(x, rows, "id") for x in (ends, nodes.select("id"), texts))
+    fresh = ends.distinct().join(nodes, "id", "left_anti").join(texts, "id")
     passage = F.col("id").startswith(PARAGRAPH + "-")
     return fresh.select("id", F.when(passage, label("str")).otherwise(F.col("str")).alias("content"), F.when(passage, "pg").otherwise("ent").alias("type"), F.lit(now).alias("create_time"))
 

@@ -196,8 +196,7 @@ def ranked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synonym_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = kg.synonym_pairs(base.vectors(spark, sf_dir), 10, base.SYNONYMS)
-    return kg.with_synonyms(base._part_edges(spark, sf_dir), pairs, "add").withColumn("weight", F.round("weight", 6))
+    return base._with_synonyms(spark, sf_dir, "add")
 
 
 def ppr_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:

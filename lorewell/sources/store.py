@@ -64,6 +64,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task, about, where more come to it than a shuffle has partitions for.
+ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df dealt by columns to more partitions than a shuffle has, if so many rows are more than ROWS for each of those: what a task holds doesn't grow with them."""
+    parts = -(-rows // ROWS)
+    return df if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *by)
+
+
 def bucketed(df: DataFrame, *by: str, path: str | None = None, parts: int | None = None, order: str | None = None, dealt: bool = False) -> DataFrame:
     """durable(df), dealt by columns into as many buckets as a shuffle has partitions, or parts: joins on those columns don't shuffle it again. With a path, the files stay there when the
     process ends, see reopened(). order: a column that buckets are sorted by. dealt: df is dealt so already."""

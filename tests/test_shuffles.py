@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorewell.operators import kg, pagerank
 from lorewell.operators.pagerank import by_cell, prepared, ranked
 from lorewell.plans import catalog, exchange
-from lorewell.sources import readers, sinks
+from lorewell.sources import readers, sinks, store
 
 
 def _triples(spark):
@@ -93,3 +93,14 @@ def test_cached_results_are_packed(spark, tmp_path):
     assert list(tmp_path.glob("*.json.gz")) and not list(tmp_path.glob("*.json"))
     assert [r["idx"] for r in readers.read_cache(spark, str(tmp_path)).collect()] == ["1"]
     assert [r["idx"] for r in readers.read_failures(spark, str(tmp_path)).collect()] == ["2"]
+
+
+def test_many_rows_are_dealt_to_more_tasks(spark, small, monkeypatch):
+    """Edges with synonyms, and new nodes: the same rows in as many tasks as they ask for."""
+    kept = {q: {tuple(r) for r in catalog.queries()[q](spark, small).collect()} for q in ("synonym_override", "new_node_attrs")}
+    monkeypatch.setattr(store, "ROWS", 500)
+    for name, want in kept.items():
+        frame = catalog.queries()[name](spark, small)
+        parts = [int(n) for n in re.findall(r"hashpartitioning\([^)]*\b(?:src|id)[^)]*, (\d+)\)", frame._jdf.queryExecution().executedPlan().toString())]
+        assert max(parts) > 6000 // 500 - 1
+        assert {tuple(r) for r in frame.collect()} == want

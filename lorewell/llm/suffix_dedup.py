@@ -17,7 +17,7 @@ alone, so equal windows have equal anchors at the same offset, and no repeat is
 5. Comparison across boundaries: a class of suffixes that has the bucket's first or last suffix (or its first SPLIT bytes) may go on in the next bucket. The
    windows of such classes, each distinct one of a bucket once, meet by their hash of 128 bits, and those of two buckets repeat.
 6. All windows of a context contain its anchor, so what is removed there is one span. Spans meet
-   their document again by its key, and are cut out of its bytes.
+   their document again by its key, and are cut out of its bytes. Documents without spans stay where they are.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ GRAM = 32
 BUCKET = 100_000
 #: Leading bytes of suffixes, and bytes before them, that splitters are made of.
 SPLIT, SPLIT_BEFORE = 128, 32
+#: Bits, at most, that tell documents with spans.
+MOST_BITS = 1 << 26
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -347,8 +349,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     contexts_at_most = often.agg(F.sum("rows")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-contexts_at_most // BUCKET))
     spots = found.join(often.select("gram"), "gram").groupBy("a", "b").agg(F.collect_set(F.struct("at", "run")).alias("spots"))
-    # All columns of texts go along, so that the exchange of the texts serves the last join too.
-    flagged = texts.join(spots, ["a", "b"]).select("doc_id", "a", "b", "text", "spots")
+    flagged = texts.join(spots, ["a", "b"]).select("a", "b", "text", "spots")
     contexts = flagged.mapInArrow(lean(_emit_contexts), "suffix binary, before binary, a array<long>, b array<long>, p array<long>, run array<long>")
     buckets = contexts.repartitionByRange(parts, F.substring("suffix", 1, SPLIT), F.substring("before", 1, SPLIT_BEFORE), F.col("a")[0])
     told = materialize(buckets.mapInArrow(lean(_emit_spans), "a long, b long, span long, u long, v long"))
@@ -357,5 +358,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     twice = beyond.groupBy("u", "v").agg(F.count("*").alias("n")).where("n > 1").select("u", "v")
     across = beyond.where("span IS NOT NULL").join(twice, ["u", "v"], "left_semi").select("a", "b", "span")
     spans = told.where("u IS NULL").select("a", "b", "span").unionByName(across).groupBy("a", "b").agg(F.collect_set("span").alias("spans"))
-    out = texts.join(spans, ["a", "b"], "left").select("doc_id", "text", "spans")
+    spans = materialize(spans)
+    # Texts without spans aren't shuffled: a bit for each document with spans goes to all tasks, and what has none there is cut nowhere.
+    bits = min(MOST_BITS, max(64, 1 << (16 * spans.count()).bit_length()))
+    place = F.xxhash64("a", "b").bitwiseAND(F.lit(bits - 1))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    marks = spans.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = texts.withColumn("word", word).join(F.broadcast(marks), "word", "left")
+    own = F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(bit) != 0
+    cut = marked.where(own).select("a", "b", "doc_id", "text").join(spans, ["a", "b"], "left").select("doc_id", "text", "spans")
+    out = cut.unionByName(marked.where(~own).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     return out.mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

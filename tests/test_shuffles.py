@@ -1,10 +1,12 @@
 """What is shuffled: not keys, not both ways of a pair, not an edge of a prepared graph."""
 
+import hashlib
 import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from lorewell.llm import suffix_dedup
 from lorewell.operators import kg, pagerank
 from lorewell.operators.pagerank import by_cell, prepared, ranked
 from lorewell.plans import catalog, exchange
@@ -104,3 +106,18 @@ def test_many_rows_are_dealt_to_more_tasks(spark, small, monkeypatch):
         parts = [int(n) for n in re.findall(r"hashpartitioning\([^)]*\b(?:src|id)[^)]*, (\d+)\)", frame._jdf.queryExecution().executedPlan().toString())]
         assert max(parts) > 6000 // 500 - 1
         assert {tuple(r) for r in frame.collect()} == want
+
+
+def test_documents_without_repeats_stay_where_they_are(spark, monkeypatch):
+    """Their texts go around the last join, also where bits of documents coincide."""
+    text = lambda i: "".join(hashlib.sha256(f"{i} {j}".encode()).hexdigest() for j in range(5))[:300]
+    long = text("long")
+    rows = [(i, text(i)) for i in range(40)] + [(50, long + "x"), (51, "y" + long), (52, None), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = []
+    for bits in (64, 1 << 26):
+        monkeypatch.setattr(suffix_dedup, "MOST_BITS", bits)
+        out = suffix_dedup.remove_repeats(docs)
+        kept.append(sorted((tuple(r) for r in out.collect()), key=repr))
+    assert kept[0] == kept[1] and sum(r[2] == 300 for r in kept[0]) == 3
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()

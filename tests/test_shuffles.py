@@ -130,3 +130,26 @@ def test_transitions_are_told_without_a_prepared_graph(spark, small, monkeypatch
     monkeypatch.setattr(catalog, "_kept_triples", {})
     shares = catalog.graph_transitions(spark, small).groupBy("src").agg(F.sum("share").alias("s")).agg(F.min("s"), F.max("s")).first()
     assert all(abs(x - 1) < 1e-5 for x in shares)
+
+
+def test_ranks_in_blocks(spark, monkeypatch):
+    """Many chunks, packs and blocks of queries give the ranks of one of each, and rounds leave no ranks behind but the last ones."""
+    edges = _edges(spark, 40, 300)
+    q = spark.createDataFrame([("a",), ("b",), ("c",)], "qid string")
+    given = spark.createDataFrame([("a", "3", 1.0), ("a", "end3", 2.0), ("b", "5", 1.0), ("b", "nowhere", 1.0)], "qid string, id string, weight double")
+    made = len(store._written)
+    graph = prepared(kg.endpoints(edges), edges)
+    assert len(store._written) - made == 3  # nodes, edges, sinks
+    every = {"personalization": given, "init": given, "dangling": given.where("qid = 'a'"), "tol": None}
+    want = {(r["qid"], r["id"]): r["score"] for r in ranked(graph, q, max_iter=2, **every).collect()}
+    for name, value in (("VALUES", 8), ("PACKED", 16), ("CHUNK", 4)):
+        monkeypatch.setattr(pagerank, name, value)
+    left = []
+    for rounds in (2, 3):
+        made = len(store._written)
+        found = ranked(graph, q, max_iter=rounds, prefix="end", **every)
+        left.append(len(store._written) - made)
+        if rounds == 2:
+            got = {(r["qid"], r["id"]): r["score"] for r in found.collect()}
+    assert left[0] == left[1]
+    assert got.keys() == {k for k in want if k[1].startswith("end")} and all(abs(got[k] - want[k]) < 1e-12 for k in got)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.vectors import as_doubles
-from lorewell.sources.store import durable, plain_unions
+from lorewell.sources.store import durable, plain_unions, small_batches
 
 #: Rows of a block of vectors and of a block of queries, about.
 BLOCK, QUERIES = 8192, 1024
@@ -20,7 +20,9 @@ CELL = 65_536
 #: Pairs from which on equal vectors are looked for, and how many of them are one row, about.
 MANY, TOGETHER = 1 << 30, 8192
 #: Queries of a block whose scores are looked at together.
-AT_ONCE = 128
+AT_ONCE = 32
+#: Bytes from which on a worker gets no more rows at once: a block of vectors, about.
+BATCH_BYTES = 4 << 20
 
 
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -52,7 +54,9 @@ def _best(q: np.ndarray, parts: list[np.ndarray], k: int, places: int) -> tuple[
     scores, where, before = [], [], 0
     for c in parts:
         m = min(k, len(c))
-        s = np.round(q @ c.T, places) + 0.0  # no negative zeros
+        s = q @ c.T
+        np.round(s, places, out=s)
+        s += 0.0  # no negative zeros
         edge = np.partition(s, s.shape[1] - m, axis=1)[:, -m, None]
         equal, left = s == edge, m - (s > edge).sum(axis=1, keepdims=True)
         # Above the edge all; on it, the first ones: m a query.
@@ -71,6 +75,7 @@ def _searcher(k: int, places: int):
         return ids and (np.array(ids, dtype=object), np.frombuffer(batch[f"{side}_v"][i].as_buffer(), dtype=np.float64).reshape(len(ids), -1))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what the worker's task before has freed
         cell, held = None, []
         ids, parts, rank = np.zeros(0, dtype=object), [], np.zeros(0, dtype=np.int64)
         for batch in batches:
@@ -135,9 +140,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, raw_query: bool = Fals
     length; null vectors, and those that hold a null, take no part. Ties go to the smaller id. raw_query: the query isn't brought to length 1. drop_self: an id is no neighbour of the query of its name.
 
     Both sides are dealt into blocks, and blocks into a grid of cells: a vector goes to the cells of its column, a query to those of its row, so what is moved grows with a side of the grid and
-    what a task holds doesn't grow. A cell returns k rows a query, ties included. Where pairs are very many, equal queries are one query, and of equal vectors only those stay that can be among
+    what a task holds doesn't grow: its cell's vectors, while blocks of queries pass in batches of BATCH_BYTES, about. A cell returns k rows a query, ties included. Where pairs are very many, equal queries are one query, and of equal vectors only those stay that can be among
     the k best, the smallest ids: names of single words are alike by the thousand under some embedders."""
-    plain_unions(vectors.sparkSession)
+    small_batches(plain_unions(vectors.sparkSession), BATCH_BYTES)
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull())
     q = queries.select(F.col("qid").cast("string").alias("id"), as_doubles("v").alias("v")).where(fine)
     c = vectors.select(F.col("id").cast("string").alias("id"), as_doubles("v").alias("v")).where(fine)

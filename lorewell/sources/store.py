@@ -31,6 +31,14 @@ def plain_unions(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession, most: int) -> None:
+    """From now on, Arrow batches of this session end at most bytes, about (or where it has them end before): a worker holds a batch or two, and a batch else goes on to 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(name).strip().lower())
+    if size is None or not 0 < int(size[1]) << 10 * " kmgt".index(size[2] or " ") <= most:
+        spark.conf.set(name, str(most))
+
+
 _written: list[tuple[SparkSession, str, str | None]] = []
 
 

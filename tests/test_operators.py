@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,63 @@ def test_ties_stay_k(spark, monkeypatch):
     assert sorted((r["qid"], r["rank"], r["id"]) for r in got) == [("000", 1, "002"), ("000", 2, "004"), ("003", 1, "001"), ("003", 2, "005")]
 
 
+def test_blocks_of_a_cell_come_to_a_worker_a_few_at_a_time(spark, monkeypatch):
+    """Else a batch holds all of a task's cells, up to 64 MB of them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    for key, value in (("BLOCK", 256), ("QUERIES", 64), ("BATCH_BYTES", 200_000)):
+        monkeypatch.setattr(knn, key, value, raising=False)
+    real = knn._searcher
+
+    def searcher(k, places):
+        def search(batches):
+            from pyarrow import RecordBatch
+
+            for b in batches:  # 256 vectors of 64 numbers are 131 KB
+                yield RecordBatch.from_pydict({"qid": [f"{b.nbytes}"], "id": [""], "score": [0.0]})
+
+        return search
+
+    v = spark.range(3000).select(F.col("id").cast("string"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.rand(3) - 0.5 + i * 0).alias("v"))
+    try:
+        monkeypatch.setattr(knn, "_searcher", searcher)
+        sizes = [int(r["qid"]) for r in top_k(v.toDF("qid", "v"), v, 3).collect()]
+        assert max(sizes) < 500_000 < 3_000_000 < sum(sizes)
+        monkeypatch.setattr(knn, "_searcher", real)
+        monkeypatch.setattr(knn, "BLOCK", 4096)
+        rows = lambda: {tuple(r) for r in top_k(v.toDF("qid", "v"), v, 3).collect()}
+        small = rows()
+        monkeypatch.setattr(knn, "BATCH_BYTES", 64 << 20)
+        spark.conf.set(name, "64MB")
+        assert len(small) == 9000 and rows() == small
+        assert spark.conf.get(name) == "64MB"
+        monkeypatch.setattr(knn, "BATCH_BYTES", 4 << 20)
+        top_k(v.toDF("qid", "v"), v, 3)
+        assert spark.conf.get(name) == str(4 << 20)
+        spark.conf.set(name, "1m")
+        top_k(v.toDF("qid", "v"), v, 3)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_a_search_holds_few_scores():
+    rng = np.random.default_rng(2)
+    c, q = rng.normal(size=(8192, 8)), rng.normal(size=(256, 8))
+    names = lambda n: pa.array([[f"{i:04d}" for i in range(n)]])
+    rows = pa.table({"q_ids": names(256), "c_ids": names(8192), "q_v": pa.array([q.tobytes()]), "c_v": pa.array([c.tobytes()])}).to_batches()
+    search = knn._searcher(5, 9)
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(list(search(iter(rows)))).to_pydict()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want = np.argsort(-np.round(q @ c.T, 9), axis=1, kind="stable")[:, :5]
+    assert {(a, b) for a, b in zip(out["qid"], out["id"])} == {(f"{i:04d}", f"{j:04d}") for i in range(256) for j in want[i]}
+    assert peak < 16e6  # 128 queries' scores alone are 8.4 MB, and there were five such arrays
+
+
 def _dynamic(scores, jmp=0.5, var=1.0):
     if not scores:
         return set()

@@ -4,6 +4,9 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from lorewell.llm import suffix_dedup
@@ -153,3 +156,48 @@ def test_ranks_in_blocks(spark, monkeypatch):
             got = {(r["qid"], r["id"]): r["score"] for r in found.collect()}
     assert left[0] == left[1]
     assert got.keys() == {k for k in want if k[1].startswith("end")} and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_ranks_move_in_chunks(spark, monkeypatch):
+    """Rows of ranks and of edges are of a chunk, not of a line; blocks of queries come one after the other where a task holds the sums of one alone."""
+    edges = _edges(spark, 60, 400)
+    names = [str(i) for i in range(6)]
+    q = spark.createDataFrame([(n,) for n in names], "qid string")
+    given = spark.createDataFrame([(n, n, 1.0) for n in names], "qid string, id string, weight double")
+    graph = prepared(kg.endpoints(edges), edges)
+    want = {(r["qid"], r["id"]): r["score"] for r in ranked(graph, q, given, max_iter=3, tol=None).collect()}
+    for name, value in (("VALUES", 60), ("PACKED", 8), ("CHUNK", 5), ("HELD", 20), ("OPEN", 1)):
+        monkeypatch.setattr(pagerank, name, value)
+    kept = []
+    real = pagerank.durable
+    monkeypatch.setattr(pagerank, "durable", lambda df, *form: kept.append(real(df, *form)) or kept[-1])
+    got = {(r["qid"], r["id"]): r["score"] for r in ranked(graph, q, given, max_iter=3, tol=None).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    states = [df for df in kept if {"x", "sunk"} <= set(df.columns)]
+    n = graph.nodes.where("live").count()
+    width = -(-6 // states[-1].select("block").distinct().count())
+    sizes = [len(r["x"]) // 8 // width for r in states[-1].collect()]
+    assert sum(sizes) == n * 6 // width and max(sizes) < n / graph.side / 2
+
+
+def test_a_graph_without_live_nodes_has_ranks(spark):
+    nodes = spark.createDataFrame([(str(i),) for i in range(5)], "id string")
+    edges = spark.createDataFrame([("0", "1", 0.0)], "src string, dst string, weight double")
+    q = spark.createDataFrame([("a",), ("b",)], "qid string")
+    given = spark.createDataFrame([("a", "3", 1.0)], "qid string, id string, weight double")
+    got = {(r["qid"], r["id"]): r["score"] for r in ranked(prepared(nodes, edges), q, given, max_iter=4).collect()}
+    assert got == {(x, str(i)): float(i == 3) if x == "a" else pytest.approx(0.2) for x in "ab" for i in range(5)}
+
+
+def test_rows_of_megabytes_are_written_in_small_groups(spark):
+    rows = spark.range(12, numPartitions=1).select("id", F.expr("cast(array_join(transform(sequence(1, 20000), i -> sha2(concat(id, '-', i), 512)), '') as binary)").alias("x"))
+    files = store.durable(rows, store.few_rows).inputFiles()
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) < 12
+
+
+def test_numbers_in_few_bytes_come_back():
+    for x in ([], [1.0, 2.0, 255.0], [1.0, 300.0], [70000, 1], [-1, 5], [2.0**53, 0.5], [float("inf"), -1.0], [1e300], [-(2**63), 2**63 - 1]):
+        x = np.array(x)
+        assert (pagerank._wide(pa.scalar(pagerank._small(x)), x.dtype) == x).all()
+    assert len(pagerank._small(np.ones(1000))) == 1001

@@ -201,3 +201,21 @@ def test_numbers_in_few_bytes_come_back():
         x = np.array(x)
         assert (pagerank._wide(pa.scalar(pagerank._small(x)), x.dtype) == x).all()
     assert len(pagerank._small(np.ones(1000))) == 1001
+
+
+def test_an_import_keeps_pairs_by_name(spark, tmp_path):
+    """Pairs with synonyms by name, keyed in the end, are those by key; edges of several versions are counted by short keys."""
+    t = spark.createDataFrame([("1", f"n{i}", "r", f"n{i * 7 % 12}") for i in range(12)] + [("2", "n1", "s", "n7")], "idx string, subj string, pred string, obj string")
+    v = kg.entity_names(t).select(kg.entity_id("entity").alias("id"), F.array(*(F.cos(F.substring("entity", 2, 2).cast("int") % 5 + i) for i in range(3))).alias("v"), F.col("entity").alias("str"))
+    own = v.where("str <> 'n3'").select("id")
+    for mode in ("all_pairs", "leader"):
+        for merge in ("replace", "add"):
+            want = kg.with_synonyms(kg.entity_edges(t), kg.synonym_pairs_of(own, v, 3, 0.8, mode), merge)
+            pairs = kg.pairs_with_synonyms(kg.entity_pairs(t), kg.synonym_names_of(own, v, 3, 0.8, mode), merge)
+            got = sorted(tuple(r) for r in kg.both_ways(pairs).collect())
+            assert got == sorted(tuple(r) for r in want.select("src", "dst", "weight").collect()) and len(got) > 6
+    tables = store.TableStore(spark, str(tmp_path))
+    row = lambda a, b: (a, b, 1.0, 1.0, 1.0)
+    for rows in ([row("a", "b"), row("b", "a")], [row("a", "b"), row("a", "c")]):
+        tables.commit({"edges": spark.createDataFrame(rows, store.TableStore.TABLES["edges"])})
+    assert tables.read_keys("edges", "src", "dst").count() == tables.read("edges").count() == 3
